@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import shard
+from . import decontam, shard
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,14 @@ def op1_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_table(table(spark, sf_dir, "documents"), 16)
 
 
+def op5_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 0.8)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_jump_hash": op1_jump_hash,
+        "op5_minhash_containment": op5_minhash_containment,
     }
 
 
