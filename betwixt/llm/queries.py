@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, shard
+from . import decontam, langid, shard
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,15 @@ def op5_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 0.8)
 
 
+def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_table(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_jump_hash": op1_jump_hash,
         "op5_minhash_containment": op5_minhash_containment,
+        "op6_rank_order_language": op6_rank_order_language,
     }
 
 
