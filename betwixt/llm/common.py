@@ -60,9 +60,9 @@ def release(df_paths: list[tuple[SparkSession, str]] | None = None) -> None:
 atexit.register(release)
 
 
-def bounded_batches(spark: SparkSession, records: int = 1000) -> None:
-    """Keep Arrow batches small, so that Python workers hold a few MB of rows of long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Keep Arrow batches at ``size`` (or one row), so that Python workers hold a few MB of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def n_partitions(spark: SparkSession) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, shard
+from . import decontam, langid, shard, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,15 +24,21 @@ def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_table(table(spark, sf_dir, "documents"))
 
 
+def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_table(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_jump_hash": op1_jump_hash,
         "op5_minhash_containment": op5_minhash_containment,
         "op6_rank_order_language": op6_rank_order_language,
+        "op10_zstd_warc": op10_zstd_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_jump_hash": shard.oracle(16),
+        "op10_zstd_warc": warc.ORACLE,
     }
