@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, shard, warc
+from . import decontam, langid, secrets, shard, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,16 @@ def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(table(spark, sf_dir, "pages"))
 
 
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_table(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_jump_hash": op1_jump_hash,
         "op5_minhash_containment": op5_minhash_containment,
         "op6_rank_order_language": op6_rank_order_language,
+        "op9_markov_secrets": op9_markov_secrets,
         "op10_zstd_warc": op10_zstd_warc,
     }
 
