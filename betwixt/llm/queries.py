@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lmscore, secrets, shard, simjoin, toxicity, warc
+from . import decontam, langid, lmscore, pieces, secrets, shard, simjoin, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,10 +44,15 @@ def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ffbs_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sample_encode(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_jump_hash": op1_jump_hash,
         "op3_chosen_path_join": op3_chosen_path_join,
+        "op4_ffbs_pieces": op4_ffbs_pieces,
         "op5_minhash_containment": op5_minhash_containment,
         "op6_rank_order_language": op6_rank_order_language,
         "op7_cross_entropy_difference": op7_cross_entropy_difference,
