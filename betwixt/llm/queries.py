@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lmscore, pieces, secrets, shard, simjoin, toxicity, warc
+from . import decontam, langid, lmscore, media, pieces, secrets, shard, simjoin, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +48,14 @@ def op4_ffbs_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sample_encode(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_table(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_jump_hash": op1_jump_hash,
+        "op2_progressive_jpeg": op2_progressive_jpeg,
         "op3_chosen_path_join": op3_chosen_path_join,
         "op4_ffbs_pieces": op4_ffbs_pieces,
         "op5_minhash_containment": op5_minhash_containment,
