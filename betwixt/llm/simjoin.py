@@ -38,7 +38,8 @@ from .textnum import U, lowered, mix, shingles, slices, words
 
 T = 128
 WIDTH = 5
-BLOCK = 128
+BLOCK = 128  # members of a verified block; sketches are smaller and go in blocks four times as large
+SALTS = 8
 SEED = U(0x51ED270B0D3A1F45)
 
 
@@ -355,12 +356,14 @@ def candidate_edges(reps: DataFrame, similarity: float, recall: float, depth: in
     found = None
     for level in range(1, depth + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-        shared = materialize(rows.join(sizes, "node"), "nodes")
+        # a node may hold any share of the rows: they are spread over salts, and the sizes repeated
+        sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        shared = materialize(rows.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(sizes, ["node", "salt"]).drop("salt"), "nodes")
         last = level == depth
         small = shared if last else shared.filter(F.col("n") <= block)
         # joined on the set's key, which is unique in reps: no hot key
         with_sketch = small.join(reps.select("key", "sk8"), "key")
-        edges = in_block_pairs(with_sketch, "node", "key", block, ["sk8"]).mapInArrow(_forest(least_equal), "a long, b long")
+        edges = in_block_pairs(with_sketch, "node", "key", 4 * block, ["sk8"]).mapInArrow(_forest(least_equal), "a long, b long")
         edges = materialize(edges.distinct(), "forest")
         found = edges if found is None else found.unionByName(edges)
         if last:
@@ -386,7 +389,7 @@ def linked(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, dept
     )
     counted = members.join(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "grp")
     wanted = materialize(counted.join(reps.select("key", "first", "copies"), "key").withColumnRenamed("key", "want"), "members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text").filter(F.col("text").isNotNull()).join(wanted, "first")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text").filter(F.col("text").isNotNull()).join(wanted.hint("merge"), "first")
     sets = set_table(texts, ["want", "grp", "n", "copies"]).filter(F.col("key") == F.col("want"))
     verified = materialize(
         in_block_pairs(sets, "grp", "key", block, ["copies", "set"]).mapInArrow(_verified(similarity), "key long, links long, root long"), "links"
