@@ -38,13 +38,13 @@ def contributions(edges: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 def estimates(values: DataFrame, sweep: list[int] | None = None, scale: float = 0.5) -> DataFrame:
-    """(target, T, est) from the first T draws, for every T of the sweep at once.
+    """(target, steps, est) from the first ``steps`` draws, for every entry of the sweep at once.
 
     Exact values count unordered pairs, hence the default scale of one half; 1 for the unhalved form.
     """
-    steps = F.explode(F.array(*[F.lit(x) for x in (sweep or SWEEP)])).alias("T")
-    run = values.select("target", "t", "value", steps).filter(F.col("t") <= F.col("T"))
-    return run.groupBy("target", "T").agg((F.sum("value") / F.col("T") * scale).alias("est"))
+    steps = F.explode(F.array(*[F.lit(x) for x in (sweep or SWEEP)])).alias("steps")
+    run = values.select("target", "t", "value", steps).filter(F.col("t") <= F.col("steps"))
+    return run.groupBy("target", "steps").agg((F.sum("value") / F.col("steps") * scale).alias("est"))
 
 
 def trimmed_estimates(values: DataFrame, t: int = 25, cut: float = 0.1, scale: float = 0.5) -> DataFrame:

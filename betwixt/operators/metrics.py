@@ -150,7 +150,7 @@ def overall_summary(summary: DataFrame) -> DataFrame:
         c = f"{m}_mean"
         digits = METRICS[m]
         out += [
-            F.round(F.avg(c), digits).alias(f"avg_{name}"),
+            F.round(F.avg(c) + 1e-9, digits).alias(f"avg_{name}"),  # halves go up, whatever their binary form
             F.round(F.when(F.count(c) == 1, F.lit(0.0)).otherwise(F.stddev_samp(c)), digits).alias(f"std_across_datasets_{name}"),
         ]
     return summary.groupBy("model").agg(*out)
@@ -177,8 +177,8 @@ def trend(results: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def at_step(sweep: DataFrame, t: int, value: str) -> DataFrame:
-    """The sweep's rows at T = t with the value in percent."""
-    return sweep.filter(F.col("T") == t).withColumn(value, F.col(value) * 100)
+    """The sweep's rows at steps = t with the value in percent."""
+    return sweep.filter(F.col("steps") == t).withColumn(value, F.col(value) * 100)
 
 
 def best_checkpoint(epochs: DataFrame, weight: float = 1.0) -> DataFrame:
