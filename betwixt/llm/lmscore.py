@@ -144,7 +144,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.groupBy(F.col("doc_id").cast("long").alias("__id")).agg((F.max("quality") == 1).alias("target"))
     flagged = (
         docs.select(F.col("doc_id").cast("long").alias("__doc"), "text")
-        .join(good.filter("target"), F.col("__doc") == F.col("__id"), "left")
+        .join(good.filter("target").hint("merge"), F.col("__doc") == F.col("__id"), "left")
         .select("text", F.coalesce("target", F.lit(False)).alias("target"))
     )
     return score_difference(docs, difference_table(gram_counts(flagged).toArrow()))
