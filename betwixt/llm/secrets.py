@@ -187,9 +187,6 @@ def with_spans(docs: DataFrame, model: list[float], text: str = "text") -> DataF
     return found.withColumn("__all", F.array_sort(F.concat("__base", "__markov")))
 
 
-INNER = ["__clean", "__assign", "__access", "__hex", "__base", "__markov", "__all"]
-
-
 def secret_table(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """Counts, digest and spans of each document's secrets."""
     model = train_markov(labelled_samples(docs.sparkSession) if samples is None else samples)
@@ -225,13 +222,14 @@ def redact(docs: DataFrame, samples: DataFrame | None = None, mask: str = "[SECR
         lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))),
     )
     hit = F.size("__all") > 0
+    found = found.withColumn("__masked", F.when(hit, masked))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.when(hit, masked).otherwise(F.col("text")).alias("text"))
+            columns.append(F.coalesce("__masked", "text").alias("text"))
         elif c == "n_chars":
             kind = docs.schema["n_chars"].dataType
-            columns.append(F.when(hit, F.length(masked).cast(kind)).otherwise(F.col("n_chars")).alias("n_chars"))
+            columns.append(F.when(hit, F.length("__masked").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars"))
         else:
             columns.append(F.col(c))
     return found.select(*columns)

@@ -134,7 +134,7 @@ def shingles(w: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     for k in range(width):
         h = h * U(0x9E3779B97F4A7C15) + w.h[np.minimum(at + k, n - 1)]
     for r in np.flatnonzero((counts > 0) & (counts < width)):
-        x = int(counts[r])
+        x = 0
         for v in w.h[w.first[r] : w.first[r + 1]]:
             x = (x * 0x9E3779B97F4A7C15 + int(v)) & 0xFFFFFFFFFFFFFFFF
         h[first[r]] = x

@@ -247,7 +247,7 @@ def export_archives(archives: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             sizes = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with at.open_output_stream(f"{base}/{path}") as out:
+                with at.open_output_stream(f"{base}/{path}", compression=None) as out:  # the content is compressed already
                     out.write(content)
                 sizes.append(len(content))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(sizes, np.int64))], ["path", "bytes"])
