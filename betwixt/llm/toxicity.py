@@ -7,8 +7,8 @@ of the transitions, by gradient ascent on the conditional likelihood. Forward-ba
 whole text give the offending offsets (marginal of at least one half) and, as the probability that any token is
 toxic, the document's score, which a logistic curve calibrates against the document labels.
 
-The model is fitted on a bounded sample of labelled rows: ``SAMPLE`` documents of either class, of ``SAMPLE_BYTES``
-bytes together, in order of a hash of doc_id. Everything else runs over all rows and whole texts.
+The model is fitted on a bounded sample of labelled rows: ``SAMPLE`` documents of each class, of ``SAMPLE_BYTES`` bytes
+together, in order of a hash of doc_id. Everything else runs over all rows and whole texts.
 
 A chunk's texts are one sequence whose matrices reset at each text's first word, cut into equal lanes: products of
 the lanes' 2 x 2 matrices give each lane's entry state, and all lanes then run in step. This is exact for texts of
@@ -23,6 +23,7 @@ toxic, other values than 0 and 1 are ignored; repeated rows are scored alike; ot
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,13 +35,17 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc_of_id
 from .textnum import U, Words, mix, raw_bytes, lowered, slices, span_hashes, words
 
-SAMPLE = 1200
-SAMPLE_BYTES = 12 << 20
+SAMPLE = {0: 4800, 1: 800}
+SAMPLE_BYTES = {0: 14 << 20, 1: 3 << 20}
+TRAINED_CLEAN = 1600  # clean documents that the CRF is trained on; all of the sample's count for the marks
 PREFIXES = (4, 5, 6)
 SALTS = mix(np.arange(11, 11 + len(PREFIXES) + 3, dtype=U))  # word, prefixes, previous word, next word
 FAMILIES = len(SALTS)
 OWN = 1 + len(PREFIXES)  # families of the word itself
 BITS = 20
+CHANCE = 25.0  # about one feature in two million passes by chance
+COMMON = 0.02  # rarer marks are the ordinary words of toxic documents that have near copies
+FLOOR = 0.05  # marginals below are no evidence, else very long texts would add them up
 STEPS = 256
 
 
@@ -142,7 +147,8 @@ class Model:
 
     def evidence(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log odds that some token of the text is toxic, between -8 and 12."""
-        clean = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
+        p = np.where(p >= FLOOR, np.minimum(p, 1 - 1e-12), 0.0)
+        clean = np.concatenate([[0.0], np.cumsum(np.log1p(-p))])
         none = clean[first[1:]] - clean[first[:-1]]
         some = -np.expm1(none)
         return np.clip(np.log(np.maximum(some, 1e-12)) - none, -8, 12)
@@ -151,8 +157,8 @@ class Model:
         return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * evidence)))
 
 
-def pick_sample(docs: DataFrame, labels: DataFrame) -> tuple[list, dict[int, int]]:
-    """Rows (toxic, word counts' features) of the bounded sample, and how many labelled documents each class has."""
+def pick_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(toxic, own: packed features of the words) of the bounded sample, and how many labelled documents each class has."""
     known = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_of_id("doc_id") % 5 != 0))
         .groupBy(F.col("doc_id").cast("long").alias("__id"))
@@ -161,12 +167,12 @@ def pick_sample(docs: DataFrame, labels: DataFrame) -> tuple[list, dict[int, int
     totals = {r[0]: r[1] for r in known.groupBy("__toxic").count().collect()}
     first = None
     for label in (0, 1):  # top-k by hash: bounded by SAMPLE
-        part = known.filter(F.col("__toxic") == label).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
+        part = known.filter(F.col("__toxic") == label).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE[label])
         first = part if first is None else first.unionByName(part)
     chosen = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text").join(F.broadcast(first), F.col("__doc") == F.col("__id"))
     chosen = chosen.dropDuplicates(["__id"])
     size = F.sum(F.octet_length("text")).over(Window.partitionBy("__toxic").orderBy(F.xxhash64("__id"), "__id"))
-    chosen = chosen.filter(F.col("text").isNotNull()).withColumn("__size", size).filter((F.col("__size") <= SAMPLE_BYTES))
+    chosen = chosen.filter(F.col("text").isNotNull()).withColumn("__size", size).filter(F.col("__size") <= F.when(F.col("__toxic") == 1, SAMPLE_BYTES[1]).otherwise(SAMPLE_BYTES[0]))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,8 +182,7 @@ def pick_sample(docs: DataFrame, labels: DataFrame) -> tuple[list, dict[int, int
                 packed = [own[:, w.first[i] : w.first[i + 1]].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], ["toxic", "own"])
 
-    rows = chosen.select("__toxic", "text").mapInArrow(tokens, "toxic int, own binary").collect()
-    return [(r[0], np.frombuffer(bytes(r[1]), U).reshape(OWN, -1)) for r in rows], totals
+    return chosen.select("__toxic", "text").mapInArrow(tokens, "toxic int, own binary"), totals
 
 
 def analysed(low: pa.Array) -> tuple[Words, np.ndarray]:
@@ -198,15 +203,28 @@ def toxic_marks(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
     (clean, n_clean), (toxic, n_toxic) = dfs
     at = np.minimum(np.searchsorted(clean, toxic), max(0, len(clean) - 1))
     in_clean = np.where(clean[at] == toxic, n_clean[at], 0) if len(clean) else np.zeros(len(toxic), int)
-    least = max(5, 0.02 * seen[1])
-    rate = n_toxic / max(1, seen[1])
-    return toxic[(n_toxic >= least) & (in_clean / max(1, seen[0]) <= rate / 20)]
+    rate, base = n_toxic / max(1, seen[1]), in_clean / max(1, seen[0])
+    # chance: twice the log-likelihood ratio of two rates against one, where the toxic one is higher
+    both = (n_toxic + in_clean) / max(1, sum(seen))
+    gain = 2 * (n_toxic * np.log(rate / both) + in_clean * np.log(np.maximum(base, 1e-12) / both))
+    return toxic[(n_toxic >= max(3, COMMON * seen[1])) & (base <= rate / 20) & (gain >= CHANCE)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, epochs: int = 40) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, epochs: int = 30) -> Model:
+    """Train in one task: the sample is bounded, and an executor has more room for it than the driver, which gets the weights."""
     bounded_batches(docs.sparkSession)
-    rows, totals = pick_sample(docs, labels)
-    rows.sort(key=lambda r: (r[0], r[1].tobytes()))
+    sample, totals = pick_sample(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(t.as_py(), np.frombuffer(own.as_buffer(), U).reshape(OWN, -1)) for b in batches for t, own in zip(*b.columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(rows, totals, epochs))], pa.binary())], ["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(found[0][0])) if found else trained([], totals, epochs)
+
+
+def trained(rows: list[tuple[int, np.ndarray]], totals: dict[int, int], epochs: int) -> Model:
+    rows.sort(key=lambda r: (r[0], r[1].shape[1], r[1].tobytes()))
     model = Model()
     n = {c: sum(t == c for t, _ in rows) for c in (0, 1)}
     if not n[0] or not n[1]:
@@ -214,14 +232,25 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = 40) -> Model:
         model.curve = (math.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0)
         return model
     marks = toxic_marks(rows)
+    clean = [r for r in rows if r[0] == 0]
+    rows = clean[:: -(-len(clean) // TRAINED_CLEAN)] + [r for r in rows if r[0] == 1]
+    n[0] = len(rows) - n[1]
     first = np.concatenate([[0], np.cumsum([own.shape[1] for _, own in rows])]).astype(np.int64)
-    features = all_features(np.concatenate([own for _, own in rows], 1), first)
     doc_label = np.array([t for t, _ in rows])
     token_doc = np.repeat(np.arange(len(rows)), np.diff(first))
+    own = np.concatenate([own for _, own in rows], 1)
+    rows.clear()
+    features = all_features(own, first)
     y = np.isin(features[:OWN], marks).any(0) & (doc_label[token_doc] == 1)
     # features that occur three times; the rest weigh nothing
-    key, which, count = np.unique(features, return_inverse=True, return_counts=True)
-    which = which.reshape(features.shape)
+    # family by family, which keeps the working arrays small
+    keys, counts, which = [], [], np.empty(features.shape, np.int32)
+    for f in range(FAMILIES):
+        k, inverse, n_f = np.unique(features[f], return_inverse=True, return_counts=True)
+        which[f] = inverse + sum(map(len, keys))
+        keys.append(k)
+        counts.append(n_f)
+    key, count = np.concatenate(keys), np.concatenate(counts)
     usable = (count >= 3) & (key != 0)
     w, at = np.zeros(len(key)), np.nonzero(usable)[0]
     bias, step, start = -6.0, np.zeros((2, 2)), 0.0
@@ -234,7 +263,10 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = 40) -> Model:
     nxt = prev + 1
     seen_step = np.array([[(~y[prev] & ~y[nxt]).sum(), (~y[prev] & y[nxt]).sum()], [(y[prev] & ~y[nxt]).sum(), (y[prev] & y[nxt]).sum()]])
     for _ in range(epochs):
-        emission = np.clip(bias + w[which].sum(0), -30, 30)
+        emission = np.full(len(y), bias)
+        for f in which:
+            emission += w[f]
+        np.clip(emission, -30, 30, out=emission)
         psi, a = np.exp(emission), np.exp(step)
         fwd = compose(len(y), first, psi, a, math.exp(start), False)
         bwd = compose(len(y), first, psi, a, math.exp(start), True)
@@ -260,7 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = 40) -> Model:
                 start += float(move)
             else:
                 step += move
-    keep = np.abs(w) > 0.2
+    keep = np.flatnonzero(np.abs(w) > 0.2)
+    keep = keep[np.argsort(key[keep])]
     model.keys, model.weights, model.bias, model.step, model.start = key[keep], w[keep], bias, step, start
     x = model.evidence(model.marginals(model.emissions(features), first), first)
     weight = np.where(doc_label == 1, totals[1] / n[1], totals[0] / n[0])
