@@ -1,0 +1 @@
+"""Shared column functions."""

@@ -1,0 +1 @@
+"""Operators from DataFrame to DataFrame."""

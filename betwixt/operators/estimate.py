@@ -11,30 +11,32 @@ from . import traverse
 SWEEP = [1, *range(5, 51, 5)]
 
 
-def draw_pivots(probs: DataFrame, t_most: int, seed: int = 0) -> DataFrame:
-    """(target, t, node, p) for t = 1 .. t_most: the node at which the running sum of p first reaches the draw.
+def draw_pivots(probs: DataFrame, t_most: int, seed: int = 0, by: tuple[str, ...] = ("target",)) -> DataFrame:
+    """(*by, t, node, p) for t = 1 .. t_most: the node at which the running sum of p first reaches the draw.
 
-    Draws and running sums are merged in one sorted pass for each target (n + t rows), not joined.
+    Draws and running sums are merged in one sorted pass for each distribution (n + t rows), not joined. ``by`` names a
+    distribution (target, or method and target); draws depend on target and t only, so methods share them.
     """
-    by = Window.partitionBy("target").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    cum = probs.select("target", "node", "p", F.round(F.sum("p").over(by), 12).alias("x"))
-    draws = probs.select("target").distinct().select("target", F.explode(F.sequence(F.lit(1), F.lit(t_most))).alias("t"))
+    run = Window.partitionBy(*by).orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    cum = probs.select(*by, "node", "p", F.round(F.sum("p").over(run), 12).alias("x"))
+    draws = probs.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(1), F.lit(t_most))).alias("t"))
     draws = draws.withColumn("x", uniform(key(F.col("target"), F.col("t"), seed=seed)))
     both = cum.withColumn("t", F.lit(None).cast("int")).unionByName(draws.withColumn("node", F.lit(None).cast("long")).withColumn("p", F.lit(None).cast("double")))
-    nxt = Window.partitionBy("target").orderBy("x", F.col("t").asc_nulls_last(), "node").rowsBetween(0, Window.unboundedFollowing)
-    last = Window.partitionBy("target").orderBy("x", F.col("t").asc_nulls_last(), "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = Window.partitionBy(*by).orderBy("x", F.col("t").asc_nulls_last(), "node")
+    nxt = order.rowsBetween(0, Window.unboundedFollowing)
+    last = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     hit = F.struct("node", "p")
     found = both.withColumn("hit", F.when(F.col("t").isNull(), hit)).withColumn(
         "pick", F.coalesce(F.first("hit", ignorenulls=True).over(nxt), F.last("hit", ignorenulls=True).over(last))
     )
-    return found.filter(F.col("t").isNotNull()).select("target", "t", "pick.node", "pick.p")
+    return found.filter(F.col("t").isNotNull()).select(*by, "t", "pick.node", "pick.p")
 
 
 def contributions(edges: DataFrame, draws: DataFrame) -> DataFrame:
     """(target, t, node, p, delta, value): value = delta / p. Each distinct pivot is traversed once for all targets."""
     dep = traverse.dependencies(edges, draws.select("node")).select(F.col("source").alias("node"), F.col("node").alias("target"), "delta")
     delta = F.coalesce("delta", F.lit(0.0))
-    return draws.join(dep, ["node", "target"], "left").select("target", "t", "node", "p", delta.alias("delta"), (delta / F.greatest("p", F.lit(1e-12))).alias("value"))
+    return draws.join(dep, ["node", "target"], "left").select(*draws.columns, delta.alias("delta"), (delta / F.greatest("p", F.lit(1e-12))).alias("value"))
 
 
 def estimates(values: DataFrame, sweep: list[int] | None = None, scale: float = 0.5) -> DataFrame:

@@ -1,0 +1 @@
+"""Derived graphs and the query catalogue."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
-from ..operators import datasets, estimate, features, generators, metrics, models, pivots, scalars, traverse
+from ..operators import datasets, estimate, features, generators, harness, metrics, models, pivots, scalars, traverse
 from .graphs import basket_graph, session_graph, trade_graph
 from .oracle import TARGETS, contributions, draws, query
 
@@ -731,24 +731,14 @@ def raw_runs(s: SparkSession, d: str) -> DataFrame:
     """A row for each model, seed and data set (customers, suppliers): agreement of the estimate at T = 25 over targets."""
     e = written(trade_graph(s, d), "edges")
     bc = exact(e)
-    parts = []
-    for m in RUN_MODELS:
-        p = written(pivots.MODELS[m](e, targets_of(e)), "probs")
-        for seed in SEEDS:
-            parts.append(estimate.draw_pivots(p, 25, seed).withColumn("model", F.lit(m)).withColumn("seed", F.lit(seed)))
-    alls = parts[0]
-    for x in parts[1:]:
-        alls = alls.unionByName(x)
-    alls = written(alls, "draws")
-    dep = traverse.dependencies(e, alls.select("node")).select(F.col("source").alias("node"), F.col("node").alias("target"), "delta")
-    est = alls.join(dep, ["node", "target"], "left").groupBy("model", "seed", "target").agg(
-        (F.sum(F.coalesce("delta", F.lit(0.0)) / F.col("p")) / 25 * 0.5).alias("est"), F.countDistinct("node").alias("pivots")
-    )
-    rows = written(est.join(bc.withColumnRenamed("node", "target"), "target").withColumn("dataset", F.when(F.col("target") % 2 == 0, "customers").otherwise("suppliers")), "runs")
+    alls = None
+    for seed in SEEDS:
+        part = harness.evaluated(e, bc, targets_of(e), list(RUN_MODELS), 25, seed).withColumn("seed", F.lit(seed))
+        alls = part if alls is None else alls.unionByName(part)
+    alls = alls.withColumnRenamed("method", "model").withColumn("dataset", F.when(F.col("target") % 2 == 0, "customers").otherwise("suppliers"))
+    rows = written(alls, "runs")
     keys = ["dataset", "model", "seed"]
-    u = rows.select(*keys, F.col("target").alias("u"), F.col("est").alias("est_u"), F.col("bc").alias("bc_u"))
-    v = rows.select(*keys, F.col("target").alias("v"), F.col("est").alias("est_v"), F.col("bc").alias("bc_v"))
-    eff = metrics.efficiency(u.join(v, keys).filter("u < v"), keys)
+    eff = metrics.efficiency(harness.target_pairs(rows, keys), keys)
     work = rows.groupBy(*keys).agg(F.sum("pivots").cast("double").alias("time_ms"))
     return work.join(eff, keys, "left").select(*keys, F.round("efficiency", 6).alias("efficiency"), F.lit(None).cast("double").alias("spearman"), F.lit(None).cast("double").alias("kendall"), "time_ms")
 
@@ -796,6 +786,34 @@ def _(s, d):
     return metrics.overall_summary(written(metrics.run_summary(raw_runs(s, d)), "summary"))
 
 
+BENCH_MODELS = ["flat", "level", "paper", "weddbm", "pdeddbm", "uniform"]
+
+
+def _benchmark_sql() -> str:
+    ctes, union = [], []
+    for m in BENCH_MODELS:
+        ctes += draws(f"b_{m}", f"p_{m}", 25, SEED) + contributions(f"b_{m}_v", f"b_{m}")
+        union.append(f"SELECT '{m}' AS method, target, sum(value) / 25 * 0.5::DOUBLE AS est FROM b_{m}_v GROUP BY target")
+    ctes += draws("b_ad", "p_fusion", 75, SEED) + contributions("b_ad_v", "b_ad")
+    ctes.append(("b_rn", "SELECT target, t, avg(value) OVER w AS mean, coalesce(stddev_samp(value) OVER w, 0) / sqrt(t) AS se FROM b_ad_v WINDOW w AS (PARTITION BY target ORDER BY t ROWS UNBOUNDED PRECEDING)"))
+    ctes.append(("b_st", "SELECT target, coalesce(min(t) FILTER (WHERE t >= 5 AND se <= 0.15 * abs(mean)), max(t)) AS used FROM b_rn GROUP BY 1"))
+    union.append("SELECT 'adaptive', r.target, mean * 0.5::DOUBLE FROM b_rn r JOIN b_st s ON s.target = r.target AND s.used = r.t")
+    ctes.append(("b_all", "SELECT u.*, round(bc, 6) AS bc FROM (" + " UNION ALL ".join(union) + ") u JOIN bc ON bc.node = u.target"))
+    good = "sum(((a.est > b.est) = (a.bc > b.bc) AND a.bc <> b.bc)::INT)"
+    final = (
+        f"SELECT x.method, (CASE WHEN x.method = 'adaptive' THEN (SELECT max(used) FROM b_st) ELSE 25 END)::BIGINT AS t, {r6s('efficiency')}, {r6s('avg_error')} FROM "
+        f"(SELECT method, {good} / nullif(sum((a.bc <> b.bc)::INT), 0)::DOUBLE AS efficiency FROM b_all a JOIN b_all b USING (method) WHERE a.target < b.target GROUP BY 1) x "
+        "JOIN (SELECT method, avg(abs(bc - est) / bc * 100) AS avg_error FROM b_all WHERE bc <> 0 GROUP BY 1) y ON y.method = x.method"
+    )
+    return query("trade", [f"p_{m}" for m in BENCH_MODELS] + ["p_fusion", "da", "bc"], final, ctes)
+
+
+@register("benchmark_models", _benchmark_sql())
+def _(s, d):
+    e = written(trade_graph(s, d), "edges")
+    return harness.benchmark(e, exact(e), targets_of(e), BENCH_MODELS, 25, SEED).select("method", "t", r6("efficiency"), r6("avg_error"))
+
+
 def method_results(s: SparkSession, d: str) -> DataFrame:
     """(graph_id, method, xi): one row for each seed's draws of a model over both data sets."""
     return written(raw_runs(s, d).select(F.concat_ws("-", "dataset", F.col("seed").cast("string")).alias("graph_id"), F.col("model").alias("method"), F.coalesce("efficiency", F.lit(1.0)).alias("xi")), "methods")

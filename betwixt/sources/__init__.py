@@ -1,0 +1 @@
+"""Readers and writers."""

@@ -1,0 +1 @@
+"""No streams: the data model is a static graph, and every operator is a batch over it."""
