@@ -30,7 +30,7 @@ from .common import bounded_batches, crc_of_id
 K = 400
 GRAMS = 3
 SIZE = 1 << 20  # two bits of n, 18 bits of classes
-FLUSH = 1 << 24  # characters counted in one go
+HELD = 1 << 22  # n-grams held before they are counted
 
 _CLASS: list[np.ndarray] = []
 
@@ -75,6 +75,34 @@ def counted(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[at], np.diff(np.append(at, len(g)))
 
 
+class Sums:
+    """Sorted n-grams with their counts, added to in bulk."""
+
+    def __init__(self) -> None:
+        self.key, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, grams: np.ndarray) -> None:
+        self.held.append(grams)
+        self.size += len(grams)
+        if self.size > HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.held:
+            return
+        g = np.sort(np.concatenate(self.held))
+        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, int)
+        key = np.concatenate([self.key, g[at]])
+        n = np.concatenate([self.n, np.diff(np.append(at, len(g)))])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        self.key, self.n = key[at], np.add.reduceat(n, at) if len(at) else n
+        self.held, self.size = [], 0
+
+
 def ranked(text: str, k: int = K) -> np.ndarray:
     """The text's ``k`` most frequent n-grams in order of rank; empty without a letter."""
     c = encode(text)
@@ -95,30 +123,22 @@ def profiles(train: DataFrame, k: int = K) -> dict[str, np.ndarray]:
     bounded_batches(train.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        held: dict[str, list[np.ndarray]] = {}
+        sums: dict[str, Sums] = {}
         size = 0
-
-        def add() -> None:
-            for lang, parts in held.items():
-                sums.setdefault(lang, np.zeros(SIZE, np.int64))
-                sums[lang] += np.bincount(np.concatenate(parts), minlength=SIZE)
-            held.clear()
-
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 c = encode(text.as_py())
                 if c.any():
-                    held.setdefault(lang, []).append(grams(c))
-                    size += len(c)
-                    if size > FLUSH // 8:
-                        add()
+                    sums.setdefault(lang, Sums()).add(grams(c))
+                    size += 3 * len(c)
+                    if size > HELD:  # of all languages together
+                        for s in sums.values():
+                            s.settle()
                         size = 0
-        add()
-        for lang, n in sums.items():
-            g = np.flatnonzero(n)
+        for lang, s in sums.items():
+            s.settle()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(g)), pa.array(g.astype(np.int32)), pa.array(n[g])], ["lang", "gram", "n"]
+                [pa.array([lang] * len(s.key)), pa.array(s.key.astype(np.int32)), pa.array(s.n)], ["lang", "gram", "n"]
             )
 
     sums = (

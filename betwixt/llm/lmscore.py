@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .langid import encode
+from .langid import Sums, encode
 
 CLASSES = 64
 ORDER = 4
 SIZE = CLASSES**ORDER
-HELD = 1 << 22  # tokens held before they are counted
 
 
 def four_grams(text: str) -> np.ndarray:
@@ -41,34 +40,6 @@ def four_grams(text: str) -> np.ndarray:
     return (c[:-3] << np.uint32(18)) | (c[1:-2] << np.uint32(12)) | (c[2:-1] << np.uint32(6)) | c[3:]
 
 
-class Sums:
-    """Sorted four-grams with their counts, added to in bulk."""
-
-    def __init__(self) -> None:
-        self.key, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self.held: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, grams: np.ndarray) -> None:
-        self.held.append(grams)
-        self.size += len(grams)
-        if self.size > HELD:
-            self.settle()
-
-    def settle(self) -> None:
-        if not self.held:
-            return
-        g = np.sort(np.concatenate(self.held))
-        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, int)
-        key = np.concatenate([self.key, g[at]])
-        n = np.concatenate([self.n, np.diff(np.append(at, len(g)))])
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        self.key, self.n = key[at], np.add.reduceat(n, at) if len(at) else n
-        self.held, self.size = [], 0
-
-
 def gram_counts(flagged: DataFrame) -> DataFrame:
     """(gram, background, target) over all rows of ``flagged`` (text, target)."""
     bounded_batches(flagged.sparkSession)
