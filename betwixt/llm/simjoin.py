@@ -423,7 +423,7 @@ def deduplicate(docs: DataFrame, **options: float) -> DataFrame:
     """
     found = materialize(linked(docs, **options), "classes")
     gone = found.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")  # one plan at every size
     twice = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter(F.col("count") > 1)
     if twice.isEmpty():
         return kept
