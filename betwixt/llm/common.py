@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 
@@ -65,19 +64,11 @@ def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def n_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def crc_of_id(col: Column | str) -> Column:
     """crc32 of an id written as text."""
     return F.crc32((F.col(col) if isinstance(col, str) else col).cast("string").cast("binary"))
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
 def crc_table() -> list[int]:
     """The 16 nibble entries of the reflected CRC-32 (polynomial 0xEDB88320)."""
     out = []
@@ -101,11 +92,3 @@ def duckdb_crc32(text_sql: str) -> str:
         "lambda x: (instr('0123456789ABCDEF', x) - 1)::BIGINT)"
     )
     return f"xor(list_reduce({nibbles}, {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
-
-
-def same_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*names)
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"\W+", "_", text)
