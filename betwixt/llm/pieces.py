@@ -61,12 +61,16 @@ class Vocabulary:
         by_length: dict[int, list[int]] = {}
         for i, p in enumerate(self.pieces):
             by_length.setdefault(len(p), []).append(i)
-        for n, which in sorted(by_length.items()):
+        for n in range(1, max(by_length) + 1):
+            which = by_length.get(n, [])
             h = np.array([poly(self.pieces[i]) for i in which], U)
             order = np.argsort(h)
-            seen = np.zeros(1 << BITS, bool)
-            seen[(h * SPREAD >> U(64 - BITS)).astype(np.int64)] = True
-            self.tables[n] = (h[order], np.array(which)[order], seen)
+            # bit 1: the hash of a piece of this length; bit 2: of a prefix of a longer one
+            seen = np.zeros(1 << BITS, np.uint8)
+            seen[slot(h)] = 1
+            longer = {p[:n] for p in self.pieces if len(p) > n}
+            seen[slot(np.array([poly(p) for p in longer], U))] |= 2
+            self.tables[n] = (h[order], np.array(which, np.int64)[order], seen)
         self.lookup = {p: i for i, p in enumerate(self.pieces)}
         # bytes of every id, for decoding
         length = np.zeros(self.size, np.int64)
@@ -82,6 +86,10 @@ class Vocabulary:
         return self
 
 
+def slot(h: np.ndarray) -> np.ndarray:
+    return (h * SPREAD >> U(64 - BITS)).astype(np.int64)
+
+
 def poly(piece: bytes) -> int:
     return sum((c + 1) * pow(BASE, k, 1 << 64) for k, c in enumerate(piece)) & 0xFFFFFFFFFFFFFFFF
 
@@ -138,14 +146,19 @@ def edges_of(buf: np.ndarray, seg_end: np.ndarray, v: Vocabulary) -> tuple[np.nd
     starts, ends, pieces = [], [], []
     whole_char = np.zeros(n, bool)
     char_end = char_ends(buf)
-    room = seg_end - np.arange(n)
+    # places whose text so far begins some longer piece, as long as the segment goes on
+    end, base, scale, places = seg_end, run[:-1], down[:n], np.arange(n)
     for length, (keys, which, seen) in v.tables.items():
-        at = np.flatnonzero(room >= length)
-        if not len(at):
+        h = (run[places + length] - base) * scale
+        found = seen[slot(h)]
+        go = np.flatnonzero((found & 2).astype(bool) & (end > places + length))
+        hit = np.flatnonzero(found & 1) if len(keys) else np.zeros(0, np.int64)
+        at, h = places[hit], h[hit]
+        end, base, scale, places = end[go], base[go], scale[go], places[go]
+        if not len(hit):
+            if not len(places):
+                break
             continue
-        h = (run[at + length] - run[at]) * down[at]
-        hit = seen[(h * SPREAD >> U(64 - BITS)).astype(np.int64)]
-        at, h = at[hit], h[hit]
         pos = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         good = keys[pos] == h
         at, pos = at[good], pos[good]
@@ -190,7 +203,7 @@ class Encoder:
         s = seg[start]
         rel = end - first[s]
         node_from, node_to = start + s, end + s
-        order = np.argsort(node_to * (LONG + 1) + (end - start))
+        order = np.argsort(node_to * (LONG + 1) + (end - start), kind='stable')
         start, node_from, node_to, piece = start[order], node_from[order], node_to[order], piece[order]
         w = self.edge_weights(start, node_to - node_from + start, piece)
         total = np.zeros(len(buf) + len(size))
