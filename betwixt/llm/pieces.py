@@ -37,7 +37,7 @@ from .textnum import BASE, U, mix, powers, raw_bytes, slices, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64
-CHUNK = 512 << 10  # a chunk costs about 300 bytes of working memory a byte of text
+CHUNK = 1 << 20  # a chunk costs about 300 bytes of working memory a byte of text
 SPACE, NEWLINE = 0x20, 0x0A
 SPREAD = U(0x9E3779B97F4A7C15)
 BITS = 18
