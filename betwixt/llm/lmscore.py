@@ -1,15 +1,20 @@
-"""Cross-entropy difference (Moore and Lewis, 2010) with matched character four-gram models.
+"""Cross-entropy difference (Moore and Lewis, 2010) with matched word bigram models.
 
 A target model (documents labelled quality 1) and a background model (all documents) have the same order, the same
-Witten-Bell smoothing and the same vocabulary: the 64 character classes of ``langid``. A document's score is the
-mean over its tokens of log p_target - log p_background, that is, the difference of its cross-entropies; higher is
+Witten-Bell smoothing and the same vocabulary: every token of any document. A token is a word (a run of letters,
+digits and non-ASCII characters, in lower case) or one other character that is no white space. A document's score is
+the mean over its tokens of log p_target - log p_background, that is, the difference of its cross-entropies; higher is
 closer to the target.
 
-Counts cover every document's whole text. Each task sends its sums per four-gram, and Spark adds them up; the
-vocabulary bounds a model at 64^4 four-grams, which is the proven bound of what is broadcast (a table of 2^24
-half-precision differences, 32 MB, whatever the size of the corpus).
+Counts cover every document's whole text, and vocabulary and bigrams grow with the corpus, so no table is gathered
+or broadcast. Documents are taken in chunks of ``CHUNK_BYTES``; a chunk sends its distinct words and bigrams, with
+their counts, to buckets by ranges of the word's (the bigram's first word's) hash, a bucket adds them up and sends
+each chunk the totals of what that chunk asked for. A word or bigram is sent once by a chunk however often it occurs
+there, so a common one makes no hot key. Only four numbers, tokens and kinds of both models, reach the driver.
 
-Defined results: a null text, or one without a token, has 0 tokens and score 0; without target documents every score
+Tokens are told apart by 64-bit hashes.
+
+Defined results: a null text, or one without a word, has 0 tokens and score 0; without target documents every score
 is 0; labels that disagree count as quality 1; repeated rows are counted each time and scored alike; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -20,19 +25,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
-from .langid import Sums, encode
+from .common import bounded_batches, materialize
+from .langid import encode
+from .textnum import U, WORD_BYTE, lowered, raw_bytes, slices, span_hashes
 
 CLASSES = 64
 ORDER = 4
 SIZE = CLASSES**ORDER
 
+CHUNK_BYTES = 8 << 20  # of text in a chunk
+BUCKET_BYTES = 8 << 20  # of text for each bucket
+START = U(0)  # stands before a text's first token
+ROWS = "key long, chunk long, bucket int, data binary, tokens long, target_tokens long, kinds long, target_kinds long"
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
 
 def four_grams(text: str) -> np.ndarray:
-    """The codes of the text's tokens with their three predecessors; a text starts after three separators."""
+    """Of the character model, a small dense form of the same smoothing: the codes of the text's tokens with their three predecessors; a text starts after three separators."""
     c = encode(text)
     if not c.any():
         return np.zeros(0, np.uint32)
@@ -40,31 +54,6 @@ def four_grams(text: str) -> np.ndarray:
     return (c[:-3] << np.uint32(18)) | (c[1:-2] << np.uint32(12)) | (c[2:-1] << np.uint32(6)) | c[3:]
 
 
-def gram_counts(flagged: DataFrame) -> DataFrame:
-    """(gram, background, target) over all rows of ``flagged`` (text, target)."""
-    bounded_batches(flagged.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {False: Sums(), True: Sums()}
-        for b in batches:
-            for text, target in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                sums[bool(target)].add(four_grams(text.as_py() or ""))
-        for target, s in sums.items():
-            s.settle()
-            for lo in range(0, len(s.key), 1 << 17):
-                key, n = s.key[lo : lo + (1 << 17)], s.n[lo : lo + (1 << 17)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.astype(np.int32)), pa.array(n), pa.array(n if target else np.zeros_like(n))], ["gram", "background", "target"]
-                )
-
-    return (
-        flagged.select("text", "target")
-        .mapInArrow(count, "gram int, background long, target long")
-        .groupBy("gram")
-        .agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    )
-
-
 def log_model(counts: np.ndarray) -> np.ndarray:
     """log p(last | first three) of every four-gram, Witten-Bell smoothed down to the uniform distribution."""
     p = np.full(CLASSES, 1 / CLASSES, np.float32)
@@ -78,44 +67,210 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p, out=p)
 
 
-def difference_table(counts: pa.Table) -> np.ndarray:
-    """log p_target - log p_background of every four-gram, in half precision."""
-    gram = counts.column("gram").to_numpy()
-    out = np.zeros(SIZE, np.float32)
-    if not counts.num_rows or not counts.column("target").to_numpy().any():
-        return out.astype(np.float16)
-    for name, sign in (("target", 1), ("background", -1)):
-        dense = np.zeros(SIZE, np.float32)
-        dense[gram] = counts.column(name).to_numpy()
-        out += sign * log_model(dense)
-    return out.astype(np.float16)
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and how many each row has; a row without a word has none."""
+    buf, offs = raw_bytes(lowered(texts))
+    word = WORD_BYTE[buf]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    inner = offs[1:-1]
+    inner = inner[(inner > 0) & (inner < len(buf))]
+    begins[inner] = word[inner]
+    ends[inner - 1] = word[inner - 1]
+    mark = ~word & ~SPACE[buf]
+    start, end = np.flatnonzero(begins | mark), np.flatnonzero(ends | mark) + 1
+    n = np.diff(np.searchsorted(start, offs))
+    worded = np.diff(np.searchsorted(np.flatnonzero(begins), offs)) > 0
+    keep = np.repeat(worded, n)
+    h = span_hashes(buf, start[keep], end[keep])
+    h[h == START] = U(1)
+    return h, np.where(worded, n, 0)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    raw = np.array([len(x) for x in arrays], np.int64).tobytes() + b"".join(x.tobytes() for x in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def bigrams(word: np.ndarray, n: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams of a chunk as first * kinds + second, each token's bigram, and how often each occurs.
+
+    ``word`` has each token's place among the chunk's ``kinds`` words, ``n`` the tokens of each document; START is word 0.
+    """
+    before = np.zeros(len(word), np.int64)
+    before[1:] = word[:-1]
+    first = np.cumsum(n) - n
+    before[first[n > 0]] = 0
+    return np.unique(before * kinds + word, return_inverse=True, return_counts=True)
+
+
+def chunk_rows(chunk: int, ids: pa.Array, h: np.ndarray, n: np.ndarray, target: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(key, bucket, data) of a chunk: its documents (bucket -1), and what it asks of each bucket."""
+    kinds, word, many = np.unique(np.concatenate([[START], h]), return_inverse=True, return_counts=True)
+    word = word[1:].astype(np.int64)
+    many[0] = 0
+    good = np.repeat(target, n)
+    many_good = np.bincount(word[good], minlength=len(kinds))
+    pair, which, count = bigrams(word, n, len(kinds))
+    count_good = np.bincount(which[good], minlength=len(pair))
+    first, second = pair // len(kinds), kinds[pair % len(kinds)]
+    followers = np.bincount(first, minlength=len(kinds))
+    known = np.asarray(ids.is_valid())
+    yield chunk, -1, packed(word.astype(np.uint32), n.astype(np.uint32), known, np.asarray(ids.fill_null(0)).astype(np.int64), np.array([len(kinds)], np.int64))
+    bucket = bucket_of(kinds, buckets)
+    at = np.searchsorted(bucket, np.arange(buckets + 1))
+    ends = np.concatenate([[0], np.cumsum(followers)])
+    for b in np.flatnonzero(np.diff(at)).tolist():
+        w, p = slice(at[b], at[b + 1]), slice(ends[at[b]], ends[at[b + 1]])
+        small = [x.astype(np.uint32) for x in (many[w], many_good[w], followers[w], count[p], count_good[p])]
+        yield b, b, packed(kinds[w], second[p], *small)
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of hashes, in their order."""
+    return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
 
+def summed(keys: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """First places of the distinct keys, each key's place among these, and the sums of the counts."""
+    _, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return first, which, [np.bincount(which, np.concatenate(c), len(first)).astype(np.int64) for c in counts]
 
-def score_difference(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens and score of every row."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    shipped = spark.sparkContext.broadcast(table)
+
+def bucket_totals(asked: list[tuple[int, bytes]]) -> tuple[list[tuple[int, bytes]], list[int]]:
+    """Each chunk's answer: counts of its words, tokens and kinds after them, and counts of its bigrams; and the bucket's four totals."""
+    got = [unpacked(data, U, U, *[np.uint32] * 5) for _, data in asked]
+    words, seconds, many, many_good, followers, count, count_good = (list(x) for x in zip(*got, strict=True))
+    _, at, (all_many, all_good) = summed(words, many, many_good)
+    context = np.repeat(at, np.concatenate(followers))
+    second = np.concatenate(seconds)
+    # the pair's hash: the context's place is exact in the bucket
+    code = (context.astype(U) + U(1)) * U(0x9E3779B97F4A7C15) + second * U(0xD1342543DE82EF95)
+    first, pair, (pairs, pairs_good) = summed([code], [np.concatenate(count)], [np.concatenate(count_good)])
+    own = context[first]
+    n = len(all_many)
+    after = [np.bincount(own, pairs, n), np.bincount(own, minlength=n), np.bincount(own, pairs_good, n), np.bincount(own[pairs_good > 0], minlength=n)]
+    out, w, p = [], 0, 0
+    for (chunk, _), x, y in zip(asked, words, seconds, strict=True):
+        a, b = at[w : w + len(x)], pair[p : p + len(y)]
+        out.append((chunk, packed(*[c[a].astype(np.int64) for c in (all_many, all_good, *after)], *[c[b] for c in (pairs, pairs_good)])))
+        w, p = w + len(x), p + len(y)
+    return out, [int(all_many.sum()), int(all_good.sum()), int((all_many > 0).sum()), int((all_good > 0).sum())]
+
+
+def differences(pair: np.ndarray, counts: list[np.ndarray], totals: list[int]) -> np.ndarray:
+    """log p_target - log p_background of a chunk's distinct bigrams, Witten-Bell smoothed down to the uniform distribution."""
+    many, many_good, after, kinds, after_good, kinds_good, pairs, pairs_good = (x.astype(np.float64) for x in counts)
+    first, second = pair // len(many), pair % len(many)
+    n, n_good, v, v_good = totals
+
+    def log_p(c: np.ndarray, total: np.ndarray, kinds: np.ndarray, one: np.ndarray, n: int, v_own: int) -> np.ndarray:
+        lower = ((one + v_own / v) / (n + v_own))[second]
+        total, kinds = total[first], kinds[first]
+        return np.log(np.where(total > 0, (c + kinds * lower) / np.maximum(total + kinds, 1), lower))
+
+    return log_p(pairs_good, after_good, kinds_good, many_good, n_good, v_good) - log_p(pairs, after, kinds, many, n, v)
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """(key, rows of chunk, bucket and data) of batches that are sorted by key."""
+    key, rows = None, []
+    for b in batches:
+        for k, chunk, bucket, data in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+            if rows and k != key:
+                yield key, rows
+                rows = []
+            key = k
+            rows.append((chunk, bucket, data.as_py()))
+    if rows:
+        yield key, rows
+
+
+def row_batch(key: int, chunk: int, bucket: int, data: bytes | None, totals: list[int] | None = None) -> pa.RecordBatch:
+    values = [key, chunk, bucket, data, *(totals or [0] * 4)]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 4]
+    names = [x.split()[0] for x in ROWS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+
+
+def asked_rows(flagged: DataFrame, buckets: int) -> DataFrame:
+    """The rows of all chunks of ``flagged`` (doc_id, text, target)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        diff = shipped.value
+        part, k, size = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            chunk = -1 - ((part << 32) | k)
+            ids = pa.concat_arrays([x[0] for x in held])
+            for key, bucket, data in chunk_rows(chunk, ids, *(np.concatenate([x[i] for x in held]) for i in (1, 2, 3)), buckets):
+                yield row_batch(key, chunk, bucket, data)
+
         for b in batches:
-            n, score = [], []
-            for text in b.column(1):
-                g = four_grams(text.as_py() or "")
-                n.append(len(g))
-                score.append(float(diff[g].sum(dtype=np.float64) / len(g)) if len(g) else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "n_tokens", "score"])
+            for lo, hi in slices(b.column(1)):
+                text = b.column(1).slice(lo, hi - lo)
+                held.append((b.column(0).slice(lo, hi - lo), *tokens(text), np.asarray(b.column(2).slice(lo, hi - lo)).astype(bool)))
+                size += text.nbytes
+                if size >= CHUNK_BYTES:
+                    yield from flush()
+                    held.clear()
+                    k, size = k + 1, 0
+        if held:
+            yield from flush()
+
+    return flagged.select("doc_id", "text", "target").mapInArrow(run, ROWS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, score double")
+
+def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, rows in groups(batches):
+        if key < 0:
+            for chunk, bucket, data in rows:
+                yield row_batch(chunk, chunk, bucket, data)
+            continue
+        rows.sort(key=lambda r: r[0])
+        out, totals = bucket_totals([(chunk, data) for chunk, _, data in rows])
+        for chunk, data in out:
+            yield row_batch(chunk, chunk, key, data)
+        yield row_batch(key, 0, key, None, totals)
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train both models over all documents and score all."""
+    """Train both models over all documents and score all: doc_id, n_tokens and score of every row."""
+    bounded_batches(docs.sparkSession)
     good = labels.groupBy(F.col("doc_id").cast("long").alias("__id")).agg((F.max("quality") == 1).alias("target"))
     flagged = (
         docs.select(F.col("doc_id").cast("long").alias("__doc"), "text")
         .join(good.filter("target").hint("merge"), F.col("__doc") == F.col("__id"), "left")
-        .select("text", F.coalesce("target", F.lit(False)).alias("target"))
+        .select(F.col("__doc").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target"))
+        .sortWithinPartitions("doc_id", F.xxhash64("text"))  # a task that runs again makes the same chunks
     )
-    return score_difference(docs, difference_table(gram_counts(flagged).toArrow()))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + size // BUCKET_BYTES
+    asked = asked_rows(flagged, buckets).repartition("key").sortWithinPartitions("key")
+    found = materialize(asked.mapInArrow(answered, ROWS), "totals")
+    totals = [x or 0 for x in found.agg(*[F.sum(c) for c in ("tokens", "target_tokens", "kinds", "target_kinds")]).first()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(batches):
+            rows.sort(key=lambda r: r[1])  # the documents, then the answers in the order of the words
+            word, n, known, ids, kinds = unpacked(rows[0][2], np.uint32, np.uint32, bool, np.int64, np.int64)
+            score = np.zeros(len(n))
+            if totals[1] and len(word):
+                got = zip(*(unpacked(data, *[np.int64] * 8) for _, _, data in rows[1:]), strict=True)
+                pair, which, _ = bigrams(word.astype(np.int64), n.astype(np.int64), int(kinds[0]))
+                each = differences(pair, [np.concatenate(x) for x in got], totals)[which]
+                score = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)) / np.maximum(n, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(n.astype(np.int64)), pa.array(score)], ["doc_id", "n_tokens", "score"])
+
+    chunks = found.filter("data IS NOT NULL").repartition("key").sortWithinPartitions("key")
+    return chunks.mapInArrow(run, "doc_id long, n_tokens long, score double")

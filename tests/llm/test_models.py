@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -96,6 +97,37 @@ def test_cross_entropy_of_awkward_rows(spark):
     assert {r.score for r in lmscore.cross_entropy_difference(documents(spark), labels.limit(0)).collect()} == {0.0}
 
 
+def test_word_models_by_brute_force(spark, monkeypatch):
+    """Statistics are words and marks of any number, so that texts with the same character classes differ."""
+    monkeypatch.setattr(lmscore, "CHUNK_BYTES", 60)
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", 40)
+    texts = [f"total {i} of item {i * 7}; {'cost' if i % 3 else 'price'} = {i % 5}!" for i in range(40)] + ["total 1 of item 7; cost = 1!", "total 2 of item 9; cost = 3?"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 1), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    split = [re.findall(r"[a-z0-9]+|[^\sa-z0-9]", t) for t in texts]
+
+    def model(docs):
+        one = collections.Counter(w for d in docs for w in d)
+        two = collections.Counter(x for d in docs for x in zip(["", *d], d))
+        after = collections.defaultdict(list)
+        for (a, _), n in two.items():
+            after[a].append(n)
+        v = len({w for d in split for w in d})
+
+        def p(a, b):
+            low = (one[b] + len(one) / v) / (sum(one.values()) + len(one))
+            return (two[a, b] + len(after[a]) * low) / (sum(after[a]) + len(after[a])) if a in after else low
+
+        return p
+
+    t, b = model([d for i, d in enumerate(split[:40]) if i % 4 == 1]), model(split)
+    out = {r.doc_id: r for r in lmscore.cross_entropy_difference(documents(spark, rows), labels).collect()}
+    for i, d in enumerate(split):
+        assert out[i].n_tokens == len(d)
+        assert out[i].score == pytest.approx(np.mean([math.log(t(x, y) / b(x, y)) for x, y in zip(["", *d], d)]), abs=1e-9)
+    assert abs(out[40].score - out[41].score) > 0.01
+
+
 def test_forward_backward_by_brute_force():
     rng = np.random.default_rng(0)
     m = toxicity.Model(step=np.array([[0.3, -0.4], [-0.2, 0.9]]), start=0.5)
