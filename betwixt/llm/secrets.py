@@ -1,8 +1,8 @@
 """Secret scanning: fixed patterns, and character Markov models for what no pattern names.
 
 Two first-order character models, of random strings and of ordinary identifiers, are trained from labelled
-samples. A run of token characters is a secret if the log-likelihood ratio of the two models reaches a
-threshold. Everything, training included, is DataFrame expressions; the only thing that reaches the driver is the
+samples. In a run of token characters, a segment whose log-likelihood ratio of the two models reaches a threshold
+is a secret, whatever else the run holds; it is taken to the nearest separators of the run. Everything, training included, is DataFrame expressions; the only thing that reaches the driver is the
 table of class-pair counts, whose size is fixed by the alphabet.
 
 Offsets are code points, end exclusive. Matching replaces each match by itself between two marks (U+0001; such
@@ -31,6 +31,7 @@ LEAST_ASSIGN = 12
 #: Runs that the models judge, and the ratio (in nats) from which one is a secret.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST_RATIO = 12.0
+INNER = "[^+/_=-]*"  # a secret goes on to the next separator
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 START = len(ALPHABET)
@@ -148,18 +149,72 @@ def ratio(token: Column, model: list[float]) -> Column:
     )
 
 
+def segments(token: Column, model: list[float], least: float) -> Column:
+    """Array of (start, end) of the segments of a token whose ratio reaches ``least``, in order.
+
+    The running sum starts anew at 0, and where it has fallen by ``least`` from a peak that counts, so that neither
+    ordinary text before a secret nor text between two of them hides one.
+    """
+    table = F.array(*[F.lit(x) for x in model])
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    zero = F.struct(
+        F.lit(START).alias("last"), F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).alias("since"),
+        F.lit(0.0).alias("best"), F.lit(0).alias("start"), F.lit(0).alias("end"), none.alias("out"),
+    )
+
+    def closed(s: Column) -> Column:
+        return F.when(s["best"] >= least, F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["out"])
+
+    def step(s: Column, c: Column) -> Column:
+        total, after = s["sum"] + F.get(table, s["last"] * WIDTH + c), s["at"] + 1
+        over = (total <= 0) | ((s["best"] >= least) & (total <= s["best"] - least))
+        peak = total > s["best"]
+        return F.struct(
+            c.alias("last"),
+            after.alias("at"),
+            F.when(over, 0.0).otherwise(total).alias("sum"),
+            F.when(over, after).otherwise(s["since"]).alias("since"),
+            F.when(over, 0.0).when(peak, total).otherwise(s["best"]).alias("best"),
+            F.when(peak & ~over, s["since"]).otherwise(s["start"]).alias("start"),
+            F.when(peak & ~over, after).otherwise(s["end"]).alias("end"),
+            F.when(over, closed(s)).otherwise(s["out"]).alias("out"),
+        )
+
+    return F.aggregate(token_classes(token), zero, step, closed)
+
+
+def blanked(text: Column, base: Spans) -> Column:
+    """The text with the characters of all base spans replaced by stand-ins; offsets stay."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, span: Column) -> Column:
+        start, end = F.greatest(s["at"], span["start"]), F.greatest(s["at"], span["end"])
+        hidden = F.repeat(F.lit(STAND_IN), end - start)
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, start - s["at"]), hidden)).alias("out"))
+
+    masked = F.aggregate(base, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, masked).otherwise(text)
+
+
 def markov_spans(text: Column, base: Spans, model: list[float], least: float = LEAST_RATIO) -> Spans:
-    """Spans of candidates that the models call random and that no base span overlaps."""
-    parts = F.split(F.regexp_replace(text, CANDIDATE, f"{MARK}$0{MARK}"), MARK, -1)
+    """Spans of segments that the models call random, in candidates outside base spans."""
+    parts = F.split(F.regexp_replace(blanked(text, base), CANDIDATE, f"{MARK}$0{MARK}"), MARK, -1)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("out"))
 
     def step(s: Column, part: Column) -> Column:
-        end = s["at"] + F.length(part)
-        free = ~F.exists(base, lambda b: (b["start"] < end) & (s["at"] < b["end"]))
-        good = s["hit"] & free & (ratio(part, model) >= least)
-        span = F.struct(s["at"].alias("start"), F.lit(3).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), (~s["hit"]).alias("hit"), F.when(good, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+        def add(out: Column, x: Column) -> Column:
+            before = F.length(F.regexp_extract(F.substring(part, F.lit(1), x["start"]), f"{INNER}$", 0))
+            after = F.length(F.regexp_extract(F.substring(part, x["end"] + 1, F.length(part)), f"^{INNER}", 0))
+            start, end = s["at"] + x["start"] - before, s["at"] + x["end"] + after
+            last = F.element_at(out, -1)
+            meets = (F.size(out) > 0) & (F.get(out, F.size(out) - 1)["end"] > start)
+            span = F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end"))
+            joined = F.struct(last["start"].alias("start"), F.lit(3).alias("kind"), F.greatest(last["end"], end).alias("end"))
+            return F.when(meets, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(span)))
+
+        found = F.aggregate(segments(part, model, least), s["out"], add)
+        return F.struct((s["at"] + F.length(part)).alias("at"), (~s["hit"]).alias("hit"), F.when(s["hit"], found).otherwise(s["out"]).alias("out"))
 
     return F.aggregate(parts, zero, step, lambda s: s["out"])
 

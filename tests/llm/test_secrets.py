@@ -78,6 +78,26 @@ def test_markov_spans_do_not_overlap_base_spans(spark):
     assert secrets.secret_table(documents(spark, rows)).first().spans == "markov:4:37,assign:38:77"
 
 
+def test_secrets_in_ordinary_runs(spark):
+    key, other = "Zx8Qp2Lm9Tv4Rk7Wn3Yb", "R4nD0mB4s364StR1nGx9Zq"
+    path = "/srv/development/administration/documentation/release/"
+    rows = [
+        (1, f"{path}{key}", "en", "s", 1),
+        (2, f"{path}{key}{path}{other}/release", "en", "s", 1),
+        (3, f"0123456789abcdef_{path}{key}", "en", "s", 1),
+        (4, f"{path}request-response-handler-service", "en", "s", 1),
+    ]
+    n, k = len(path), len(key)
+    got = {r.doc_id: r.spans for r in secrets.secret_table(documents(spark, rows)).collect()}
+    assert got[1] == f"markov:{n}:{n + k}"
+    # both secrets are whole; a span may take in the path's next word
+    spans = [tuple(map(int, x.split(":")[1:])) for x in got[2].split(",")]
+    assert [(a, rows[1][1][a:b].startswith(x)) for (a, b), x in zip(spans, (key, other), strict=True)] == [(n, True), (2 * n + k, True)]
+    assert got[3].startswith("hex:0:16,") and f"markov:{17 + n}:{17 + n + k}" in got[3]
+    assert got[4] == ""
+    assert secrets.redact(documents(spark, rows)).filter("doc_id = 1").first().text == f"{path}[SECRET]"
+
+
 def test_redaction(spark):
     rows = [(1, "a token=abcdefghijklmn b 0123456789abcdef c", "en", "s", 43), (2, "clean", "en", "s", 99), (3, None, "en", "s", None), (4, "secret=0123456789abcdef0", "en", "s", 24)]
     docs = documents(spark, rows)
