@@ -8,7 +8,7 @@ whole text give the offending offsets (marginal of at least one half) and, as th
 toxic, the document's score, which a logistic curve calibrates against the document labels.
 
 The model is fitted on a bounded sample of labelled rows: ``SAMPLE`` documents of each class, of ``SAMPLE_BYTES`` bytes
-together, in order of a hash of doc_id. Everything else runs over all rows and whole texts.
+together, in order of a hash of doc_id; one that does not fit is passed over. Everything else runs over all rows and whole texts.
 
 A chunk's texts are one sequence whose matrices reset at each text's first word, cut into equal lanes: products of
 the lanes' 2 x 2 matrices give each lane's entry state, and all lanes then run in step. This is exact for texts of
@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, crc_of_id
@@ -169,10 +169,13 @@ def pick_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int
     for label in (0, 1):  # top-k by hash: bounded by SAMPLE
         part = known.filter(F.col("__toxic") == label).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE[label])
         first = part if first is None else first.unionByName(part)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text").join(F.broadcast(first), F.col("__doc") == F.col("__id"))
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("__doc"), "text")
+    order = F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))  # of rows that repeat an id, the shortest
+    sizes = texts.join(F.broadcast(first), F.col("__doc") == F.col("__id")).groupBy("__id", "__toxic").agg(F.min(order).alias("row"))
+    found = sizes.select("__id", "__toxic", F.xxhash64("__id"), "row.size", "row.hash").collect()  # bounded by SAMPLE
+    kept = docs.sparkSession.createDataFrame(fitting(found), "__id long, __toxic int, __size int, __hash long")
+    chosen = texts.join(F.broadcast(kept), (F.col("__doc") == F.col("__id")) & (F.octet_length("text") == F.col("__size")) & (F.xxhash64("text") == F.col("__hash")))
     chosen = chosen.dropDuplicates(["__id"])
-    size = F.sum(F.octet_length("text")).over(Window.partitionBy("__toxic").orderBy(F.xxhash64("__id"), "__id"))
-    chosen = chosen.filter(F.col("text").isNotNull()).withColumn("__size", size).filter(F.col("__size") <= F.when(F.col("__toxic") == 1, SAMPLE_BYTES[1]).otherwise(SAMPLE_BYTES[0]))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,6 +188,19 @@ def pick_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int
     return chosen.select("__toxic", "text").mapInArrow(tokens, "toxic int, own binary"), totals
 
 
+def fitting(found: list[tuple]) -> list[tuple]:
+    """(id, toxic, size, hash) of the rows (id, toxic, order, size, hash) that, in their order, still fit in SAMPLE_BYTES.
+
+    A document that does not fit is passed over; those after it are not.
+    """
+    left, kept = dict(SAMPLE_BYTES), []
+    for i, toxic, _, size, text in sorted(found, key=lambda r: (r[2], r[0])):
+        if size <= left[toxic]:
+            left[toxic] -= size
+            kept.append((i, toxic, size, text))
+    return kept
+
+
 def analysed(low: pa.Array) -> tuple[Words, np.ndarray]:
     """Words and own features of texts that are in lower case."""
     buf, _ = raw_bytes(low)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from betwixt.llm import langid, lmscore, toxicity
 from betwixt.llm.queries import op6_rank_order_language, op7_cross_entropy_difference, op8_crf_toxicity
@@ -191,3 +192,16 @@ def test_toxicity_of_awkward_tables(spark):
     assert toxicity.toxicity_table(documents(spark), labels.limit(0)).count() == len(corpus())
     assert toxicity.toxicity_table(empty(spark), labels).count() == 0
     assert toxicity.reject_toxic(empty(spark), labels).count() == 0
+
+
+def test_a_giant_toxic_document_leaves_the_rest_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", {0: 1 << 20, 1: 20_000})
+    ids = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5]
+    giant = spark.createDataFrame([(i,) for i in ids], "i long").orderBy(F.xxhash64("i"), "i").first().i
+    good = [(i, f"quiet words number {i} of a plain text", "en", "s", 1) for i in range(60)]
+    bad = [(i, f"quiet NASTYWORD words number {i}" + " plain text" * (3000 if i == giant else 0), "en", "s", 1) for i in ids]
+    labels = spark.createDataFrame([(r[0], 1, int(r[0] >= 100)) for r in good + bad], "doc_id long, quality int, toxic int")
+    sample, _ = toxicity.pick_sample(documents(spark, good + bad), labels)
+    assert sample.filter("toxic = 1").count() == len(ids) - 1
+    out = toxicity.toxicity_table(documents(spark, good + bad), labels).collect()
+    assert all(r.predicted == int(r.doc_id >= 100) for r in out)
