@@ -3,9 +3,9 @@
 Sets are embedded as ``T`` min-hash values; a token is a position with its value. A run starts with all sets in
 one node; a node splits its sets on sampled shared tokens: position i is sampled where a hash of (node, i) is
 below 1 / (similarity * T), and sets with the same value there go to the same child. A pair at the threshold
-survives a level with an expected one shared child; small nodes are brute-forced, large ones split again. Runs are
-repeated until the recall of a pair at the threshold, by the branching process's survival probability at the
-greatest depth, reaches ``recall``. What is still large after the last level is brute-forced in pairs of blocks.
+survives a level with an expected one shared child; small nodes are brute-forced, large ones split again. The roots
+are shared by all sets, so each samples one position, all of them different; there are as many as bring the recall of
+a pair at the threshold, by the branching process's survival probability at the greatest depth, to ``recall``. What is still large after the last level is brute-forced in pairs of blocks.
 
 Brute force in nodes compares one-byte sketches with a margin of four standard deviations and yields a spanning
 forest of the node, never all pairs. Connected components of these forests are candidate groups. In each group all
@@ -99,6 +99,28 @@ def runs_for(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - q))
 
 
+def roots_for(recall: float, depth: int, similarity: float, t: int = T) -> int:
+    """Positions of the first level until a pair at the threshold is met with probability ``recall``.
+
+    All sets share the roots, so the positions are fixed and distinct; the pair agrees on each independently, and deeper
+    levels survive as in ``runs_for``. Averaged over the share of ``t`` positions on which the pair agrees.
+    """
+    share = np.arange(t + 1) / t
+    log_n = np.array([math.lgamma(t + 1) - math.lgamma(j + 1) - math.lgamma(t - j + 1) for j in range(t + 1)])
+    weight = np.exp(log_n + np.arange(t + 1) * math.log(similarity) + np.arange(t, -1, -1) * math.log1p(-similarity)) if similarity < 1 else (share == 1) * 1.0
+    q = np.ones(t + 1)
+    for _ in range(depth - 1):
+        q = 1 - np.exp(-share / similarity * q)
+    return next((n for n in range(1, t) if (weight * (1 - share * q) ** n).sum() <= 1 - recall), t)
+
+
+def root_children(sketch: np.ndarray, roots: int) -> Iterator[np.ndarray]:
+    """Every set's child under each root: a root samples one position, no two roots the same."""
+    order = np.argsort(mix(np.arange(1, sketch.shape[1] + 1, dtype=U) * U(0xA0761D6478BD642F)))
+    for i in order[:roots]:
+        yield mix((sketch[:, i].astype(U) + U(1)) * U(0x9E3779B97F4A7C15) ^ mix(np.array([i + 1], U) * U(0xD1342543DE82EF95)))
+
+
 def children(node: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, child) of every sampled token of each row's node."""
     t = sketch.shape[1]
@@ -329,7 +351,7 @@ def set_table(docs: DataFrame, kept: list[str]) -> DataFrame:
 
 def candidate_edges(reps: DataFrame, similarity: float, recall: float, depth: int, block: int) -> DataFrame:
     """Spanning forests (a, b) of all nodes of all runs, over reps (key, sk32, sk8)."""
-    runs = runs_for(recall, depth)
+    starts = min(T, max(runs_for(recall, depth), roots_for(recall, depth, similarity)))
     spread = 4 * math.sqrt(similarity * (1 - similarity) / T)
     least_equal = math.ceil(T * ((similarity - spread) * 255 / 256 + 1 / 256))
 
@@ -338,10 +360,8 @@ def candidate_edges(reps: DataFrame, similarity: float, recall: float, depth: in
             if not b.num_rows:
                 continue
             key, sketch = b.column(0).to_numpy(), unpacked(b.column(1), np.uint32)
-            for run in mix(np.arange(1, runs + 1, dtype=U) * U(0xA0761D6478BD642F)):
-                row, child = children(np.full(len(key), run, U), sketch, similarity)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([_ints(child), pa.array(key[row])], ["node", "key"])
+            for child in root_children(sketch, starts):
+                yield pa.RecordBatch.from_arrays([_ints(child), pa.array(key)], ["node", "key"])
 
     def next_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -86,6 +86,24 @@ def test_runs_follow_the_recall():
     assert simjoin.runs_for(0.9, 1) < simjoin.runs_for(0.9, 3)
 
 
+def test_recall_of_pairs_that_need_three_levels():
+    n, t = 10_000, simjoin.T
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**32, (n, t), dtype=np.uint32)
+    b = np.where(rng.random((n, t)) < 0.8, a, rng.integers(0, 2**32, (n, t), dtype=np.uint32))
+    roots = max(simjoin.runs_for(0.999, 3), simjoin.roots_for(0.999, 3, 0.8))
+    paths = zip(simjoin.root_children(a, roots), simjoin.root_children(b, roots), strict=True)
+    pairs = [(np.flatnonzero(x == y), x[x == y]) for x, y in paths]
+    assert len(pairs) == roots and all(0.75 < len(p) / n < 0.85 for p, _ in pairs)
+    pair, node = (np.concatenate(x) for x in zip(*pairs))
+    for _ in range(2):
+        # nodes hold one pair each here: draws per pair and node, as for other pairs of a large node
+        (ra, ca), (rb, cb) = (simjoin.children(node, s[pair], 0.8) for s in (a, b))
+        assert (ra == rb).all()
+        pair, node = pair[ra[ca == cb]], ca[ca == cb]
+    assert 1 - len(np.unique(pair)) / n <= 0.002
+
+
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (5, 4), (10, 11), (11, 12), (12, 13), (13, 14), (7, 7)]
     got = {r.node: r.root for r in graphs.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
