@@ -2,61 +2,57 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
+from ..functions.lineage import written
+
+FILTER_BITS = 26  # 8 MB, whatever it holds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the folder that all executors share and read it back, which cuts the lineage."""
+    return written(df, name)
+
 
-    Only where the session names none (tests, a laptop) is one of our own set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="betwixt-")
-    return _LOCAL["dir"]
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def fresh(taken: list[str], *stems: str) -> list[str]:
+    """Names for helper columns that no column of the input has."""
+    low = {c.lower() for c in taken}
+    tail = ""
+    while any((s + tail).lower() in low for s in stems):
+        tail += "_"
+    return [s + tail for s in stems]
 
-    Cuts the lineage, so a lost executor costs a re-read and not a re-computation of all that
-    came before. The files go when the driver ends.
+
+def key_filter(keys: DataFrame, hashed: Column) -> np.ndarray:
+    """A bitmap of 2 ** FILTER_BITS bits in which the bit of each row's 64-bit hash is set.
+
+    Of a fixed size, so that it may be broadcast; the more keys, the more other rows pass it. Rows that pass are looked
+    up exactly, so results do not depend on it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/betwixt-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(df_paths: list[tuple[SparkSession, str]] | None = None) -> None:
-    """Delete the tables that ``materialize`` wrote."""
-    todo = _WRITTEN if df_paths is None else df_paths
-    while todo:
-        spark, path = todo.pop()
-        try:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM is gone: the folder's owner cleans up
-            return
-
-
-atexit.register(release)
+    at = F.shiftrightunsigned(hashed, 64 - FILTER_BITS)
+    word = F.shiftrightunsigned(at, 6).cast("int").alias("word")
+    bit = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
+    rows = keys.select(at.alias("at"), word).select("word", bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
+
+
+def passes(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Which hashes may be among the keys of ``key_filter``."""
+    at = hashed.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:

@@ -1,26 +1,34 @@
 """Cross-entropy difference (Moore and Lewis, 2010) with matched word bigram models.
 
 A target model (documents labelled quality 1) and a background model (all documents) have the same order, the same
-Witten-Bell smoothing and the same vocabulary: every token of any document. A token is a word (a run of letters,
-digits and non-ASCII characters, in lower case) or one other character that is no white space. A document's score is
-the mean over its tokens of log p_target - log p_background, that is, the difference of its cross-entropies; higher is
-closer to the target.
+smoothing and the same vocabulary: every token of any document. A token is a word (a run of letters, digits and
+non-ASCII characters, in lower case) or one other character that is no white space. A document's score is the mean
+over its tokens of log p_target - log p_background, that is, the difference of its cross-entropies; higher is closer
+to the target.
+
+With c counts of one model's documents, n its tokens, k its kinds of tokens and v the kinds of all documents,
+p(b) = (c(b) + k / v) / (n + k) and p(b | a) = (c(ab) + PRIOR p(b)) / (c(a before any) + PRIOR).
 
 Counts cover every document's whole text, and vocabulary and bigrams grow with the corpus, so no table is gathered
 or broadcast. Documents are taken in chunks of ``CHUNK_BYTES``; a chunk sends its distinct words and bigrams, with
-their counts, to buckets by ranges of the word's (the bigram's first word's) hash, a bucket adds them up and sends
-each chunk the totals of what that chunk asked for. A word or bigram is sent once by a chunk however often it occurs
-there, so a common one makes no hot key. Only four numbers, tokens and kinds of both models, reach the driver.
+their counts, to buckets by ranges of their hashes, a bucket adds them up and sends each chunk the totals of what that
+chunk asked for. A word or bigram is sent once by a chunk however often it occurs there, and bigrams are dealt by the
+hash of both words, so neither a common word nor a common bigram makes a hot bucket. Only four numbers, tokens and
+kinds of both models, reach the driver.
+
+Texts stay where they are read, but for those that may be the target's: these are looked up by a merge join, behind a
+bitmap of fixed size that lets no target document past.
 
-Tokens are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes, the bigrams of a bucket by 40 bits beyond the bucket's range.
 
 Defined results: a null text, or one without a word, has 0 tokens and score 0; without target documents every score
-is 0; labels that disagree count as quality 1; repeated rows are counted each time and scored alike; an empty table
-gives an empty result; other columns are ignored.
+is 0; labels that disagree count as quality 1; rows with a null doc_id are never the target's; repeated rows are
+counted each time and scored alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,44 +37,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
-from .langid import encode
-from .textnum import U, WORD_BYTE, lowered, raw_bytes, slices, span_hashes
-
-CLASSES = 64
-ORDER = 4
-SIZE = CLASSES**ORDER
+from .common import bounded_batches, key_filter, materialize, passes
+from .textnum import U, WORD_BYTE, lowered, mix, raw_bytes, slices, span_hashes
 
-CHUNK_BYTES = 8 << 20  # of text in a chunk
+PRIOR = 16.0
+CHUNK_BYTES = 16 << 20  # of text in a chunk
 BUCKET_BYTES = 8 << 20  # of text for each bucket
+TASK_BYTES = 64 << 20  # of text for each task after a shuffle
 START = U(0)  # stands before a text's first token
 ROWS = "key long, chunk long, bucket int, data binary, tokens long, target_tokens long, kinds long, target_kinds long"
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
-def four_grams(text: str) -> np.ndarray:
-    """Of the character model, a small dense form of the same smoothing: the codes of the text's tokens with their three predecessors; a text starts after three separators."""
-    c = encode(text)
-    if not c.any():
-        return np.zeros(0, np.uint32)
-    c = np.concatenate([np.zeros(2, np.uint32), c])
-    return (c[:-3] << np.uint32(18)) | (c[1:-2] << np.uint32(12)) | (c[2:-1] << np.uint32(6)) | c[3:]
-
-
-def log_model(counts: np.ndarray) -> np.ndarray:
-    """log p(last | first three) of every four-gram, Witten-Bell smoothed down to the uniform distribution."""
-    p = np.full(CLASSES, 1 / CLASSES, np.float32)
-    for order in range(1, ORDER + 1):
-        c = counts.reshape(-1, CLASSES**order).sum(0, dtype=np.float64).astype(np.float32).reshape(-1, CLASSES)
-        kinds = (c > 0).sum(1, keepdims=True).astype(np.float32)
-        total = c.sum(1, keepdims=True)
-        lower = np.tile(p.reshape(-1, CLASSES), (c.shape[0] // max(1, p.size // CLASSES), 1))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            p = np.where(total > 0, (c + kinds * lower) / (total + kinds), lower).reshape(-1)
-    return np.log(p, out=p)
-
-
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, and how many each row has; a row without a word has none."""
     buf, offs = raw_bytes(lowered(texts))
@@ -89,7 +72,9 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    raw = np.array([len(x) for x in arrays], np.int64).tobytes() + b"".join(x.tobytes() for x in arrays)
+    """Compressed arrays; each a byte of all numbers after the other, which brings their zeros together."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in arrays]
+    raw = np.array([len(x) for x in arrays], np.int64).tobytes() + b"".join(planes)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -97,43 +82,50 @@ def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
     raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     at, out = 8 * len(kinds), []
     for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * size
     return out
 
 
-def bigrams(word: np.ndarray, n: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams of a chunk as first * kinds + second, each token's bigram, and how often each occurs.
+def bigrams(word: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct bigrams in the order of their hashes: hash, first word, second word, count; and each token's bigram.
 
-    ``word`` has each token's place among the chunk's ``kinds`` words, ``n`` the tokens of each document; START is word 0.
+    ``word`` has each token's place in ``kinds``, ``n`` the tokens of each document; START is word 0.
     """
     before = np.zeros(len(word), np.int64)
     before[1:] = word[:-1]
     first = np.cumsum(n) - n
     before[first[n > 0]] = 0
-    return np.unique(before * kinds + word, return_inverse=True, return_counts=True)
+    code, which, count = np.unique(before * len(kinds) + word, return_inverse=True, return_counts=True)
+    a, b = code // len(kinds), code % len(kinds)
+    h = mix(kinds[a] * U(0x9E3779B97F4A7C15) + mix(kinds[b] ^ U(0xD1342543DE82EF95)))
+    order = np.argsort(h)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return h[order], a[order], b[order], count[order], place[which]
 
 
 def chunk_rows(chunk: int, ids: pa.Array, h: np.ndarray, n: np.ndarray, target: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """(key, bucket, data) of a chunk: its documents (bucket -1), and what it asks of each bucket."""
     kinds, word, many = np.unique(np.concatenate([[START], h]), return_inverse=True, return_counts=True)
     word = word[1:].astype(np.int64)
-    many[0] = 0
     good = np.repeat(target, n)
-    many_good = np.bincount(word[good], minlength=len(kinds))
-    pair, which, count = bigrams(word, n, len(kinds))
+    pair, a, b, count, which = bigrams(word, n, kinds)
     count_good = np.bincount(which[good], minlength=len(pair))
-    first, second = pair // len(kinds), kinds[pair % len(kinds)]
-    followers = np.bincount(first, minlength=len(kinds))
+    many[0] = 0
+    words = [many, np.bincount(word[good], minlength=len(kinds)), np.bincount(a, count, len(kinds)), np.bincount(a, count_good, len(kinds))]
+    # words by falling frequency: their numbers are small and compress well
+    often = np.argsort(-words[2], kind="stable")
+    rank = np.empty(len(often), np.uint32)
+    rank[often] = np.arange(len(often))
     known = np.asarray(ids.is_valid())
-    yield chunk, -1, packed(word.astype(np.uint32), n.astype(np.uint32), known, np.asarray(ids.fill_null(0)).astype(np.int64), np.array([len(kinds)], np.int64))
-    bucket = bucket_of(kinds, buckets)
-    at = np.searchsorted(bucket, np.arange(buckets + 1))
-    ends = np.concatenate([[0], np.cumsum(followers)])
-    for b in np.flatnonzero(np.diff(at)).tolist():
-        w, p = slice(at[b], at[b + 1]), slice(ends[at[b]], ends[at[b + 1]])
-        small = [x.astype(np.uint32) for x in (many[w], many_good[w], followers[w], count[p], count_good[p])]
-        yield b, b, packed(kinds[w], second[p], *small)
+    yield chunk, -1, packed(rank[word], n.astype(np.uint32), known, np.asarray(ids.fill_null(0)).astype(np.int64), kinds[often])
+    at, to = (np.searchsorted(bucket_of(x, buckets), np.arange(buckets + 1)) for x in (kinds, pair))
+    for k in np.flatnonzero((np.diff(at) > 0) | (np.diff(to) > 0)).tolist():
+        w, p = slice(at[k], at[k + 1]), slice(to[k], to[k + 1])
+        yield k, k, packed(kinds[w], *[x[w].astype(np.uint32) for x in words], *inside(pair[p], buckets), count[p].astype(np.uint32), count_good[p].astype(np.uint32))
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -141,45 +133,45 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-def summed(keys: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """First places of the distinct keys, each key's place among these, and the sums of the counts."""
-    _, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return first, which, [np.bincount(which, np.concatenate(c), len(first)).astype(np.int64) for c in counts]
+def inside(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """40 bits that tell apart the hashes of a bucket: the bits beyond those that every hash of a bucket shares."""
+    x = h << U(max(0, int(math.log2(buckets)) - 1))
+    return (x >> U(32)).astype(np.uint32), (x >> U(24) & U(255)).astype(np.uint8)
+
+
+def summed(keys: np.ndarray, *counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each key's place among the distinct keys, and the sums of the counts."""
+    distinct, which = np.unique(keys, return_inverse=True)
+    return which, [np.bincount(which, np.concatenate(c), len(distinct)).astype(np.int64) for c in counts]
+
+
+ASKED = [U, *[np.uint32] * 4, np.uint32, np.uint8, np.uint32, np.uint32]
 
 
 def bucket_totals(asked: list[tuple[int, bytes]]) -> tuple[list[tuple[int, bytes]], list[int]]:
-    """Each chunk's answer: counts of its words, tokens and kinds after them, and counts of its bigrams; and the bucket's four totals."""
-    got = [unpacked(data, U, U, *[np.uint32] * 5) for _, data in asked]
-    words, seconds, many, many_good, followers, count, count_good = (list(x) for x in zip(*got, strict=True))
-    _, at, (all_many, all_good) = summed(words, many, many_good)
-    context = np.repeat(at, np.concatenate(followers))
-    second = np.concatenate(seconds)
-    # the pair's hash: the context's place is exact in the bucket
-    code = (context.astype(U) + U(1)) * U(0x9E3779B97F4A7C15) + second * U(0xD1342543DE82EF95)
-    first, pair, (pairs, pairs_good) = summed([code], [np.concatenate(count)], [np.concatenate(count_good)])
-    own = context[first]
-    n = len(all_many)
-    after = [np.bincount(own, pairs, n), np.bincount(own, minlength=n), np.bincount(own, pairs_good, n), np.bincount(own[pairs_good > 0], minlength=n)]
+    """Each chunk's answer: four counts of its words and two of its bigrams; and the bucket's four totals."""
+    got = [unpacked(data, *ASKED) for _, data in asked]
+    words, *counts, high, low, pairs, pairs_good = (list(x) for x in zip(*got, strict=True))
+    at, word_sums = summed(np.concatenate(words), *counts)
+    to, pair_sums = summed(np.concatenate(high).astype(U) << U(8) | np.concatenate(low), pairs, pairs_good)
     out, w, p = [], 0, 0
-    for (chunk, _), x, y in zip(asked, words, seconds, strict=True):
-        a, b = at[w : w + len(x)], pair[p : p + len(y)]
-        out.append((chunk, packed(*[c[a].astype(np.int64) for c in (all_many, all_good, *after)], *[c[b] for c in (pairs, pairs_good)])))
+    for (chunk, _), x, y in zip(asked, words, high, strict=True):
+        out.append((chunk, packed(*[c[at[w : w + len(x)]] for c in word_sums], *[c[to[p : p + len(y)]] for c in pair_sums])))
         w, p = w + len(x), p + len(y)
-    return out, [int(all_many.sum()), int(all_good.sum()), int((all_many > 0).sum()), int((all_good > 0).sum())]
+    many, many_good = word_sums[:2]
+    return out, [int(many.sum()), int(many_good.sum()), int((many > 0).sum()), int((many_good > 0).sum())]
 
 
-def differences(pair: np.ndarray, counts: list[np.ndarray], totals: list[int]) -> np.ndarray:
-    """log p_target - log p_background of a chunk's distinct bigrams, Witten-Bell smoothed down to the uniform distribution."""
-    many, many_good, after, kinds, after_good, kinds_good, pairs, pairs_good = (x.astype(np.float64) for x in counts)
-    first, second = pair // len(many), pair % len(many)
+def differences(first: np.ndarray, second: np.ndarray, counts: list[np.ndarray], totals: list[int]) -> np.ndarray:
+    """log p_target - log p_background of a chunk's distinct bigrams."""
+    many, many_good, after, after_good, pairs, pairs_good = (x.astype(np.float64) for x in counts)
     n, n_good, v, v_good = totals
 
-    def log_p(c: np.ndarray, total: np.ndarray, kinds: np.ndarray, one: np.ndarray, n: int, v_own: int) -> np.ndarray:
-        lower = ((one + v_own / v) / (n + v_own))[second]
-        total, kinds = total[first], kinds[first]
-        return np.log(np.where(total > 0, (c + kinds * lower) / np.maximum(total + kinds, 1), lower))
+    def log_p(c: np.ndarray, total: np.ndarray, one: np.ndarray, n: int, k: int) -> np.ndarray:
+        lower = ((one + k / v) / (n + k))[second]
+        return np.log((c + PRIOR * lower) / (total[first] + PRIOR))
 
-    return log_p(pairs_good, after_good, kinds_good, many_good, n_good, v_good) - log_p(pairs, after, kinds, many, n, v)
+    return log_p(pairs_good, after_good, many_good, n_good, v_good) - log_p(pairs, after, many, n, v)
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
@@ -244,33 +236,57 @@ def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row_batch(key, 0, key, None, totals)
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train both models over all documents and score all: doc_id, n_tokens and score of every row."""
-    bounded_batches(docs.sparkSession)
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("__id")).agg((F.max("quality") == 1).alias("target"))
-    flagged = (
-        docs.select(F.col("doc_id").cast("long").alias("__doc"), "text")
-        .join(good.filter("target").hint("merge"), F.col("__doc") == F.col("__id"), "left")
-        .select(F.col("__doc").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target"))
+def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, target) of every row."""
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("good")).distinct()
+    spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast(key_filter(good, F.xxhash64("good")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
+
+    def only(maybe: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                may = passes(shipped.value, b.column(2).to_numpy()) & np.asarray(b.column(0).is_valid())
+                if (may == maybe).any():
+                    yield b.select([0, 1]).filter(pa.array(may == maybe))
+
+        return rows.mapInArrow(run, "doc_id long, text string")
+
+    looked_up = (
+        only(True)
+        .join(good.hint("merge"), F.col("doc_id") == F.col("good"), "left")
+        .select("doc_id", "text", F.col("good").isNotNull().alias("target"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))  # a task that runs again makes the same chunks
     )
+    return looked_up.unionByName(only(False).select("doc_id", "text", F.expr("false").alias("target")))
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Train both models over all documents and score all: doc_id, n_tokens and score of every row."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + size // BUCKET_BYTES
-    asked = asked_rows(flagged, buckets).repartition("key").sortWithinPartitions("key")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+    asked = asked_rows(with_target(docs, labels), buckets).repartition(parts, "key").sortWithinPartitions("key")
     found = materialize(asked.mapInArrow(answered, ROWS), "totals")
     totals = [x or 0 for x in found.agg(*[F.sum(c) for c in ("tokens", "target_tokens", "kinds", "target_kinds")]).first()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches):
-            rows.sort(key=lambda r: r[1])  # the documents, then the answers in the order of the words
-            word, n, known, ids, kinds = unpacked(rows[0][2], np.uint32, np.uint32, bool, np.int64, np.int64)
+            rows.sort(key=lambda r: r[1])  # the documents, then the answers in the order of the hashes
+            rank, n, known, ids, often = unpacked(rows[0][2], np.uint32, np.uint32, bool, np.int64, U)
             score = np.zeros(len(n))
-            if totals[1] and len(word):
-                got = zip(*(unpacked(data, *[np.int64] * 8) for _, _, data in rows[1:]), strict=True)
-                pair, which, _ = bigrams(word.astype(np.int64), n.astype(np.int64), int(kinds[0]))
-                each = differences(pair, [np.concatenate(x) for x in got], totals)[which]
+            if totals[1] and len(rank):
+                order = np.argsort(often)
+                word = np.empty(len(order), np.int64)
+                word[order] = np.arange(len(order))
+                n = n.astype(np.int64)
+                _, first, second, _, which = bigrams(word[rank], n, often[order])
+                got = zip(*(unpacked(data, *[np.int64] * 6) for _, _, data in rows[1:]), strict=True)
+                each = differences(first, second, [np.concatenate(x) for x in got], totals)[which]
                 score = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)) / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(n.astype(np.int64)), pa.array(score)], ["doc_id", "n_tokens", "score"])
 
-    chunks = found.filter("data IS NOT NULL").repartition("key").sortWithinPartitions("key")
+    chunks = found.filter("data IS NOT NULL").repartition(parts, "key").sortWithinPartitions("key")
     return chunks.mapInArrow(run, "doc_id long, n_tokens long, score double")

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 
 CHUNK = 2 << 20
 BASE = 0x100000001B3  # odd, hence invertible modulo 2^64
+PRIME, PRIME_BASE = (1 << 31) - 1, 0x2C1B3C6D  # of a second running sum: some texts collide modulo 2^64 whatever the base
 U = np.uint64
 
 WORD_BYTE = np.zeros(256, bool)
@@ -36,6 +37,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """PRIME_BASE**i and its inverse for i below n, modulo PRIME."""
+    if len(_POWERS.get("prime_up", ())) < n:
+        size = max(n, CHUNK + 1)
+        for k, b in (("prime_up", PRIME_BASE), ("prime_down", pow(PRIME_BASE, -1, PRIME))):
+            x = np.ones(size, U)
+            done = 1
+            while done < size:  # doubling: x[done + i] = x[i] * b**done
+                more = min(done, size - done)
+                x[done : done + more] = x[:more] * U(pow(b, done, PRIME)) % U(PRIME)
+                done += more
+            _POWERS[k] = x
+    return _POWERS["prime_up"], _POWERS["prime_down"]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (xor-shift and multiply), elementwise."""
     x = x ^ (x >> U(30))
@@ -107,11 +123,17 @@ def bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, from one running sum over the chunk."""
+    """A 64-bit hash of each byte range, from two running sums over the chunk: modulo 2^64 and modulo a prime."""
     up, down = powers(len(buf) + 1)
+    value = buf.astype(U) + U(1)
     run = np.zeros(len(buf) + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * up[: len(buf)], out=run[1:])
-    return mix((run[end] - run[start]) * down[start] + (end - start).astype(U))
+    np.cumsum(value * up[: len(buf)], out=run[1:])
+    h = (run[end] - run[start]) * down[start] + (end - start).astype(U)
+    up, down = prime_powers(len(buf) + 1)
+    value *= up[: len(buf)]  # below 2^40, so that 2^24 of them add up
+    np.cumsum(value if len(buf) < 1 << 24 else value % U(PRIME), out=run[1:])
+    second = (run[end] - run[start]) % U(PRIME) * down[start] % U(PRIME)
+    return mix(h ^ mix(second))
 
 
 def words(texts: pa.Array, lower: bool = True) -> Words:

@@ -50,37 +50,6 @@ def test_languages_of_awkward_rows(spark):
     assert {r.lang_pred for r in untaught.collect()} == {"und"}
 
 
-def test_cross_entropy_by_brute_force():
-    texts, good = ["abab ab", "ba ba bb", "zz ab zz"], [True, False, False]
-
-    def codes(t):
-        c = [0, 0, *langid.encode(t).tolist()]
-        return [tuple(c[i : i + 4]) for i in range(len(c) - 3)]
-
-    def model(docs):
-        counts = [collections.Counter(g[4 - n :] for t in docs for g in codes(t)) for n in range(5)]
-
-        def p(g):
-            if not g:
-                return 1 / 64
-            after = {k: v for k, v in counts[len(g)].items() if k[:-1] == g[:-1]}
-            total, kinds = sum(after.values()), len(after)
-            return (after.get(g, 0) + kinds * p(g[1:])) / (total + kinds) if total else p(g[1:])
-
-        return p
-
-    t, b = model([x for x, y in zip(texts, good) if y]), model(texts)
-    dense = []
-    for docs in ([x for x, y in zip(texts, good) if y], texts):
-        c = np.zeros(lmscore.SIZE, np.float32)
-        for x in docs:
-            np.add.at(c, lmscore.four_grams(x), 1)
-        dense.append(lmscore.log_model(c))
-    for x in texts:
-        got = (dense[0] - dense[1])[lmscore.four_grams(x)].mean()
-        assert got == pytest.approx(np.mean([math.log(t(g) / b(g)) for g in codes(x)]), abs=1e-4)
-
-
 def test_cross_entropy_prefers_the_target(spark):
     out = {r.doc_id: r.score for r in op7_cross_entropy_difference(spark, SF).collect()}
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
@@ -110,14 +79,12 @@ def test_word_models_by_brute_force(spark, monkeypatch):
     def model(docs):
         one = collections.Counter(w for d in docs for w in d)
         two = collections.Counter(x for d in docs for x in zip(["", *d], d))
-        after = collections.defaultdict(list)
-        for (a, _), n in two.items():
-            after[a].append(n)
+        after = collections.Counter(x for d in docs for x in ["", *d[:-1]])
         v = len({w for d in split for w in d})
 
         def p(a, b):
             low = (one[b] + len(one) / v) / (sum(one.values()) + len(one))
-            return (two[a, b] + len(after[a]) * low) / (sum(after[a]) + len(after[a])) if a in after else low
+            return (two[a, b] + lmscore.PRIOR * low) / (after[a] + lmscore.PRIOR)
 
         return p
 
