@@ -13,10 +13,12 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="betwixt-"))
     return _OWN[0]
