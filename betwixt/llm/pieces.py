@@ -11,8 +11,11 @@ the last rank.
 
 No piece holds a space after another character, and none a newline, so a lattice falls apart at those places into
 independent segments: exactly, not as an approximation. Distinct segments of a chunk share one forward pass; each
-occurrence is sampled on its own. Random numbers are a hash of (row key, segment's number in the text, step), so a row's
-result does not depend on batches, partitions or retries. Segments of more than ``LONG`` bytes are done one at a time.
+occurrence is sampled on its own. Segments of more than ``LONG`` bytes fall apart further, at places that no piece
+crosses, and so do texts of more than ``CHUNK`` bytes, which are encoded part by part; only a run that pieces cross
+everywhere is held whole. The random number of each step is a hash of the row key and the place in the text, so a row's
+result depends neither on batches, partitions and retries nor on where its lattice was cut. Sums that could leave the
+range of a double carry binary exponents, so any ``alpha`` works.
 
 Decoding joins the pieces' bytes and drops the leading space that encoding adds: any text, also with literal U+2581
 (which encodes as bytes), comes back byte for byte.
@@ -36,7 +39,7 @@ from .common import bounded_batches
 from .textnum import BASE, U, mix, powers, raw_bytes, slices, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG = 64
+LONG = 64  # bytes
 CHUNK = 1 << 20  # a chunk costs about 300 bytes of working memory a byte of text
 SPACE, NEWLINE = 0x20, 0x0A
 SPREAD = U(0x9E3779B97F4A7C15)
@@ -72,6 +75,7 @@ class Vocabulary:
             seen[slot(np.array([poly(p) for p in longer], U))] |= 2
             self.tables[n] = (h[order], np.array(which, np.int64)[order], seen)
         self.lookup = {p: i for i, p in enumerate(self.pieces)}
+        self.longest = max(by_length)
         # bytes of every id, for decoding
         length = np.zeros(self.size, np.int64)
         raw: list[bytes] = [b""] * self.size
@@ -117,8 +121,21 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, np.array(ids), logs, byte_ids, float(logs.min()), n)
 
 
-def uniform(seed: np.ndarray, step: int) -> np.ndarray:
-    return (mix(seed + U(step * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) >> U(11)).astype(np.float64) * 2.0**-53
+def uniform(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each row's seed and place in the text."""
+    return (mix(seed + place.astype(U) * U(0xD1342543DE82EF95)) >> U(11)).astype(np.float64) * 2.0**-53
+
+
+def row_seeds(keys: np.ndarray) -> np.ndarray:
+    return mix(keys ^ U(0x5EED))
+
+
+def segment_begins(buf: np.ndarray) -> np.ndarray:
+    """Where a newline is, or something after one, or a space after another character: no piece crosses these places."""
+    space, newline = buf == SPACE, buf == NEWLINE
+    begins = newline.copy()
+    begins[1:] |= newline[:-1] | (space[1:] & ~space[:-1])
+    return begins
 
 
 def char_ends(buf: np.ndarray) -> np.ndarray:
@@ -183,96 +200,75 @@ def edges_of(buf: np.ndarray, seg_end: np.ndarray, v: Vocabulary) -> tuple[np.nd
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
 
 
+def uncrossed(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the places 0 to n lie inside no edge."""
+    change = np.bincount(start + 1, minlength=n + 2)[: n + 2] - np.bincount(end, minlength=n + 2)[: n + 2]
+    return np.cumsum(change)[: n + 1] == 0
+
+
 class Encoder:
     def __init__(self, v: Vocabulary, alpha: float):
         self.v, self.alpha = v.ready(), alpha
-        self.weight = np.append(np.exp(alpha * v.logs), 0.0)
-        self.byte_weight = math.exp(alpha * v.byte_log)
-
-    def edge_weights(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        return np.where(piece >= 0, self.weight[piece], self.byte_weight ** (end - start))
-
-    def lattice(self, buf: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Edges by end node, with cumulative probabilities, of segments that lie one after another in ``buf``.
-
-        Place i + segment number is a node: a segment of n bytes has n + 1 nodes.
+        # weights as mantissas and binary exponents; the last is a byte's
+        x = np.append(alpha * v.logs, alpha * v.byte_log) / math.log(2)
+        self.exponent = np.floor(x).astype(np.int64)
+        self.mantissa = np.exp2(x - self.exponent)
+        self.weight = np.ldexp(self.mantissa, np.maximum(self.exponent, -2000).astype(np.int32))
+        bits = max(1.0, -float(x.min()))
+        self.plain = int(800 / bits) if bits <= 30 else 0  # bytes for which plain doubles do
+
+    def lattice(self, buf: np.ndarray, first: np.ndarray, edges: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """(from, to, piece, to + cumulative probability, start) of the edges of units that lie one after another in ``buf``.
+
+        Place i + unit number is a node: a unit of n bytes has n + 1 nodes. Edges are in the order of the node that they
+        lead to, then of their length.
         """
         size = np.diff(first)
-        seg = np.repeat(np.arange(len(size)), size)
-        start, end, piece = edges_of(buf, first[1:][seg], self.v)
-        s = seg[start]
-        rel = end - first[s]
-        node_from, node_to = start + s, end + s
-        order = np.argsort(node_to * (LONG + 1) + (end - start), kind='stable')
-        start, node_from, node_to, piece = start[order], node_from[order], node_to[order], piece[order]
-        w = self.edge_weights(start, node_to - node_from + start, piece)
+        start, end, piece = edges
+        s = (np.searchsorted(first, start, "right") - 1).astype(np.int64)
+        order = np.argsort((end + s) * (self.v.longest + 5) + (end - start), kind="stable")
+        start, end, piece, s = start[order], end[order], piece[order], s[order]
+        node_from, node_to, length = start + s, end + s, end - start
+        rel = (end - first[s]).astype(np.int32)
+        w = np.where(piece >= 0, self.weight[piece], self.weight[-1] ** length)
         total = np.zeros(len(buf) + len(size))
         total[first[:-1] + np.arange(len(size))] = 1
-        value = np.empty(len(w))
-        # all segments advance a byte at a time: edges by how far from the segment's start they end
-        rel = rel[order].astype(np.int16)
+        power = np.zeros(len(total), np.int64)  # total * 2 ** power
+        share = np.empty(len(w))
+        # all units advance a byte at a time: edges by how far from the unit's start they end
         turn = np.argsort(rel, kind="stable")
         cuts = np.searchsorted(rel[turn], np.arange(1, (int(size.max()) if len(size) else 0) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for step, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
             if a == b:
                 continue
             now = turn[a:b]
-            x = total[node_from[now]] * w[now]
-            value[now] = x
             to = node_to[now]
             new = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            total[to[new]] = np.add.reduceat(x, new)
-        share = value / total[node_to]
+            if step <= self.plain:
+                x = total[node_from[now]] * w[now]
+                total[to[new]] = np.add.reduceat(x, new)
+                share[now] = x  # divided below, all at once
+                continue
+            p, many = piece[now], np.diff(np.append(new, len(now)))
+            x = total[node_from[now]] * np.where(p >= 0, self.mantissa[p], self.mantissa[-1] ** length[now])
+            e = power[node_from[now]] + self.exponent[p] * np.where(p >= 0, 1, length[now])
+            x, more = np.frexp(x)
+            e += more
+            top = np.maximum.reduceat(e, new)
+            x = np.ldexp(x, np.maximum(e - np.repeat(top, many), -2000).astype(np.int32))
+            sums = np.add.reduceat(x, new)
+            share[now] = x / np.repeat(sums, many)
+            total[to[new]], power[to[new]] = sums, top
+        early = rel <= self.plain
+        share[early] /= total[node_to[early]]
         # running sums in each node, with the last exactly 1
         run = np.cumsum(share)
         head = np.flatnonzero(np.concatenate([[True], node_to[1:] != node_to[:-1]]))
         before = np.concatenate([[0.0], run])[head]
         cum = run - np.repeat(before, np.diff(np.append(head, len(run))))
         cum = np.minimum(cum, 1.0)
-        last = np.append(head[1:], len(run)) - 1
-        cum[last] = 1.0
-        return node_from, node_to, piece, node_to + cum, total, start
-
-    def long_segment(self, raw: bytes, seed: int) -> list[int]:
-        """Ids of one segment, in plain Python and with scaled sums; the same law."""
-        v, n = self.v, len(raw)
-        longest = max(v.tables)
-        ends = char_ends(np.frombuffer(raw, np.uint8))
-        total, scale = [0.0] * (n + 1), [0.0] * (n + 1)  # total * exp(scale)
-        total[0] = 1.0
-        into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        inner = set()
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = v.lookup.get(raw[i:j])
-                if p is not None:
-                    into[j].append((i, p, float(self.weight[p])))
-            if i not in inner:
-                e = int(ends[i])
-                inner.update(range(i + 1, e))
-                if raw[i:e] not in v.lookup:
-                    into[e].append((i, -1, self.byte_weight ** (e - i)))
-            # i + 1 is complete: all its edges start at i or before
-            if into[i + 1]:
-                top = max((scale[a] for a, _, _ in into[i + 1] if total[a] > 0), default=0.0)
-                x = sum(total[a] * math.exp(scale[a] - top) * w for a, _, w in into[i + 1] if total[a] > 0)
-                if x > 0:
-                    total[i + 1], scale[i + 1] = 1.0, top + math.log(x)
-        out: list[int] = []
-        at, step = n, 0
-        while at:
-            options = sorted((a, p, total[a] * w * math.exp(scale[a] - scale[at])) for a, p, w in into[at] if total[a] > 0)
-            u = float(uniform(np.array([seed], U), step)[0]) * sum(o[2] for o in options)
-            pick = options[-1]
-            for o in options:
-                u -= o[2]
-                if u < 0:
-                    pick = o
-                    break
-            a, p, _ = pick
-            out += [int(v.ids[p])] if p >= 0 else [int(v.byte_ids[b]) for b in reversed(raw[a:at])]
-            at, step = a, step + 1
-        return out[::-1]
+        cum[np.append(head[1:], len(run)) - 1] = 1.0
+        return node_from, node_to, piece, node_to + cum, start
 
     def encode(self, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids, their offsets by row, and the bytes that were encoded (a space before each text), with offsets."""
@@ -284,64 +280,89 @@ class Encoder:
         row = np.repeat(np.arange(len(size)), size)
         buf[np.arange(len(body)) + added[row]] = body
         boffs = offs + np.concatenate([[0], added])
+        seeds = row_seeds(keys)
+        if len(size) > 1 or len(buf) <= 2 * CHUNK:
+            return *self.sampled(buf, boffs, seeds, 0), buf, boffs
+        parts, at = [], 0
+        while at < len(buf):
+            to = self.part_end(buf, at)
+            parts.append(self.sampled(buf[at:to], np.array([0, to - at]), seeds, at)[0])
+            at = to
+        ids = np.concatenate(parts)
+        return ids, np.array([0, len(ids)]), buf, boffs
+
+    def part_end(self, buf: np.ndarray, at: int) -> int:
+        """The last place, about ``CHUNK`` bytes on, that no edge crosses."""
+        size = CHUNK
+        while at + size < len(buf):
+            found = np.flatnonzero(segment_begins(buf[at : at + size]))
+            if len(found) and found[-1] > 0:
+                return at + int(found[-1])
+            part = buf[at : at + size + self.v.longest + 4]
+            start, end, _ = edges_of(part, np.full(len(part), len(part)), self.v)
+            free = np.flatnonzero(uncrossed(len(part), start, end)[1 : size + 1])
+            # an edge that the part's end cuts off is missing only if it starts after ``size``
+            if len(free):
+                return at + int(free[-1]) + 1
+            size *= 2
+        return len(buf)
+
+    def sampled(self, buf: np.ndarray, boffs: np.ndarray, seeds: np.ndarray, origin: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids, and their offsets by row, of rows that lie one after another; the first starts ``origin`` bytes into its text."""
         if not len(buf):
-            return np.zeros(0, np.int32), np.zeros(len(size) + 1, np.int64), buf, boffs
-        space, newline = buf == SPACE, buf == NEWLINE
-        begins = newline.copy()
-        begins[1:] |= newline[:-1] | (space[1:] & ~space[:-1])
-        begins[boffs[:-1][filled]] = True
+            return np.zeros(0, np.int32), np.zeros(len(boffs), np.int64)
+        begins = segment_begins(buf)
+        begins[boffs[:-1][np.diff(boffs) > 0]] = True
         begin = np.flatnonzero(begins)
         end = np.append(begin[1:], len(buf))
         doc = np.searchsorted(boffs, begin, "right") - 1
-        number = np.arange(len(begin)) - np.searchsorted(begin, boffs[:-1])[doc]
-        seed = mix(mix(keys[doc] ^ U(0x5EED)) + number.astype(U) * SPREAD)
-        hashes = span_hashes(buf, begin, end)
-        short = end - begin <= LONG
-        _, sample, which = np.unique(hashes[short], return_index=True, return_inverse=True)
-        lanes = np.flatnonzero(short)
-        src = lanes[sample]
-        length = end[src] - begin[src]
+        _, sample, which = np.unique(span_hashes(buf, begin, end), return_index=True, return_inverse=True)
+        length = (end - begin)[sample]
         first = np.concatenate([[0], np.cumsum(length)])
-        flat = buf[np.arange(first[-1]) - np.repeat(first[:-1] - begin[src], length)]
+        flat = buf[np.arange(first[-1]) - np.repeat(first[:-1] - begin[sample], length)]
+        edges = edges_of(flat, np.repeat(first[1:], length), self.v)
+        # units: the distinct segments, the long ones further apart
+        cut = np.zeros(len(flat) + 1, bool)
+        cut[first] = True
+        if (length > LONG).any():
+            cut[:-1] |= uncrossed(len(flat), *edges[:2])[:-1] & np.repeat(length > LONG, length)
+        unit = np.flatnonzero(cut)
+        of = np.searchsorted(unit, first)  # each segment's first unit
+        node_from, node_to, piece, cum, start = self.lattice(flat, unit, edges)
+        n_ids = np.where(piece >= 0, 1, node_to - node_from)
+        # a lane for each occurrence of a unit, in the order of the text
+        many = np.diff(of)[which]
+        lane = np.repeat(np.arange(len(begin)), many)
+        u = np.arange(len(lane)) - np.repeat(np.cumsum(many) - many, many) + of[which][lane]
+        # the place in its row's text that node 0 of the lane's unit would have
+        shift = begin[lane] - boffs[doc[lane]] + (unit[u] - first[which[lane]]) + origin - (unit[u] + u)
+        # occurrences of a unit go together, which keeps the walks through the lattice local
+        going = np.argsort(u.astype(np.int32), kind="stable")
+        u = u[going]
+        home, at = unit[u] + u, unit[u + 1] + u
+        mine, shift = seeds[doc[lane[going]]], shift[going]
+        count = np.zeros(len(lane), np.int64)
         picks: list[tuple[np.ndarray, np.ndarray]] = []
-        count = np.zeros(len(begin), np.int64)
-        if len(src):
-            node_from, node_to, piece, cum, _, start = self.lattice(flat, first)
-            n_ids = np.where(piece >= 0, 1, node_to - node_from)
-            # occurrences of a segment go together, which keeps the walks through the lattice local
-            together = np.argsort(which.astype(np.int32), kind="stable")
-            lanes, which = lanes[together], which[together]
-            home = (first[:-1] + np.arange(len(src)))[which]
-            at = (first[1:] + np.arange(len(src)))[which]
-            mine, step = seed[lanes], 0
-            going = lanes
-            while len(going):
-                e = np.minimum(np.searchsorted(cum, at + uniform(mine, step), "right"), len(cum) - 1)
-                picks.append((going, e))
-                count[going] += n_ids[e]
-                at = node_from[e]
-                more = np.flatnonzero(at != home)
-                going, at, home, mine, step = going[more], at[more], home[more], mine[more], step + 1
-        long_ids = {}
-        for k in np.flatnonzero(~short).tolist():
-            long_ids[k] = self.long_segment(buf[begin[k] : end[k]].tobytes(), int(seed[k]))
-            count[k] = len(long_ids[k])
+        while len(going):
+            e = np.minimum(np.searchsorted(cum, at + uniform(mine, at + shift), "right"), len(cum) - 1)
+            picks.append((going, e))
+            count[going] += n_ids[e]
+            at = node_from[e]
+            more = np.flatnonzero(at != home)
+            going, at, home, mine, shift = going[more], at[more], home[more], mine[more], shift[more]
         place = np.concatenate([[0], np.cumsum(count)])
         ids = np.zeros(place[-1], np.int32)
         left = place[1:].copy()
-        for lane, e in picks:
-            left[lane] -= n_ids[e]
+        for lanes, e in picks:
+            left[lanes] -= n_ids[e]
             p = piece[e]
             one = p >= 0
-            ids[left[lane[one]]] = self.v.ids[p[one]]
-            where, a, many = left[lane[~one]], start[e[~one]], n_ids[e[~one]]
-            for j in range(int(many.max()) if len(many) else 0):  # characters in bytes
-                m = many > j
+            ids[left[lanes[one]]] = self.v.ids[p[one]]
+            where, a, size = left[lanes[~one]], start[e[~one]], n_ids[e[~one]]
+            for j in range(int(size.max()) if len(size) else 0):  # characters in bytes
+                m = size > j
                 ids[where[m] + j] = self.v.byte_ids[flat[a[m] + j]]
-        for k, got in long_ids.items():
-            ids[place[k] : place[k + 1]] = got
-        seg_of_row = np.searchsorted(begin, boffs)
-        return ids, place[seg_of_row], buf, boffs
+        return ids, place[np.searchsorted(lane, np.searchsorted(begin, boffs))]
 
 
 def decode_bytes(ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,7 @@
+import base64
 import collections
+import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +42,64 @@ def test_samples_follow_the_lattice(text):
     seen = collections.Counter(tuple(ids[a:b].tolist()) for a, b in zip(offs[:-1], offs[1:], strict=True))
     assert set(seen) <= {p for p, _ in paths}
     assert all(seen[p] / n == pytest.approx(x / total, abs=0.015) for p, x in paths)
-    flat = np.frombuffer((" " + text).encode(), np.uint8)
-    assert ENCODER.lattice(flat, np.array([0, len(flat)]))[4][-1] == pytest.approx(total)
-    long = collections.Counter(tuple(ENCODER.long_segment((" " + text).encode(), k)) for k in range(4000))
-    assert all(long[p] / 4000 == pytest.approx(x / total, abs=0.03) for p, x in paths)
+
+
+def plain(text, key, alpha):
+    """One pass over the whole lattice of a text in logarithms, and one draw for each step."""
+    v, raw = VOCABULARY, (b" " + text.encode()) if text else b""
+    n, ends = len(raw), pieces.char_ends(np.frombuffer(raw, np.uint8)).tolist()
+    into, total, inner = [[] for _ in range(n + 1)], [0.0] + [-math.inf] * n, set()
+    for i in range(n):
+        for j in range(i + 1, min(n, i + v.longest) + 1):
+            p = v.lookup.get(raw[i:j])
+            if p is not None:
+                into[j].append((i, p, alpha * v.logs[p]))
+        if i not in inner:
+            inner.update(range(i + 1, ends[i]))
+            if raw[i : ends[i]] not in v.lookup:
+                into[ends[i]].append((i, -1, alpha * v.byte_log * (ends[i] - i)))
+        if into[i + 1]:
+            x = [total[a] + w for a, _, w in into[i + 1]]
+            if max(x) > -math.inf:
+                total[i + 1] = max(x) + math.log(sum(math.exp(y - max(x)) for y in x))
+    out, at, seed = [], n, pieces.row_seeds(np.array([key], np.uint64))
+    while at:
+        u = float(pieces.uniform(seed, np.array([at]))[0])
+        options = sorted(into[at], key=lambda o: -o[0])
+        for a, p, w in options:
+            u -= math.exp(total[a] + w - total[at])
+            if u < 0:
+                break
+        out += [int(v.ids[p])] if p >= 0 else [int(v.byte_ids[x]) for x in reversed(raw[a:at])]
+        at = a
+    return out[::-1]
+
+
+PLAIN = ["hello world", "a" * 90 + " tail", "\U0001f9ff" * 15, "completely ordinary sentences", "Zx8/Qm2kL0pR7vT1nYw3+bGdHsJe5uXa9" * 6, "日本語と中文字" * 30, "tab\tand\nnew  lines   here", "x" * 64, "x" * 65, "é\u0000▁"]
+
+
+@pytest.mark.parametrize("alpha", [0.1, 0.5, 1.0, 2.0, 9.0])
+def test_encoding_by_brute_force(alpha, monkeypatch):
+    """Also where parts and units are cut elsewhere, and beside text in bytes."""
+    encoder = pieces.Encoder(VOCABULARY, alpha)
+    keys = (np.arange(len(PLAIN)) * 12345).astype(np.uint64)
+    want = [plain(t, int(k), alpha) for t, k in zip(PLAIN, keys)]
+    for long, chunk in ((64, 1 << 20), (3, 1 << 20), (10**9, 1 << 20), (64, 20)):
+        monkeypatch.setattr(pieces, "LONG", long)
+        monkeypatch.setattr(pieces, "CHUNK", chunk)
+        ids, offs, _, _ = encoder.encode(pa.array(PLAIN), keys)
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == want
+        assert [encoder.encode(pa.array([t]), keys[i : i + 1])[0].tolist() for i, t in enumerate(PLAIN)] == want
+
+
+def test_long_text_without_spaces():
+    text = base64.b64encode(np.random.default_rng(0).bytes(3_000_000)).decode()
+    tracemalloc.start()
+    ids, offs, _, _ = ENCODER.encode(pa.array([text]), np.array([7], np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pieces.decode_texts(ids, offs, VOCABULARY) == [text]
+    assert peak < 700e6  # of one part, whatever the text's length
 
 
 def test_decoding_is_lossless():
@@ -79,7 +136,8 @@ def test_awkward_rows_and_decoding_operator(spark):
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     out = op4_ffbs_pieces(spark, d).collect()
-    n = {r.doc_id: len(r.text.encode()) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
-    assert {r.doc_id: r.n_bytes for r in out} == n and all(r.lossless for r in out)
-    again = {r.doc_id: r.ids for r in op4_ffbs_pieces(spark, d).collect()}
-    assert all(again[r.doc_id] == r.ids for r in out)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    assert {r.doc_id: r.n_bytes for r in out} == {i: len(t.encode()) for i, t in texts.items()} and all(r.lossless for r in out)
+    for r in out:
+        if len(texts[r.doc_id]) < 4000:
+            assert list(r.ids) == plain(texts[r.doc_id], r.doc_id, 0.5), r.doc_id
