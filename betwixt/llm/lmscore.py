@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +41,7 @@ from .common import bounded_batches, key_filter, materialize, passes
 from .textnum import U, WORD_BYTE, lowered, mix, raw_bytes, slices, span_hashes
 
 PRIOR = 16.0
-CHUNK_BYTES = 16 << 20  # of text in a chunk
+CHUNK_BYTES = 8 << 20  # of text in a chunk
 BUCKET_BYTES = 8 << 20  # of text for each bucket
 TASK_BYTES = 64 << 20  # of text for each task after a shuffle
 START = U(0)  # stands before a text's first token
@@ -107,7 +107,7 @@ def bigrams(word: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> tuple[np.ndar
     return h[order], a[order], b[order], count[order], place[which]
 
 
-def chunk_rows(chunk: int, ids: pa.Array, h: np.ndarray, n: np.ndarray, target: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def chunk_rows(chunk: int, known: np.ndarray, ids: np.ndarray, h: np.ndarray, n: np.ndarray, target: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """(key, bucket, data) of a chunk: its documents (bucket -1), and what it asks of each bucket."""
     kinds, word, many = np.unique(np.concatenate([[START], h]), return_inverse=True, return_counts=True)
     word = word[1:].astype(np.int64)
@@ -120,8 +120,7 @@ def chunk_rows(chunk: int, ids: pa.Array, h: np.ndarray, n: np.ndarray, target:
     often = np.argsort(-words[2], kind="stable")
     rank = np.empty(len(often), np.uint32)
     rank[often] = np.arange(len(often))
-    known = np.asarray(ids.is_valid())
-    yield chunk, -1, packed(rank[word], n.astype(np.uint32), known, np.asarray(ids.fill_null(0)).astype(np.int64), kinds[often])
+    yield chunk, -1, packed(rank[word], n.astype(np.uint32), known, ids, kinds[often])
     at, to = (np.searchsorted(bucket_of(x, buckets), np.arange(buckets + 1)) for x in (kinds, pair))
     for k in np.flatnonzero((np.diff(at) > 0) | (np.diff(to) > 0)).tolist():
         w, p = slice(at[k], at[k + 1]), slice(to[k], to[k + 1])
@@ -195,8 +194,8 @@ def row_batch(key: int, chunk: int, bucket: int, data: bytes | None, totals: lis
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
 
-def asked_rows(flagged: DataFrame, buckets: int) -> DataFrame:
-    """The rows of all chunks of ``flagged`` (doc_id, text, target)."""
+def asked_rows(rows: DataFrame, buckets: int, skipped: Broadcast | None = None) -> DataFrame:
+    """The rows of all chunks of ``rows`` (doc_id, text, target), or of (doc_id, text, hash) those that the bitmap does not pass, none of them the target's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, size = TaskContext.get().partitionId(), 0, 0
@@ -204,23 +203,27 @@ def asked_rows(flagged: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = -1 - ((part << 32) | k)
-            ids = pa.concat_arrays([x[0] for x in held])
-            for key, bucket, data in chunk_rows(chunk, ids, *(np.concatenate([x[i] for x in held]) for i in (1, 2, 3)), buckets):
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            for key, bucket, data in chunk_rows(chunk, *columns, buckets):
                 yield row_batch(key, chunk, bucket, data)
 
         for b in batches:
+            if skipped is not None:
+                keep = ~(passes(skipped.value, b.column(2).to_numpy()) & np.asarray(b.column(0).is_valid()))
+                b = b.filter(pa.array(keep))
             for lo, hi in slices(b.column(1)):
-                text = b.column(1).slice(lo, hi - lo)
-                held.append((b.column(0).slice(lo, hi - lo), *tokens(text), np.asarray(b.column(2).slice(lo, hi - lo)).astype(bool)))
+                ids, text, last = (b.column(i).slice(lo, hi - lo) for i in range(3))
+                target = np.zeros(hi - lo, bool) if skipped is not None else np.asarray(last).astype(bool)
+                held.append((np.array(ids.is_valid()), np.array(ids.fill_null(0)).astype(np.int64), *tokens(text), target))
                 size += text.nbytes
                 if size >= CHUNK_BYTES:
                     yield from flush()
-                    held.clear()
                     k, size = k + 1, 0
         if held:
             yield from flush()
 
-    return flagged.select("doc_id", "text", "target").mapInArrow(run, ROWS)
+    return rows.mapInArrow(run, ROWS)
 
 
 def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,29 +239,25 @@ def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row_batch(key, 0, key, None, totals)
 
 
-def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, target) of every row."""
+def asked_by_all(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+    """The rows of all chunks of all documents."""
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("good")).distinct()
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(key_filter(good, F.xxhash64("good")))
+    shipped = docs.sparkSession.sparkContext.broadcast(key_filter(good, F.xxhash64("good")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
 
-    def only(maybe: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                may = passes(shipped.value, b.column(2).to_numpy()) & np.asarray(b.column(0).is_valid())
-                if (may == maybe).any():
-                    yield b.select([0, 1]).filter(pa.array(may == maybe))
-
-        return rows.mapInArrow(run, "doc_id long, text string")
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            may = passes(shipped.value, b.column(2).to_numpy()) & np.asarray(b.column(0).is_valid())
+            if may.any():
+                yield b.select([0, 1]).filter(pa.array(may))
 
     looked_up = (
-        only(True)
+        rows.mapInArrow(passed, "doc_id long, text string")
         .join(good.hint("merge"), F.col("doc_id") == F.col("good"), "left")
         .select("doc_id", "text", F.col("good").isNotNull().alias("target"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))  # a task that runs again makes the same chunks
     )
-    return looked_up.unionByName(only(False).select("doc_id", "text", F.expr("false").alias("target")))
+    return asked_rows(looked_up, buckets).unionByName(asked_rows(rows, buckets, shipped))
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -268,7 +267,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + size // BUCKET_BYTES
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
-    asked = asked_rows(with_target(docs, labels), buckets).repartition(parts, "key").sortWithinPartitions("key")
+    asked = asked_by_all(docs, labels, buckets).repartition(parts, "key").sortWithinPartitions("key")
     found = materialize(asked.mapInArrow(answered, ROWS), "totals")
     totals = [x or 0 for x in found.agg(*[F.sum(c) for c in ("tokens", "target_tokens", "kinds", "target_kinds")]).first()]
 
