@@ -1,26 +1,33 @@
 """Secret scanning: fixed patterns, and character Markov models for what no pattern names.
 
-Two first-order character models, of random strings and of ordinary identifiers, are trained from labelled
-samples. In a run of token characters, a segment whose log-likelihood ratio of the two models reaches a threshold
-is a secret, whatever else the run holds; it is taken to the nearest separators of the run. Everything, training included, is DataFrame expressions; the only thing that reaches the driver is the
-table of class-pair counts, whose size is fixed by the alphabet.
+Two first-order character models, of random strings and of ordinary identifiers, are trained from labelled samples; a
+part of the samples is held out and sets the threshold. The models judge every token-like run outside base spans:
+``CANDIDATE`` takes runs of 20 characters, and of 12 if there is a digit among them. A segment whose log-likelihood ratio of the two
+models reaches the threshold is a secret, whatever else the run holds; it is taken to the nearest separators of the
+run. Everything, training included, is DataFrame expressions; the only things that reach the driver are the table of
+class-pair counts, whose size is fixed by the alphabet, and the threshold.
 
 Offsets are code points, end exclusive. Matching replaces each match by itself between two marks (U+0001; such
 characters of the text are first replaced by U+0002, which no pattern contains), splits at the marks and adds up
-lengths; the text is passed over once for each pattern.
+lengths; the text is passed over once for each pattern. Spans are gathered in blocks of ``BLOCK`` parts, so that a text
+of very many spans is not copied over for each.
 
 Defined results: a null or empty text has no spans and the digest of the empty string; matches of one kind do
 not overlap, those of different kinds may; Markov spans never overlap base spans; repeated rows give the same
-result; an empty table gives an empty result; other columns are ignored by ``secret_table`` and kept by ``redact``.
+result; an empty table gives an empty result; other columns, whatever their names, are ignored by ``secret_table`` and
+kept by ``redact``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh, named
+
 # Fixed values of the base patterns.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -28,15 +35,19 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_ASSIGN = 12
 
-#: Runs that the models judge, and the ratio (in nats) from which one is a secret.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-LEAST_RATIO = 12.0
+#: Runs that the models judge.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}|(?=[A-Za-z+/_=-]{0,18}[0-9])[A-Za-z0-9+/_=-]{12,19}"
+#: Of held-out identifiers, the share that may reach the threshold, and the least threshold in nats.
+FALSE_RATE = 0.001
+LEAST_RATIO = 8.0
 INNER = "[^+/_=-]*"  # a secret goes on to the next separator
+BLOCK = 256
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 START = len(ALPHABET)
 WIDTH = START + 1
 MARK, STAND_IN = "\u0001", "\u0002"
+SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 # Words of ordinary identifiers in the labelled sample.
 WORDS = """the of and to in that this with for from are was not have they which their there about would other
@@ -51,21 +62,56 @@ communication administration traditional characteristics representation""".split
 Spans = Column
 
 
+def scanned(items: Column, state: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Struct of the state after all items, and of what ``emit`` (arrays of type ``kind``) gave for each in turn, joined.
+
+    Arrays are copied within a block of items only; finished blocks are kept by reference.
+    """
+
+    def cut(x: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(x, i * BLOCK + 1, F.lit(BLOCK)))
+
+    blocks = F.transform(F.array(items), cut)[0]  # the items are worked out once
+
+    def within(s: Column, item: Column) -> Column:
+        return F.struct(step(s["state"], item).alias("state"), F.concat(s["out"], emit(s["state"], item)).alias("out"))
+
+    def over(s: Column, block: Column) -> Column:
+        found = F.aggregate(block, F.struct(s["state"].alias("state"), F.array().cast(kind).alias("out")), within)
+        return F.transform(F.array(found), lambda x: F.struct(x["state"].alias("state"), F.concat(s["out"], F.array(x["out"])).alias("out")))[0]
+
+    zero = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(blocks, zero, over, lambda s: F.struct(s["state"].alias("state"), F.flatten(s["out"]).alias("out")))
+
+
+def in_parts(text: Column, pattern: str, emit: Callable[[Column, Column], Column]) -> Spans:
+    """What ``emit`` (of start and text) gives for the pattern's matches, leftmost and non-overlapping, joined."""
+    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)  # every second one is a match
+    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"))
+    return scanned(
+        parts,
+        state,
+        lambda s, part: F.struct((s["at"] + F.length(part)).alias("at"), (~s["hit"]).alias("hit")),
+        lambda s, part: F.when(s["hit"], emit(s["at"], part)).otherwise(F.array().cast(SPAN)),
+        SPAN,
+    )["out"]
+
+
+def span(start: Column, kind: int, end: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+
+
 def marked_spans(text: Column, pattern: str, kind: int, least_group: int = 0) -> Spans:
-    """Array of (start, kind, end) of the pattern's matches, leftmost and non-overlapping."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("out"))
+    """Array of (start, kind, end) of the pattern's matches."""
 
-    def step(s: Column, part: Column) -> Column:
-        end = s["at"] + F.length(part)
-        good = s["hit"]
-        if least_group:
-            good = good & (F.length(F.regexp_extract(part, pattern, 2)) >= least_group)
-        span = F.struct(s["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), (~s["hit"]).alias("hit"), F.when(good, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+    def emit(at: Column, part: Column) -> Column:
+        found = F.array(span(at, kind, at + F.length(part)))
+        if not least_group:
+            return found
+        return F.when(F.length(F.regexp_extract(part, pattern, 2)) >= least_group, found).otherwise(F.array().cast(SPAN))
 
-    return F.aggregate(parts, zero, step, lambda s: s["out"])
+    return in_parts(text, pattern, emit)
 
 
 def token_classes(token: Column) -> Column:
@@ -78,7 +124,7 @@ def token_classes(token: Column) -> Column:
     return F.transform(chars, lambda c: F.get(codes, F.least(F.ascii(c), F.lit(127))))
 
 
-def labelled_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
+def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
     """(token, random): ``n`` random strings in the usual encodings and ``n`` ordinary identifiers.
 
     Both follow from the row number alone. ``n`` is the bound of the sample.
@@ -106,8 +152,9 @@ def labelled_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
         .when(i % 10 == 5, F.concat(*w))
         .when(i % 10 == 6, F.upper(F.concat(*w)))
         .when(i % 10 == 7, F.initcap(F.concat(*w)))
-        .when(i % 10 == 8, F.concat_ws("_", w[0], w[1], (F.lit(1990) + draw(9, 40)).cast("string"), draw(8, 100).cast("string")))
-        .otherwise(F.repeat(F.substring(F.lit("-=_/+0123456789ax"), draw(5, 17) + 1, 1), 24))
+        .when(i % 20 == 8, F.concat_ws("_", w[0], w[1], (F.lit(1990) + draw(9, 40)).cast("string"), draw(8, 100).cast("string")))
+        .when(i % 20 == 18, F.concat(w[0], w[1], draw(9, 1000).cast("string"), F.lit("-"), w[2], draw(8, 100).cast("string")))
+        .otherwise(F.repeat(F.substring(F.lit("-=_/+0123456789ax"), draw(5, 17) + 1, 1), F.lit(12) + draw(6, 30)))
     )
     rows = spark.range(n)
     return rows.select(F.expr("true").alias("random"), random.substr(F.lit(1), cut).alias("token")).unionByName(
@@ -115,12 +162,17 @@ def labelled_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     )
 
 
+def held_back(token: Column) -> Column:
+    """Every third sample sets the threshold and trains nothing."""
+    return F.pmod(F.xxhash64(token), F.lit(3)) == 0
+
+
 def train_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     """log p(next | char) under the random model minus that under the ordinary one, by class pair.
 
-    The counts come back as one row for each label and pair of classes: at most 2 * 68 * 67 rows.
+    Samples that are ``held_back`` do not count. The counts come back as one row for each label and pair of classes: at most 2 * 68 * 67 rows.
     """
-    codes = samples.filter(F.col("token").isNotNull() & F.col("random").isNotNull()).select("random", token_classes(F.col("token")).alias("c"))
+    codes = samples.filter(F.col("token").isNotNull() & F.col("random").isNotNull() & ~held_back(F.col("token"))).select("random", token_classes(F.col("token")).alias("c"))
     pairs = codes.select(
         "random", F.explode(F.zip_with(F.concat(F.array(F.lit(START)), F.col("c")), F.col("c"), lambda a, b: a * WIDTH + b)).alias("pair")
     ).filter(F.col("pair").isNotNull())
@@ -149,21 +201,29 @@ def ratio(token: Column, model: list[float]) -> Column:
     )
 
 
+def threshold(samples: DataFrame, model: list[float], false_rate: float = FALSE_RATE, least: float = LEAST_RATIO) -> float:
+    """The ratio that the best segments of at most a share ``false_rate`` of the held-back identifiers reach, at least ``least``."""
+    own = samples.filter(F.col("token").isNotNull() & ~F.col("random") & held_back(F.col("token")))
+    best = F.array_max(F.transform(segments(F.col("token"), model, 0.001), lambda x: x["best"]))
+    found = own.select(F.coalesce(best, F.lit(0.0)).alias("best")).agg(F.percentile("best", F.lit(1 - false_rate))).first()[0]
+    return max(least, (found or 0.0) + 0.001)
+
+
 def segments(token: Column, model: list[float], least: float) -> Column:
-    """Array of (start, end) of the segments of a token whose ratio reaches ``least``, in order.
+    """Array of (start, end, best) of the segments of a token whose ratio reaches ``least``, in order.
 
     The running sum starts anew at 0, and where it has fallen by ``least`` from a peak that counts, so that neither
     ordinary text before a secret nor text between two of them hides one.
     """
     table = F.array(*[F.lit(x) for x in model])
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast("array<struct<start:int,end:int,best:double>>")
     zero = F.struct(
         F.lit(START).alias("last"), F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).alias("since"),
         F.lit(0.0).alias("best"), F.lit(0).alias("start"), F.lit(0).alias("end"), none.alias("out"),
     )
 
     def closed(s: Column) -> Column:
-        return F.when(s["best"] >= least, F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["out"])
+        return F.when(s["best"] >= least, F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["best"].alias("best"))))).otherwise(s["out"])
 
     def step(s: Column, c: Column) -> Column:
         total, after = s["sum"] + F.get(table, s["last"] * WIDTH + c), s["at"] + 1
@@ -185,38 +245,35 @@ def segments(token: Column, model: list[float], least: float) -> Column:
 
 def blanked(text: Column, base: Spans) -> Column:
     """The text with the characters of all base spans replaced by stand-ins; offsets stay."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(s: Column, span: Column) -> Column:
-        start, end = F.greatest(s["at"], span["start"]), F.greatest(s["at"], span["end"])
-        hidden = F.repeat(F.lit(STAND_IN), end - start)
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, start - s["at"]), hidden)).alias("out"))
+    def from_to(at: Column, x: Column) -> tuple[Column, Column]:
+        return F.greatest(at, x["start"]), F.greatest(at, x["end"])
 
-    masked = F.aggregate(base, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(base) > 0, masked).otherwise(text)
+    def emit(at: Column, x: Column) -> Column:
+        start, end = from_to(at, x)
+        return F.array(F.substring(text, at + 1, start - at), F.repeat(F.lit(STAND_IN), end - start))
+
+    found = scanned(base, F.lit(0), lambda at, x: from_to(at, x)[1], emit, "array<string>")
+    whole = F.transform(F.array(found), lambda x: F.concat(F.array_join(x["out"], ""), F.substring(text, x["state"] + 1, F.length(text))))[0]
+    return F.when(F.size(base) > 0, whole).otherwise(text)
 
 
 def markov_spans(text: Column, base: Spans, model: list[float], least: float = LEAST_RATIO) -> Spans:
     """Spans of segments that the models call random, in candidates outside base spans."""
-    parts = F.split(F.regexp_replace(blanked(text, base), CANDIDATE, f"{MARK}$0{MARK}"), MARK, -1)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("out"))
 
-    def step(s: Column, part: Column) -> Column:
+    def emit(at: Column, part: Column) -> Column:
         def add(out: Column, x: Column) -> Column:
             before = F.length(F.regexp_extract(F.substring(part, F.lit(1), x["start"]), f"{INNER}$", 0))
             after = F.length(F.regexp_extract(F.substring(part, x["end"] + 1, F.length(part)), f"^{INNER}", 0))
-            start, end = s["at"] + x["start"] - before, s["at"] + x["end"] + after
-            last = F.element_at(out, -1)
-            meets = (F.size(out) > 0) & (F.get(out, F.size(out) - 1)["end"] > start)
-            span = F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end"))
-            joined = F.struct(last["start"].alias("start"), F.lit(3).alias("kind"), F.greatest(last["end"], end).alias("end"))
-            return F.when(meets, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(span)))
+            start, end = at + x["start"] - before, at + x["end"] + after
+            last = F.get(out, F.size(out) - 1)
+            meets = (F.size(out) > 0) & (last["end"] > start)
+            joined = span(last["start"], 3, F.greatest(last["end"], end))
+            return F.when(meets, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(span(start, 3, end))))
 
-        found = F.aggregate(segments(part, model, least), s["out"], add)
-        return F.struct((s["at"] + F.length(part)).alias("at"), (~s["hit"]).alias("hit"), F.when(s["hit"], found).otherwise(s["out"]).alias("out"))
+        return F.aggregate(segments(part, model, least), F.array().cast(SPAN), add)
 
-    return F.aggregate(parts, zero, step, lambda s: s["out"])
+    return in_parts(blanked(text, base), CANDIDATE, emit)
 
 
 def digest_text(spans: Spans) -> Column:
@@ -227,33 +284,42 @@ def digest_text(spans: Spans) -> Column:
     )
 
 
-def with_spans(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
-    """``docs`` with __assign, __access, __hex, __base and __all: arrays of (start, kind, end), in order."""
-    clean = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, STAND_IN)
-    found = docs.select(
+def learned(spark: SparkSession, samples: DataFrame | None) -> tuple[list[float], float]:
+    """Model and threshold."""
+    samples = labelled_samples(spark) if samples is None else samples
+    model = train_markov(samples)
+    return model, threshold(samples, model)
+
+
+def with_spans(docs: DataFrame, model: list[float], least: float, names: list[str]) -> DataFrame:
+    """``docs`` with columns of the given names: the clean text, and arrays of (start, kind, end), in order: assign, access, hex, base, all."""
+    clean, assign, access, hexes, base, every = names
+    text = F.translate(F.coalesce(F.col("text"), F.lit("")), MARK, STAND_IN)
+    found = docs.select("*", text.alias(clean))
+    found = found.select(
         "*",
-        clean.alias("__clean"),
-        marked_spans(clean, ASSIGN, 0, LEAST_ASSIGN).alias("__assign"),
-        marked_spans(clean, ACCESS, 1).alias("__access"),
-        marked_spans(clean, HEX, 2).alias("__hex"),
+        marked_spans(F.col(clean), ASSIGN, 0, LEAST_ASSIGN).alias(assign),
+        marked_spans(F.col(clean), ACCESS, 1).alias(access),
+        marked_spans(F.col(clean), HEX, 2).alias(hexes),
     )
-    found = found.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    found = found.withColumn("__markov", markov_spans(F.col("__clean"), F.col("__base"), model))
-    return found.withColumn("__all", F.array_sort(F.concat("__base", "__markov")))
+    found = found.withColumn(base, F.array_sort(F.concat(assign, access, hexes)))
+    return found.withColumn(every, F.array_sort(F.concat(F.col(base), markov_spans(F.col(clean), F.col(base), model, least))))
+
+
+NAMES = ("clean", "assign", "access", "hexes", "base", "every")
 
 
 def secret_table(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """Counts, digest and spans of each document's secrets."""
-    model = train_markov(labelled_samples(docs.sparkSession) if samples is None else samples)
-    found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), *learned(docs.sparkSession, samples), list(NAMES))
     return found.select(
         "doc_id",
-        F.size("__assign").cast("long").alias("n_assign"),
-        F.size("__access").cast("long").alias("n_access"),
-        F.size("__hex").cast("long").alias("n_hex"),
-        F.sha2(digest_text(F.col("__base")).cast("binary"), 256).alias("base_sha256"),
-        digest_text(F.col("__all")).alias("spans"),
-        F.size("__markov").cast("long").alias("n_markov"),
+        F.size("assign").cast("long").alias("n_assign"),
+        F.size("access").cast("long").alias("n_access"),
+        F.size("hexes").cast("long").alias("n_hex"),
+        F.sha2(digest_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        digest_text(F.col("every")).alias("spans"),
+        (F.size("every") - F.size("base")).cast("long").alias("n_markov"),
     )
 
 
@@ -262,31 +328,24 @@ def redact(docs: DataFrame, samples: DataFrame | None = None, mask: str = "[SECR
 
     ``n_chars``, if there, is the length of the new text where that changed.
     """
-    model = train_markov(labelled_samples(docs.sparkSession) if samples is None else samples)
-    found = with_spans(docs, model)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    *names, masked = fresh(docs.columns, *NAMES, "masked")
+    every = F.col(names[-1])
+    found = with_spans(docs, *learned(docs.sparkSession, samples), names)
+    text = F.col("text")
 
-    def step(s: Column, span: Column) -> Column:
-        fresh = F.concat(s["out"], F.array(F.substring(F.col("text"), s["at"] + 1, span["start"] - s["at"]), F.lit(mask)))
-        return F.struct(
-            F.greatest(s["at"], span["end"]).alias("at"), F.when(span["start"] >= s["at"], fresh).otherwise(s["out"]).alias("out")
-        )
+    def emit(at: Column, x: Column) -> Column:
+        return F.when(x["start"] >= at, F.array(F.substring(text, at + 1, x["start"] - at), F.lit(mask))).otherwise(F.array().cast("array<string>"))
 
-    masked = F.aggregate(
-        F.col("__all"), zero, step,
-        lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))),
-    )
-    hit = F.size("__all") > 0
-    found = found.withColumn("__masked", F.when(hit, masked))
+    parts = scanned(every, F.lit(0), lambda at, x: F.greatest(at, x["end"]), emit, "array<string>")
+    whole = F.transform(F.array(parts), lambda x: F.concat(F.array_join(x["out"], ""), F.substring(text, x["state"] + 1, F.length(text))))[0]
+    found = found.withColumn(masked, F.when(F.size(every) > 0, whole))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.coalesce("__masked", "text").alias("text"))
+            columns.append(F.coalesce(F.col(masked), text).alias("text"))
         elif c == "n_chars":
             kind = docs.schema["n_chars"].dataType
-            columns.append(F.when(hit, F.length("__masked").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars"))
+            columns.append(F.when(F.size(every) > 0, F.length(masked).cast(kind)).otherwise(F.col("n_chars")).alias("n_chars"))
         else:
-            columns.append(F.col(c))
+            columns.append(named(c))
     return found.select(*columns)
-
-

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import pytest
 
@@ -33,8 +35,45 @@ def brute(text):
     return n, ",".join(f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def check(out, texts):
+def brute_markov(text, base, model, least):
+    """All segments and spans, by plain loops."""
+    covered = bytearray(len(text))
+    for a, b in base:
+        covered[a:b] = b"\1" * (b - a)
+    hidden = "".join("\u0002" if c else x for x, c in zip(text.replace("\u0001", "\u0002"), covered))
+    spans = []
+    for m in re.finditer(secrets.CANDIDATE, hidden):
+        run, total, since, best, top, last = m.group(), 0.0, 0, 0.0, None, secrets.START
+        found = []
+        for i, c in enumerate([secrets.ALPHABET.index(x) for x in run]):
+            total, last = total + model[last * secrets.WIDTH + c], c
+            if total <= 0 or (best >= least and total <= best - least):
+                if best >= least:
+                    found.append(top)
+                total, since, best = 0.0, i + 1, 0.0
+            elif total > best:
+                best, top = total, (since, i + 1)
+        if best >= least:
+            found.append(top)
+        for a, b in found:
+            while a and run[a - 1] not in "+/_=-":
+                a -= 1
+            while b < len(run) and run[b] not in "+/_=-":
+                b += 1
+            if spans and spans[-1][1] > m.start() + a:
+                spans[-1] = (spans[-1][0], max(spans[-1][1], m.start() + b))
+            else:
+                spans.append((m.start() + a, m.start() + b))
+    return spans
+
+
+def check(out, texts, learned=None):
     for r in out:
+        if learned:
+            text = texts[r.doc_id] or ""
+            parts = [s.split(":") for s in r.spans.split(",") if s]
+            base = [(int(a), int(b)) for k, a, b in parts if k != "markov"]
+            assert [(int(a), int(b)) for k, a, b in parts if k == "markov"] == brute_markov(text, base, *learned), r.doc_id
         n, base = brute(texts[r.doc_id] or "")
         assert [r.n_assign, r.n_access, r.n_hex] == n, r.doc_id
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
@@ -44,14 +83,14 @@ def check(out, texts):
 
 def test_base_spans_equal_a_plain_scan(spark):
     rows = [(i, t, "en", "s", len(t)) for i, t in CASES]
-    check(secrets.secret_table(documents(spark, rows)).collect(), dict(CASES))
+    check(secrets.secret_table(documents(spark, rows)).collect(), dict(CASES), secrets.learned(spark, None))
 
 
 def test_awkward_rows(spark):
     rows = corpus()
     out = secrets.secret_table(documents(spark, rows)).collect()
     assert len(out) == len(rows)
-    check(out, {r[0]: r[1] for r in rows})
+    check(out, {r[0]: r[1] for r in rows}, secrets.learned(spark, None))
     assert secrets.secret_table(empty(spark)).count() == 0
 
 
@@ -60,16 +99,63 @@ def test_query_on_the_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     out = op9_markov_secrets(spark, d).collect()
     assert len(out) == len(texts)
-    check(out, texts)
+    check(out, texts, secrets.learned(spark, None))
+
+
+def test_planted_secrets_are_found_and_prose_is_left(spark):
+    """Keys of no pattern, held apart from the training samples, in real texts; identifiers of words that training never saw."""
+    rng = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").orderBy("doc_id").limit(400).collect()]
+    forms = [
+        lambda: "".join(rng.choices(letters, k=24)), lambda: "".join(rng.choices(letters + "+/", k=40)), lambda: "ghp_" + "".join(rng.choices(letters, k=36)),
+        lambda: "".join(rng.choices(string.ascii_uppercase + "234567", k=20)), lambda: "https://hooks.example.net/services/T0/" + "".join(rng.choices(letters, k=24)),
+        lambda: "key='" + "".join(rng.choices(letters, k=16)) + "'",
+    ]
+    words = [w for t in texts for w in re.findall(r"[a-z]{4,12}", t)]
+    plain = [lambda: "_".join(rng.choices(words, k=3)), lambda: "".join(w.title() for w in rng.choices(words, k=3)), lambda: f"{rng.choice(words)}-{rng.randrange(1990, 2030)}-{rng.choice(words)}/{rng.choice(words)}.html"]
+    rows, places = [], {}
+    for i, t in enumerate(texts):
+        at = rng.randrange(len(t) + 1)
+        put = rng.choice(forms if i % 2 else plain)()
+        rows.append((i, f"{t[:at]} {put} {t[at:]}", "en", "s", 1))
+        places[i] = (at + 1, at + 1 + len(put))
+    out = secrets.secret_table(documents(spark, rows)).collect()
+    check(out, {r[0]: r[1] for r in rows}, secrets.learned(spark, None))
+    caught = false = 0
+    for r in out:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        markov = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("markov")]
+        a, b = places[r.doc_id]
+        if r.doc_id % 2:
+            caught += any(x < b and y > a for x, y in spans)
+            false += any(y <= a or x >= b for x, y in markov)
+        else:
+            false += bool(markov)
+    print("caught", caught, "of 200; documents with a false span", false, "of 400")
+    assert caught >= 195 and false <= 4
+
+
+def test_many_spans_in_one_text(spark):
+    rows = [(1, "deadbeefdeadbeef " * 3000 + "x", "en", "s", 1)]
+    assert secrets.secret_table(documents(spark, rows)).first().n_hex == 3000
+    assert secrets.redact(documents(spark, rows)).first().text == "[SECRET] " * 3000 + "x"
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    docs = documents(spark, [(1, "a 0123456789abcdef", "en", "s", 18)]).selectExpr("*", "1 AS `a.b`", "2 AS clean", "3 AS every", "4 AS masked", "5 AS hexes")
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    assert out.first()[-5:] == (1, 2, 3, 4, 5) and out.first().text == "a [SECRET]"
 
 
 def test_models_tell_random_strings_from_identifiers(spark):
     model = secrets.train_markov(secrets.labelled_samples(spark))
-    random = ["Zx8/Qm2kL0pR7vT1nYw3+bGdHsJe5uXa9", "Ab9dKq27LmNx84TzQp1sWv6y", "R4nD0mB4s364StR1nGx9Zq", "K7XQ2M9PLR4TVB8ZNW3C"]
+    keys = ["Zx8/Qm2kL0pR7vT1nYw3+bGdHsJe5uXa9", "Ab9dKq27LmNx84TzQp1sWv6y", "R4nD0mB4s364StR1nGx9Zq", "K7XQ2M9PLR4TVB8ZNW3C"]
     plain = ["some_ordinary_identifier_name", "InternationalOrganizationManager", "request-response-handler-service", "path/to/the/configuration/file", "------------------------", "CHARACTERISTICS_OF_GOVERNMENT", "responsibleadministration"]
-    df = spark.createDataFrame([(t,) for t in random + plain], "t string")
+    df = spark.createDataFrame([(t,) for t in keys + plain], "t string")
     got = {r.t: r.x for r in df.select("t", secrets.ratio(df.t, model).alias("x")).collect()}
-    assert all(got[t] >= secrets.LEAST_RATIO for t in random)
+    assert all(got[t] >= secrets.LEAST_RATIO for t in keys)
     assert all(got[t] < 0 for t in plain)
 
 
