@@ -39,7 +39,7 @@ LEAST_ASSIGN = 12
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}|(?=[A-Za-z+/_=-]{0,18}[0-9])[A-Za-z0-9+/_=-]{12,19}"
 #: Of held-out identifiers, the share that may reach the threshold, and the least threshold in nats.
 FALSE_RATE = 0.001
-LEAST_RATIO = 8.0
+LEAST_RATIO = 12.0
 INNER = "[^+/_=-]*"  # a secret goes on to the next separator
 BLOCK = 256
 
