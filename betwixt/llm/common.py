@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.lineage import written
 
@@ -34,6 +38,11 @@ def fresh(taken: list[str], *stems: str) -> list[str]:
     return [s + tail for s in stems]
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` of columns of any name: the function sees them numbered, in their order."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def key_filter(keys: DataFrame, hashed: Column) -> np.ndarray:
     """A bitmap of 2 ** FILTER_BITS bits in which the bit of each row's 64-bit hash is set.
 
@@ -55,7 +64,7 @@ def passes(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     """Keep Arrow batches at ``size`` (or one row), so that Python workers hold a few MB of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

@@ -13,12 +13,13 @@ members are then verified exactly, over their whole shingle sets, in blocks of b
 group only, so each link is counted once, and links between members are found even if the runs missed them.
 Groups come out as (class, number of links) for each document; pairs are never emitted.
 
-Equal sets are collapsed first (by a 64-bit hash of the set) and count with their multiplicity.
+Equal sets are collapsed first (by a 64-bit hash of the set) and count with their multiplicity. Texts are not shuffled:
+a bitmap of fixed size picks the few rows whose set or verdict is wanted, and those are looked up exactly.
 
 Defined results: a null text links to nothing; texts without a word, empty ones included, link to equal ones only;
 a text of one to four words is one shingle; class_id is the smallest doc_id of the class, null if all are; repeated
-rows are links of each other; an empty table gives an empty result; other columns are ignored by ``linked`` and
-kept by ``deduplicate``.
+rows are links of each other; an empty table gives an empty result; other columns, whatever their names, are ignored
+by ``linked`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -29,16 +30,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, fresh, key_filter, map_batches, materialize, named, passes
 from .graphs import components
 from .textnum import U, lowered, mix, shingles, slices, words
 
 T = 128
 WIDTH = 5
-BLOCK = 128  # members of a verified block; sketches are smaller and go in blocks four times as large
+BLOCK = 128  # members of a node that is not split further
+SKETCH_BLOCK = 2048  # members of a block of sketches
+SET_BYTES, SET_BLOCK = 8 << 20, (128, 1024)  # of a block of sets: bytes, and least and most members
 SALTS = 8
 SEED = U(0x51ED270B0D3A1F45)
 
@@ -180,22 +185,23 @@ def complete_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tu
 
 def roots(near: np.ndarray) -> np.ndarray:
     """Each member's smallest reachable member, by a symmetric boolean matrix."""
-    n = len(near)
-    label = np.arange(n)
-    while True:
-        new = np.minimum(label, np.where(near, label[None, :], n).min(1))
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+    label = np.full(len(near), -1)
+    for i in range(len(near)):
+        if label[i] >= 0:
+            continue
+        front = np.array([i])
+        while len(front):
+            label[front] = i
+            front = np.flatnonzero(near[front].any(0) & (label < 0))
+    return label
 
 
-def in_block_pairs(members: DataFrame, group: str, member: str, block: int, columns: list[str]) -> DataFrame:
+def in_block_pairs(members: DataFrame, group: str, member: str, block: Column, columns: list[str]) -> DataFrame:
     """Members of each group dealt to pairs of blocks (i <= j) of about ``block`` members, sorted by pair.
 
     A group of at most ``block`` members (column n) is one pair (0, 0).
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block))).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
     mine = F.pmod(F.xxhash64(member, F.lit(7)), F.col("__nb")).cast("int")
     dealt = (
         members.withColumn("__nb", blocks)
@@ -263,9 +269,10 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     width = int((n > 1).sum())
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    for lo in range(0, width, 16384):
-        a, c = np.searchsorted(column, [lo, lo + 16384])
-        x = np.zeros((m, min(16384, width - lo)), np.float32)
+    step = max(256, (1 << 24) // m)
+    for lo in range(0, width, step):
+        a, c = np.searchsorted(column, [lo, lo + step])
+        x = np.zeros((m, min(step, width - lo)), np.float32)
         x[owner[a:c], column[a:c] - lo] = 1
         out += x @ x.T
     return out
@@ -329,24 +336,21 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def set_table(docs: DataFrame, kept: list[str]) -> DataFrame:
-    """``kept`` columns (longs), key and packed set of each row."""
+def set_table(docs: DataFrame, shipped: Broadcast) -> DataFrame:
+    """doc_id, key and packed set of the rows whose id the bitmap passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column(b.num_columns - 1)
-            for lo, hi in slices(text):
-                sets, flat, starts = shingle_sets(text.slice(lo, hi - lo))
+            b = b.filter(pa.array(passes(shipped.value, b.column(2).to_numpy())))
+            for lo, hi in slices(b.column(1)):
+                sets, flat, starts = shingle_sets(b.column(1).slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *(c.slice(lo, hi - lo) for c in b.columns[:-1]),
-                        _ints(set_keys(flat, starts)),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                    ],
-                    [*kept, "key", "set"],
+                    [b.column(0).slice(lo, hi - lo), _ints(set_keys(flat, starts)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "key", "set"]
                 )
 
-    return docs.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} long" for c in kept) + ", key long, set binary")
+    ids = F.col("doc_id").cast("long")
+    rows = docs.filter(F.col("text").isNotNull()).select(ids.alias("doc_id"), "text", F.xxhash64(ids).alias("h"))
+    return rows.mapInArrow(run, "doc_id long, key long, set binary")
 
 
 def candidate_edges(reps: DataFrame, similarity: float, recall: float, depth: int, block: int) -> DataFrame:
@@ -383,7 +387,7 @@ def candidate_edges(reps: DataFrame, similarity: float, recall: float, depth: in
         small = shared if last else shared.filter(F.col("n") <= block)
         # joined on the set's key, which is unique in reps: no hot key
         with_sketch = small.join(reps.select("key", "sk8"), "key")
-        edges = in_block_pairs(with_sketch, "node", "key", 4 * block, ["sk8"]).mapInArrow(_forest(least_equal), "a long, b long")
+        edges = in_block_pairs(with_sketch, "node", "key", F.lit(max(block, SKETCH_BLOCK)), ["sk8"]).mapInArrow(_forest(least_equal), "a long, b long")
         edges = materialize(edges.distinct(), "forest")
         found = edges if found is None else found.unionByName(edges)
         if last:
@@ -396,26 +400,28 @@ def candidate_edges(reps: DataFrame, similarity: float, recall: float, depth: in
     return found.distinct()
 
 
-def linked(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, depth: int = 3, block: int = BLOCK, salts: int = 16) -> DataFrame:
-    """doc_id, class_id, n_links, n_shingles of every row: its class of linked documents and its number of links."""
+def classes_of(docs: DataFrame, similarity: float, recall: float, depth: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows; and of the sets that are linked or repeated: key, class_id, class_key, copies, links."""
     sketches = materialize(sketch_table(docs), "sketches")
     reps = sketches.filter(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("sk32", "sk8")).alias("sk")
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("sk32", "sk8")).alias("sk"), F.min("shingles").alias("shingles")
     )
-    reps = materialize(reps.select("key", "first", "copies", "sk.sk32", "sk.sk8"), "sets")
+    reps = materialize(reps.select("key", "first", "copies", "shingles", "sk.sk32", "sk.sk8"), "sets")
     groups = components(candidate_edges(reps, similarity, recall, depth, block))
     members = groups.select(F.col("node").alias("key"), F.col("root").alias("grp")).unionByName(
         groups.select(F.col("root").alias("key"), F.col("root").alias("grp")).distinct()
     )
-    counted = members.join(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "grp")
-    wanted = materialize(counted.join(reps.select("key", "first", "copies"), "key").withColumnRenamed("key", "want"), "members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text").filter(F.col("text").isNotNull()).join(wanted.hint("merge"), "first")
-    sets = set_table(texts, ["want", "grp", "n", "copies"]).filter(F.col("key") == F.col("want"))
+    members = members.join(reps.select("key", "first", "copies", "shingles"), "key")
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("shingles").alias("mean"))
+    wanted = materialize(members.drop("shingles").join(sizes, "grp").withColumnRenamed("key", "want"), "members")
+    shipped = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, F.xxhash64("first")))
+    sets = set_table(docs, shipped).join(wanted.hint("merge"), (F.col("key") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    per_block = F.least(F.lit(SET_BLOCK[1]), F.greatest(F.lit(min(block, SET_BLOCK[0])), F.floor(F.lit(SET_BYTES) / (8 * F.col("mean"))))) if block == BLOCK else F.lit(block)
     verified = materialize(
-        in_block_pairs(sets, "grp", "key", block, ["copies", "set"]).mapInArrow(_verified(similarity), "key long, links long, root long"), "links"
+        in_block_pairs(sets, "grp", "key", per_block, ["copies", "set"]).mapInArrow(_verified(similarity), "key long, links long, root long"), "links"
     )
     classes = components(verified.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    # sets that are linked or repeated; all other documents are classes of their own
+    # all other documents are classes of their own
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     special = (
         reps.select("key", "first", "copies")
@@ -425,26 +431,67 @@ def linked(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, dept
         .withColumn("root", F.coalesce("root", "key"))
     )
     special = materialize(special, "special")
-    named = special.join(special.groupBy("root").agg(F.min("first").alias("class_id")), "root")
-    wide = named.select("key", "class_id", "copies", "links", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    heads = special.filter(F.col("first").isNotNull()).groupBy("root").agg(F.min(F.struct("first", "key")).alias("head"))
+    named_sets = special.join(heads, "root", "left").select("key", F.col("head.first").alias("class_id"), F.col("head.key").alias("class_key"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return sketches, named_sets
+
+
+def with_classes(sketches: DataFrame, special: DataFrame, salts: int) -> DataFrame:
+    """doc_id, key, shingles of every row, with class_id, class_key, copies and links, null for sets that are alone.
+
+    A set may hold any share of the rows: they are spread over salts, and the sets repeated.
+    """
+    wide = special.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     light = sketches.select("doc_id", "key", "shingles", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
-    return light.join(wide, ["key", "salt"], "left").select(
+    return light.join(wide, ["key", "salt"], "left").drop("salt")
+
+
+def linked(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, depth: int = 3, block: int = BLOCK, salts: int = 16) -> DataFrame:
+    """doc_id, class_id, n_links, n_shingles of every row: its class of linked documents and its number of links."""
+    sketches, special = classes_of(docs, similarity, recall, depth, block)
+    return with_classes(sketches, special, salts).select(
         "doc_id",
         F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce(F.coalesce(F.col("links"), F.lit(0)) + F.col("copies") - 1, F.lit(0)).alias("n_links"),
+        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
         F.coalesce(F.col("shingles"), F.lit(0)).alias("n_shingles"),
     )
 
 
-def deduplicate(docs: DataFrame, **options: float) -> DataFrame:
-    """The documents, with all columns, less all but the smallest doc_id of each class.
+def deduplicate(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, depth: int = 3, block: int = BLOCK, salts: int = 16) -> DataFrame:
+    """The documents, with all columns, less all but one of each class: the smallest doc_id, of its sets the smallest key.
 
-    Rows with a null doc_id stay. Of rows that repeat the id that stays, one stays.
+    Rows with a null doc_id stay. Of rows that repeat both the id and the set that stay, one stays.
     """
-    found = materialize(linked(docs, **options), "classes")
-    gone = found.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")  # one plan at every size
-    twice = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter(F.col("count") > 1)
-    if twice.isEmpty():
-        return kept
-    return kept.filter(F.col("doc_id").isNull()).unionByName(kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]))
+    sketches, special = classes_of(docs, similarity, recall, depth, block)
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("key").eqNullSafe(F.col("class_key"))
+    rows = with_classes(sketches, special, salts).filter(F.col("copies").isNotNull() & F.col("doc_id").isNotNull())
+    verdicts = rows.select("doc_id", "key", stays.alias("stays")).groupBy("doc_id", "key").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    verdicts = materialize(verdicts.filter(~F.col("stays") | (F.col("n") > 1)).select("doc_id", "key", "stays"), "verdicts")
+    shipped = docs.sparkSession.sparkContext.broadcast(key_filter(verdicts, F.xxhash64("doc_id")))
+    columns = docs.columns
+    at, (hashed, key, verdict_id, verdict_key, verdict, turn) = columns.index("text"), fresh(columns, "h", "key", "vid", "vkey", "stays", "turn")
+    ids = F.col("doc_id").cast("long")
+    tagged = docs.select("*", F.when(ids.isNotNull(), F.xxhash64(ids)).alias(hashed))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = ~passes(shipped.value, b.column(b.num_columns - 1).fill_null(0).to_numpy()) | np.asarray(b.column(b.num_columns - 1).is_null())
+            yield b.select(range(b.num_columns - 1)).filter(pa.array(keep))
+
+    def looked_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(b.num_columns - 1)
+            b = b.select(range(b.num_columns - 1)).filter(pa.array(passes(shipped.value, h.fill_null(0).to_numpy()) & np.asarray(h.is_valid())))
+            for lo, hi in slices(b.column(at)):
+                part = b.slice(lo, hi - lo)
+                _, flat, starts = shingle_sets(part.column(at))
+                keys = pa.array(set_keys(flat, starts).view(np.int64), mask=np.asarray(part.column(at).is_null()))
+                yield pa.RecordBatch.from_arrays([*part.columns, keys], [*columns, key])
+
+    found = verdicts.select(F.col("doc_id").alias(verdict_id), F.col("key").alias(verdict_key), F.col("stays").alias(verdict))
+    maybe = map_batches(tagged, looked_at, StructType([*docs.schema.fields]).add(key, LongType()))
+    maybe = maybe.join(found.hint("merge"), (ids == F.col(verdict_id)) & (F.col(key) == F.col(verdict_key)), "left")
+    order = Window.partitionBy(ids, F.col(key)).orderBy(F.xxhash64(*[named(c) for c in columns]))
+    kept = maybe.withColumn(turn, F.when(F.col(verdict), F.row_number().over(order)))
+    kept = kept.filter(F.col(verdict).isNull() | (F.col(verdict) & (F.col(turn) == 1)))
+    return map_batches(tagged, untouched, docs.schema).unionByName(kept.select(*[named(c) for c in columns]))

@@ -81,6 +81,38 @@ def test_deduplicate_keeps_one_of_each_class(spark):
     assert simjoin.deduplicate(documents(spark, rows)).columns == documents(spark, rows).columns
 
 
+def test_deduplicate_of_repeated_and_null_ids(spark):
+    a, b = prose(60, 1), prose(60, 2)
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 2), (2, b, "en", "s", 3), (2, b, "fr", "s", 3), (2, b.upper(), "en", "s", 4), (3, changed(b, [0]), "en", "s", 5), (None, a, "en", "s", 6), (4, None, "en", "s", 7), (4, None, "en", "s", 7)]
+    docs = documents(spark, rows).selectExpr("*", "1 AS `a.b`", "2 AS turn", "3 AS h", "4 AS stays", "5 AS vid")
+    out = simjoin.deduplicate(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text and r.text.lower()) for r in out.collect()), key=str)
+    # id 2 keeps its other text, once; the copy of id 1 goes, and rows without an id or a text stay
+    assert got == sorted([(1, a), (2, b), (None, a), (4, None), (4, None)], key=str)
+    links = {(r.doc_id, r.n_links) for r in simjoin.linked(documents(spark, [(None, a, "en", "s", 1), (None, changed(a, [0]), "en", "s", 1)])).collect()}
+    assert links == {(None, 1)}
+
+
+def test_words_that_collide_modulo_two_to_the_64(spark):
+    x = "a"
+    while len(x) < 4096:
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    out = simjoin.linked(documents(spark, [(1, x, "en", "s", 1), (2, y, "en", "s", 1)])).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in out} == {(1, 1, 0), (2, 2, 0)}
+
+
+def test_roots():
+    rng = np.random.default_rng(0)
+    near = rng.random((40, 40)) < 0.02
+    near |= near.T
+    reach = near | np.eye(40, dtype=bool)
+    for _ in range(6):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    assert simjoin.roots(near).tolist() == reach.argmax(1).tolist()
+
+
 def test_runs_follow_the_recall():
     assert simjoin.runs_for(0.999, 3) == 15
     assert simjoin.runs_for(0.9, 1) < simjoin.runs_for(0.9, 3)
