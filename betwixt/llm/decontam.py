@@ -2,13 +2,14 @@
 
 A test item Q is contained in a document X at level |Q and X| / |Q|. For a short item in a long document the
 Jaccard similarity is near zero, so comparing two bounded signatures finds nothing. The asymmetric form is
-used: the value at which hash function i is smallest over Q is a uniform sample of Q, so it lies in X with
-probability equal to the containment. Each item's signature is looked up among all of a document's shingles.
+used: an item's signature is its ``k`` smallest shingles under a hash, a uniform sample of Q without replacement, and
+all of a document's shingles are looked up in the signatures.
 
-Items and documents are partitioned by size (powers of two of their shingle counts). An item's partition
-decides its number of hash functions (small items are indexed whole), so that an item at the threshold is
-missed with probability below ``miss``; a document probes only the partitions of items that fit in it, since
-|Q and X| <= |X|. Every candidate is verified by exact shingle containment over the whole text.
+Items are partitioned by size (powers of two of their shingle counts), and each partition has its own index. Its ``k``
+follows from its sizes: an item of s shingles at the threshold t lacks at most s - ceil(t s) of them, so one more than
+that cannot miss; where the chance of a miss falls below ``miss`` earlier, fewer do. A document probes a partition only
+if it has as many shingles as the partition's smallest item must share. Every candidate is verified by exact shingle
+containment over the whole text.
 
 The items are a stated query set. They go out in blocks of bounded size (``block_shingles``), each block
 against all documents; no document is shuffled or sent to the driver.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, map_batches
 from .textnum import U, mix, shingles, slices, words
 
 WIDTH = 5
@@ -36,61 +37,72 @@ SCHEMA = "doc_id long, item_id long, item_shingles int, shared_shingles int, con
 BITS = 20
 
 
-def _hash_count(threshold: float, miss: float) -> int:
-    return max(1, math.ceil(math.log(miss) / math.log(max(1e-9, 1 - threshold))))
+def hash_count(partition: int, threshold: float, miss: float) -> int:
+    """Length of the signatures of items of 2^partition to 2^(partition + 1) - 1 shingles."""
+    largest = 2 ** (partition + 1) - 1
+    certain = largest - _need(largest, threshold) + 1
+    likely = math.ceil(math.log(miss) / math.log(max(1e-9, 1 - threshold)))
+    return max(1, min(certain, likely))
 
 
-def signature(items: np.ndarray, n_hashes: int) -> np.ndarray:
-    """The item's shingles at which each of ``n_hashes`` hash functions is smallest."""
-    if len(items) <= n_hashes:
+def _need(size: int, threshold: float) -> int:
+    return max(1, math.ceil(threshold * size - 1e-9))
+
+
+def signature(items: np.ndarray, k: int) -> np.ndarray:
+    """The item's ``k`` shingles of smallest hash."""
+    if len(items) <= k:
         return items
-    salts = mix(np.arange(1, n_hashes + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-    return np.unique(items[np.argmin(mix(items[None, :] ^ salts[:, None]), axis=1)])
+    return items[np.argpartition(mix(items ^ U(0x9E3779B97F4A7C15)), k)[:k]]
+
+
+class Partition:
+    """Signatures of the items of one size class and width."""
+
+    def __init__(self, number: int, owners: list[int], sets: list[np.ndarray], threshold: float, miss: float):
+        self.least = _need(2**number, threshold)  # shingles that a document must have to hold any of these
+        k = hash_count(number, threshold, miss)
+        signatures = [signature(sets[n], k) for n in owners]
+        keys, own = np.concatenate(signatures), np.repeat(owners, [len(x) for x in signatures])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.own = keys[order], own[order]
 
 
 class Index:
-    """Signatures and whole shingle sets of one block of items."""
+    """Size partitions and whole shingle sets of one block of items."""
 
     def __init__(self, rows: list[tuple[int, int, bytes]], threshold: float, miss: float):
-        k = _hash_count(threshold, miss)
-        self.threshold = threshold
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.sets = [np.frombuffer(r[2], U) for r in rows]
-        self.need = np.array([math.ceil(threshold * len(s) - 1e-9) for s in self.sets])
+        self.need = np.array([_need(len(s), threshold) for s in self.sets])
         self.widths = sorted({r[1] for r in rows})
         self.by_width = {}
         for width in self.widths:
-            keys, owner, fits = [], [], []
+            classes: dict[int, list[int]] = {}
             for n, r in enumerate(rows):
                 if r[1] == width:
-                    sig = signature(self.sets[n], k)
-                    keys.append(sig)
-                    owner.append(np.full(len(sig), n))
-                    fits.append(np.full(len(sig), self.need[n]))
-            key, own, fit = (np.concatenate(x) for x in (keys, owner, fits))
-            order = np.argsort(key, kind="stable")
-            key, own, fit = key[order], own[order], fit[order]
+                    classes.setdefault(len(self.sets[n]).bit_length() - 1, []).append(n)
+            partitions = [Partition(number, own, self.sets, threshold, miss) for number, own in sorted(classes.items())]
             seen = np.zeros(1 << BITS, bool)
-            seen[(key >> U(64 - BITS)).astype(np.int64)] = True
-            #: size partitions: an item of partition p needs 2^p shared shingles at least
-            self.by_width[width] = (key, own, np.floor(np.log2(np.maximum(fit, 1))).astype(int), seen)
+            for p in partitions:
+                seen[(p.keys >> U(64 - BITS)).astype(np.int64)] = True
+            self.by_width[width] = (partitions, seen)
 
     def search(self, sh: np.ndarray, first: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
         """(row, item, shared shingles) of verified matches."""
-        key, own, part, seen = self.by_width[width]
+        partitions, seen = self.by_width[width]
         hit = np.flatnonzero(seen[(sh >> U(64 - BITS)).astype(np.int64)])
-        lo = np.searchsorted(key, sh[hit], "left")
-        n = np.searchsorted(key, sh[hit], "right") - lo
-        hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
-        if not len(hit):
-            return
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        row = np.repeat(np.searchsorted(first, hit, "right") - 1, n)
-        size_part = np.floor(np.log2(np.maximum(first[row + 1] - first[row], 1))).astype(int)
-        fits = part[at] <= size_part
-        pairs = np.unique(np.stack([row[fits], own[at[fits]]], 1), axis=0)
+        row = np.searchsorted(first, hit, "right") - 1
+        size = first[row + 1] - first[row]
+        found = []
+        for p in partitions:
+            fits = np.flatnonzero(size >= p.least)
+            lo = np.searchsorted(p.keys, sh[hit[fits]], "left")
+            n = np.searchsorted(p.keys, sh[hit[fits]], "right") - lo
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            found.append(np.stack([np.repeat(row[fits], n), p.own[at]], 1))
         last, mine = -1, None
-        for r, item in pairs:
+        for r, item in np.unique(np.concatenate(found), axis=0):
             if r != last:
                 last, mine = r, np.unique(sh[first[r] : first[r + 1]])
             s = self.sets[item]
@@ -185,5 +197,5 @@ def decontaminate(
                 keep[[r for r, *_ in _found(index.value, b.column(at))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = map_batches(docs, clean, docs.schema)
     return docs

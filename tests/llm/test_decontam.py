@@ -1,9 +1,12 @@
+import itertools
 import re
 
+import numpy as np
 import pytest
 
 from betwixt.llm import decontam
 from betwixt.llm.queries import op5_minhash_containment
+from betwixt.llm.textnum import mix
 
 from .util import corpus, documents, empty, prose
 
@@ -72,10 +75,24 @@ def test_empty(spark):
 
 @pytest.mark.parametrize("n", [3, 15, 400])
 def test_signature_is_part_of_the_item(n):
-    import numpy as np
-
-    from betwixt.llm.textnum import mix
-
     x = mix(np.arange(n).astype(np.uint64))
     s = decontam.signature(x, 11)
-    assert set(s) <= set(x) and len(s) == min(n, len(s))
+    assert set(s) <= set(x) and len(set(s)) == min(n, 11)
+
+
+def test_partitions_decide_hashes_and_probes():
+    assert [decontam.hash_count(p, 0.8, 1e-7) for p in range(7)] == [1, 1, 2, 4, 7, 11, 11]
+    sets = [np.sort(mix(np.arange(n).astype(np.uint64) + np.uint64(1000 * n))) for n in (6, 10, 100)]
+    ix = decontam.Index([(i, 5, s.tobytes()) for i, s in enumerate(sets)], 0.8, 1e-7)
+    parts, _ = ix.by_width[5]
+    assert [p.least for p in parts] == [4, 7, 52] and [len(p.keys) for p in parts] == [2, 4, 11]
+    # an item that lacks as many shingles as it may is found whichever they are
+    for lost in itertools.combinations(range(10), 2):
+        doc = np.delete(sets[1], lost)
+        assert list(ix.search(doc, np.array([0, len(doc)]), 5)) == [(0, 1, 8)]
+
+
+def test_columns_of_any_name(spark):
+    docs = documents(spark).selectExpr("*", "1 AS `a.b`", "2 AS item_id")
+    out = decontam.decontaminate(docs, items_of(spark, [(1, corpus()[2][1])]))
+    assert out.columns == docs.columns and 0 < out.count() < len(corpus())
