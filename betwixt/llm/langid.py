@@ -5,11 +5,10 @@ profile: an n-gram's distance is the difference of its ranks, or ``k`` where the
 of least total distance is predicted.
 
 Characters fall in 64 classes: 0 for all that is no letter (runs of them count once), 1 to 26 for a to z, and 27
-to 63, by a multiplicative rule, for other letters. An n-gram is hence an integer below 2^20, and a profile's
-rank table has a fixed size.
+to 63, by a multiplicative rule, for other letters. An n-gram is hence an integer below 2^20.
 
 Profiles are counted over every training row's whole text: tasks send sums per language and n-gram, which
-Spark adds up; a bounded number (``k`` for each language) reaches the driver.
+Spark adds up; a bounded number (``k`` for each language) reaches the driver, and as many go out to the tasks.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every text when there is
 nothing to learn from; ties of counts go to the smaller n-gram, ties of distance to the first language in order;
@@ -24,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import bounded_batches, crc_of_id
+from .common import bounded_batches, crc_of_id, map_batches, named
 
 K = 400
 GRAMS = 3
@@ -157,48 +157,59 @@ def profiles(train: DataFrame, k: int = K) -> dict[str, np.ndarray]:
     return out
 
 
-def rank_table(found: dict[str, np.ndarray], k: int) -> np.ndarray:
-    """Rank + 1 of each n-gram in each language; 0 where the profile lacks it."""
-    table = np.zeros((SIZE, len(found)), np.int16)
-    for i, g in enumerate(found.values()):
-        table[g, i] = np.arange(1, len(g) + 1)
-    return table
+class Profiles:
+    """The languages' ranked n-grams, by n-gram: where each one's entries begin, and their languages and ranks.
 
+    Besides a table of fixed size there are at most ``k`` entries for each language.
+    """
 
-def distances(g: np.ndarray, table: np.ndarray, k: int) -> np.ndarray:
-    at = table[g].astype(np.int32)
-    return np.where(at > 0, np.minimum(np.abs(at - 1 - np.arange(len(g))[:, None]), k), k).sum(0)
+    def __init__(self, found: dict[str, np.ndarray], k: int):
+        self.names, self.k = list(found), k
+        gram = np.concatenate([np.zeros(0, np.int64), *found.values()]).astype(np.int64)
+        lang = np.repeat(np.arange(len(found)), [len(g) for g in found.values()])
+        rank = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in found.values()]]).astype(np.int64)
+        order = np.argsort(gram, kind="stable")
+        self.lang, self.rank = lang[order].astype(np.int32), rank[order].astype(np.int32)
+        self.at = np.searchsorted(gram[order], np.arange(SIZE + 1)).astype(np.int32)
+
+    def distances(self, g: np.ndarray) -> np.ndarray:
+        """The out-of-place distance of ranked n-grams to each language."""
+        lo = self.at[g]
+        n = self.at[g.astype(np.int64) + 1] - lo
+        place = np.repeat(np.arange(len(g)), n)
+        entry = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        saved = self.k - np.minimum(np.abs(self.rank[entry] - place), self.k)
+        return self.k * len(g) - np.bincount(self.lang[entry], saved, len(self.names)).astype(np.int64)
 
 
 def identify(docs: DataFrame, found: dict[str, np.ndarray], k: int = K, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with lang_pred and score: 1 - the least distance's share of the greatest possible one."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    names = list(found)
-    shipped = spark.sparkContext.broadcast((names, rank_table(found, k)))
+    shipped = spark.sparkContext.broadcast(Profiles(found, k))
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
-    out = docs.select(*keep, "text")
-    schema = ", ".join(f"`{c}` {t}" for c, t in out.dtypes if c != "text") + ", lang_pred string, score double"
+    out = docs.select(*[named(c) for c in keep], "text")
+    schema = StructType(out.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table = shipped.value
+        known = shipped.value
         for b in batches:
             pred, score = [], []
             for text in b.column(b.num_columns - 1):
                 g = ranked(text.as_py() or "", k)
-                if not len(g) or not langs:
+                if not len(g) or not known.names:
                     pred.append("und")
                     score.append(0.0)
                     continue
-                d = distances(g, table, k)
+                d = known.distances(g)
                 best = int(d.argmin())
-                pred.append(langs[best])
+                pred.append(known.names[best])
                 score.append(float(1 - d[best] / (k * len(g))))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"]
             )
 
-    return out.mapInArrow(predict, schema)
+    return map_batches(out, predict, schema)
 
 
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
