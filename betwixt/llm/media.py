@@ -657,7 +657,7 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def media_table(docs: DataFrame) -> DataFrame:
     """Store each whole text, read it back, and describe both."""
-    bounded_batches(docs.sparkSession, "8m")
+    bounded_batches(docs.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -683,7 +683,7 @@ def media_table(docs: DataFrame) -> DataFrame:
 
 def rgb_tensors(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """(key, height, width, rgb) of a column of progressive files: full-resolution tensors, row-major, 3 bytes a pixel."""
-    bounded_batches(media.sparkSession, "8m")
+    bounded_batches(media.sparkSession)
     source = media.select(key, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

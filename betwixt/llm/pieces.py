@@ -34,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import bounded_batches
+from .common import bounded_batches, map_batches, named
 from .textnum import BASE, U, mix, powers, raw_bytes, slices, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -382,11 +383,10 @@ def decode_texts(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> list[st
 def sample_encode(docs: DataFrame, keep: list[str], key: str = "doc_id", alpha: float = 0.5, model: str = MODEL) -> DataFrame:
     """``keep`` columns with n_bytes, n_pieces, ids, and lossless: the decoded ids are the text's bytes."""
     spark = docs.sparkSession
-    bounded_batches(spark, "8m")
+    bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(load_vocabulary(model))
-    source = docs.select(*keep, docs[key].cast("long").alias("__key"), "text")
-    kept = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[: len(keep)])
-    schema = f"{kept}, n_bytes long, n_pieces long, ids array<int>, lossless boolean"
+    source = docs.select(*[named(c) for c in keep], named(key).cast("long"), "text")
+    schema = StructType(source.schema.fields[: len(keep)]).add("n_bytes", "long").add("n_pieces", "long").add("ids", ArrayType(IntegerType())).add("lossless", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shipped.value, alpha)
@@ -409,16 +409,16 @@ def sample_encode(docs: DataFrame, keep: list[str], key: str = "doc_id", alpha:
                     [*keep, "n_bytes", "n_pieces", "ids", "lossless"],
                 )
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", model: str = MODEL) -> DataFrame:
     """``keep`` columns with the text of each row's ids (null for null)."""
     spark = encoded.sparkSession
-    bounded_batches(spark, "8m")
+    bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(load_vocabulary(model))
-    source = encoded.select(*keep, ids)
-    schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[: len(keep)]) + ", text string"
+    source = encoded.select(*[named(c) for c in keep], named(ids))
+    schema = StructType(source.schema.fields[: len(keep)]).add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shipped.value.ready()
@@ -426,4 +426,4 @@ def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", model: str = M
             texts = [None if x is None else decode_texts(np.array(x, np.int64), np.array([0, len(x)]), v)[0] for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*keep, "text"])
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import bounded_batches, crc_of_id
+from .common import bounded_batches, crc_of_id, map_batches, named
 from .textnum import U, Words, mix, raw_bytes, lowered, slices, span_hashes, words
 
 SAMPLE = {0: 4800, 1: 800}
@@ -157,7 +158,7 @@ class Model:
         return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * evidence)))
 
 
-def pick_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+def pick_sample(docs: DataFrame, labels: DataFrame, most: dict[int, int], most_bytes: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
     """(toxic, own: packed features of the words) of the bounded sample, and how many labelled documents each class has."""
     known = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_of_id("doc_id") % 5 != 0))
@@ -167,15 +168,15 @@ def pick_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int
     totals = {r[0]: r[1] for r in known.groupBy("__toxic").count().collect()}
     first = None
     for label in (0, 1):  # top-k by hash: bounded by SAMPLE
-        part = known.filter(F.col("__toxic") == label).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE[label])
+        part = known.filter(F.col("__toxic") == label).orderBy(F.xxhash64("__id"), "__id").limit(most[label])
         first = part if first is None else first.unionByName(part)
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("__doc"), "text")
     order = F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))  # of rows that repeat an id, the shortest
     sizes = texts.join(F.broadcast(first), F.col("__doc") == F.col("__id")).groupBy("__id", "__toxic").agg(F.min(order).alias("row"))
     found = sizes.select("__id", "__toxic", F.xxhash64("__id"), "row.size", "row.hash").collect()  # bounded by SAMPLE
-    kept = docs.sparkSession.createDataFrame(fitting(found), "__id long, __toxic int, __size int, __hash long")
+    kept = docs.sparkSession.createDataFrame(fitting(found, most_bytes), "__id long, __toxic int, __size int, __hash long")
     chosen = texts.join(F.broadcast(kept), (F.col("__doc") == F.col("__id")) & (F.octet_length("text") == F.col("__size")) & (F.xxhash64("text") == F.col("__hash")))
-    chosen = chosen.dropDuplicates(["__id"])
+    chosen = chosen.groupBy("__id", "__toxic").agg(F.min("text").alias("text"))  # copies, and texts whose hashes collide
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,12 +189,12 @@ def pick_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int
     return chosen.select("__toxic", "text").mapInArrow(tokens, "toxic int, own binary"), totals
 
 
-def fitting(found: list[tuple]) -> list[tuple]:
-    """(id, toxic, size, hash) of the rows (id, toxic, order, size, hash) that, in their order, still fit in SAMPLE_BYTES.
+def fitting(found: list[tuple], most_bytes: dict[int, int]) -> list[tuple]:
+    """(id, toxic, size, hash) of the rows (id, toxic, order, size, hash) that, in their order, still fit in ``most_bytes`` of their class.
 
     A document that does not fit is passed over; those after it are not.
     """
-    left, kept = dict(SAMPLE_BYTES), []
+    left, kept = dict(most_bytes), []
     for i, toxic, _, size, text in sorted(found, key=lambda r: (r[2], r[0])):
         if size <= left[toxic]:
             left[toxic] -= size
@@ -226,20 +227,25 @@ def toxic_marks(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
     return toxic[(n_toxic >= max(3, COMMON * seen[1])) & (base <= rate / 20) & (gain >= CHANCE)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, epochs: int = 30) -> Model:
-    """Train in one task: the sample is bounded, and an executor has more room for it than the driver, which gets the weights."""
+def fit(
+    docs: DataFrame, labels: DataFrame, epochs: int = 30, most: dict[int, int] = SAMPLE, most_bytes: dict[int, int] = SAMPLE_BYTES, trained_clean: int = TRAINED_CLEAN
+) -> Model:
+    """Train in one task: the sample is bounded, and an executor has more room for it than the driver, which gets the weights.
+
+    ``most`` documents and ``most_bytes`` of each class are the sample; ``trained_clean`` clean ones train the CRF.
+    """
     bounded_batches(docs.sparkSession)
-    sample, totals = pick_sample(docs, labels)
+    sample, totals = pick_sample(docs, labels, most, most_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(t.as_py(), np.frombuffer(own.as_buffer(), U).reshape(OWN, -1)) for b in batches for t, own in zip(*b.columns, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(rows, totals, epochs))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(rows, totals, epochs, trained_clean))], pa.binary())], ["model"])
 
     found = sample.repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(bytes(found[0][0])) if found else trained([], totals, epochs)
+    return pickle.loads(bytes(found[0][0])) if found else trained([], totals, epochs, trained_clean)
 
 
-def trained(rows: list[tuple[int, np.ndarray]], totals: dict[int, int], epochs: int) -> Model:
+def trained(rows: list[tuple[int, np.ndarray]], totals: dict[int, int], epochs: int, trained_clean: int) -> Model:
     rows.sort(key=lambda r: (r[0], r[1].shape[1], r[1].tobytes()))
     model = Model()
     n = {c: sum(t == c for t, _ in rows) for c in (0, 1)}
@@ -249,7 +255,7 @@ def trained(rows: list[tuple[int, np.ndarray]], totals: dict[int, int], epochs:
         return model
     marks = toxic_marks(rows)
     clean = [r for r in rows if r[0] == 0]
-    rows = clean[:: -(-len(clean) // TRAINED_CLEAN)] + [r for r in rows if r[0] == 1]
+    rows = clean[:: -(-len(clean) // trained_clean)] + [r for r in rows if r[0] == 1]
     n[0] = len(rows) - n[1]
     first = np.concatenate([[0], np.cumsum([own.shape[1] for _, own in rows])]).astype(np.int64)
     doc_label = np.array([t for t, _ in rows])
@@ -353,8 +359,8 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame
     spark = docs.sparkSession
     bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
-    source = docs.select(*keep, "text")
-    schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1]) + ", score double, predicted int, spans string"
+    source = docs.select(*[named(c) for c in keep], "text")
+    schema = StructType(source.schema.fields[:-1]).add("score", "double").add("predicted", "integer").add("spans", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -366,7 +372,7 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame
                     [*keep, "score", "predicted", "spans"],
                 )
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -392,4 +398,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 score, _ = scored(shipped.value, b.column(at).slice(lo, hi - lo))
                 yield b.slice(lo, hi - lo).filter(pa.array(score < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -39,6 +39,36 @@ def test_ranks_by_brute_force():
             assert langid.ranked(text, k).tolist() == [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:k]]
 
 
+def test_predictions_by_brute_force(spark):
+    """Profiles, distances, predictions and scores of the table, by dictionaries."""
+    d, k = "/root/testdata/sf0.001", langid.K
+    rows = [r for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang").collect() if len(r.text) < 20_000]
+
+    def counts(text):
+        c = langid.encode(text).tolist()
+        grams = [tuple(c[i : i + n]) for n in (1, 2, 3) for i in range(len(c) - n + 1)]
+        return collections.Counter(g for g in grams if g != (0,))
+
+    def top(n):
+        return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:k]]
+
+    learnt = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and any(langid.encode(r.text)):
+            learnt.setdefault(r.lang, collections.Counter()).update(counts(r.text))
+    profile = {lang: {g: i for i, g in enumerate(top(n))} for lang, n in sorted(learnt.items())}
+    docs = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in langid.language_table(docs).collect()}
+    for r in rows:
+        if not any(langid.encode(r.text)):
+            assert out[r.doc_id].lang_pred == "und"
+            continue
+        g = top(counts(r.text))
+        far = {lang: sum(min(abs(p[x] - i), k) if x in p else k for i, x in enumerate(g)) for lang, p in profile.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        assert (out[r.doc_id].lang_pred, out[r.doc_id].score) == (best, pytest.approx(1 - far[best] / (k * len(g))))
+
+
 def test_languages_of_awkward_rows(spark):
     out = langid.language_table(documents(spark)).collect()
     assert len(out) == len(corpus())
@@ -161,14 +191,15 @@ def test_toxicity_of_awkward_tables(spark):
     assert toxicity.reject_toxic(empty(spark), labels).count() == 0
 
 
-def test_a_giant_toxic_document_leaves_the_rest_in_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", {0: 1 << 20, 1: 20_000})
+def test_a_giant_toxic_document_leaves_the_rest_in_the_sample(spark):
+    most_bytes = {0: 1 << 20, 1: 20_000}
     ids = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5]
     giant = spark.createDataFrame([(i,) for i in ids], "i long").orderBy(F.xxhash64("i"), "i").first().i
     good = [(i, f"quiet words number {i} of a plain text", "en", "s", 1) for i in range(60)]
     bad = [(i, f"quiet NASTYWORD words number {i}" + " plain text" * (3000 if i == giant else 0), "en", "s", 1) for i in ids]
     labels = spark.createDataFrame([(r[0], 1, int(r[0] >= 100)) for r in good + bad], "doc_id long, quality int, toxic int")
-    sample, _ = toxicity.pick_sample(documents(spark, good + bad), labels)
+    sample, _ = toxicity.pick_sample(documents(spark, good + bad), labels, toxicity.SAMPLE, most_bytes)
     assert sample.filter("toxic = 1").count() == len(ids) - 1
-    out = toxicity.toxicity_table(documents(spark, good + bad), labels).collect()
+    model = toxicity.fit(documents(spark, good + bad), labels, most_bytes=most_bytes)
+    out = toxicity.score_documents(documents(spark, good + bad).selectExpr("doc_id", "text", "1 AS `a.b`"), model, ["doc_id", "a.b"]).collect()
     assert all(r.predicted == int(r.doc_id >= 100) for r in out)
