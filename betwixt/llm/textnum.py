@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 BASE = 0x100000001B3  # odd, hence invertible modulo 2^64
 PRIME, PRIME_BASE = (1 << 31) - 1, 0x2C1B3C6D  # of a second running sum: some texts collide modulo 2^64 whatever the base
 U = np.uint64
@@ -48,7 +48,7 @@ def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 more = min(done, size - done)
                 x[done : done + more] = x[:more] * U(pow(b, done, PRIME)) % U(PRIME)
                 done += more
-            _POWERS[k] = x
+            _POWERS[k] = x.astype(np.uint32)
     return _POWERS["prime_up"], _POWERS["prime_down"]
 
 
