@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import key, uniform
+from ..functions.lineage import written
 from . import traverse
 from .features import pivot6, pivot13
+from .ranks import with_rank
 from .scalars import degrees
 
 
@@ -20,7 +22,7 @@ def pivot_dataset(edges: DataFrame, bc: DataFrame, k: int = 6, seed: int = 0) ->
     """(target, node, g0 .. g12, y): y = log1p of the node's dependency on the target."""
     targets = sampled_targets(bc, k, seed)
     rows = pivot13(edges, targets)
-    dep = traverse.dependencies(edges, degrees(edges).select("node")).select(F.col("source").alias("node"), F.col("node").alias("target"), "delta")
+    dep = traverse.dependencies(edges, degrees(edges).select("node"), targets=targets).select(F.col("source").alias("node"), F.col("node").alias("target"), "delta")
     return rows.join(dep, ["target", "node"], "left").withColumn("y", F.log1p(F.coalesce("delta", F.lit(0.0)))).drop("delta")
 
 
@@ -28,8 +30,8 @@ def share_dataset(edges: DataFrame, bc: DataFrame, targets: int = 25, sources: i
     """Six pivot features of up to ``sources`` drawn sources for each target; y is the share of the target's sum."""
     rows = pivot6(edges, sampled_targets(bc, targets, seed))
     order = Window.partitionBy("target").orderBy(uniform(key(F.col("target"), F.col("node"), seed=seed)), "node")
-    rows = rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= sources).drop("__r")
-    dep = traverse.dependencies(edges, rows.select("node")).select(F.col("source").alias("node"), F.col("node").alias("target"), "delta")
+    rows = written(rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= sources).drop("__r"), "share-rows")
+    dep = traverse.dependencies(edges, rows.select("node"), targets=rows.select("target")).select(F.col("source").alias("node"), F.col("node").alias("target"), "delta")
     rows = rows.join(dep, ["target", "node"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
     total = F.sum("delta").over(Window.partitionBy("target"))
     return rows.withColumn("__t", total).filter(F.col("__t") > 0).withColumn("y", F.col("delta") / F.col("__t")).drop("__t", "delta")
@@ -56,7 +58,7 @@ def drawn_pairs(ranked: DataFrame, k: int, seed: int, lo: tuple[float, float], h
 
 def ranked_nodes(bc: DataFrame) -> DataFrame:
     """(node, bc, r): nodes with bc > 0 numbered from 1 by (bc, node)."""
-    return bc.filter(F.col("bc") > 0).select("node", "bc", F.row_number().over(Window.orderBy("bc", "node")).cast("long").alias("r"))
+    return with_rank(bc.filter(F.col("bc") > 0).select("node", "bc"), "r", [F.col("bc"), F.col("node")])
 
 
 def _labelled(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import key, uniform
+from ..functions.lineage import written
 from . import traverse
+from .ranks import with_rank
 
 SWEEP = [1, *range(5, 51, 5)]
 
@@ -22,19 +24,19 @@ def draw_pivots(probs: DataFrame, t_most: int, seed: int = 0, by: tuple[str, ...
     draws = probs.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(1), F.lit(t_most))).alias("t"))
     draws = draws.withColumn("x", uniform(key(F.col("target"), F.col("t"), seed=seed)))
     both = cum.withColumn("t", F.lit(None).cast("int")).unionByName(draws.withColumn("node", F.lit(None).cast("long")).withColumn("p", F.lit(None).cast("double")))
-    order = Window.partitionBy(*by).orderBy("x", F.col("t").asc_nulls_last(), "node")
-    nxt = order.rowsBetween(0, Window.unboundedFollowing)
-    last = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hit = F.struct("node", "p")
-    found = both.withColumn("hit", F.when(F.col("t").isNull(), hit)).withColumn(
-        "pick", F.coalesce(F.first("hit", ignorenulls=True).over(nxt), F.last("hit", ignorenulls=True).over(last))
-    )
-    return found.filter(F.col("t").isNotNull()).select(*by, "t", "pick.node", "pick.p")
+    # from the greatest x down, the last node seen is the first whose running sum reaches the draw; the frame only
+    # grows, so the pass is linear. A draw beyond the last running sum takes the last node.
+    down = Window.partitionBy(*by).orderBy(F.desc("x"), F.col("t").asc_nulls_first(), F.desc("node"))
+    hit = F.when(F.col("node").isNotNull(), F.struct("node", "p"))
+    last = F.first(hit, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    pick = F.coalesce(F.last(hit, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)), last)
+    return both.withColumn("pick", pick).filter(F.col("t").isNotNull()).select(*by, "t", "pick.node", "pick.p")
 
 
 def contributions(edges: DataFrame, draws: DataFrame) -> DataFrame:
     """(target, t, node, p, delta, value): value = delta / p. Each distinct pivot is traversed once for all targets."""
-    dep = traverse.dependencies(edges, draws.select("node")).select(F.col("source").alias("node"), F.col("node").alias("target"), "delta")
+    draws = written(draws, "draws")  # read twice: for the pivots and for the values
+    dep = traverse.dependencies(edges, draws.select("node"), targets=draws.select("target")).select(F.col("source").alias("node"), F.col("node").alias("target"), "delta")
     delta = F.coalesce("delta", F.lit(0.0))
     return draws.join(dep, ["node", "target"], "left").select(*draws.columns, delta.alias("delta"), (delta / F.greatest("p", F.lit(1e-12))).alias("value"))
 
@@ -89,9 +91,9 @@ def verdicts(ordered: DataFrame, value: str) -> DataFrame:
 def k_ordering(values: DataFrame, value: str, k: int | None = None) -> DataFrame:
     """Nodes in descending order of value with their rank; ties to the lowest id."""
     ids = values.columns[0]
-    top = values.orderBy(F.desc(value), ids)
-    top = top if k is None else top.limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), ids)))
+    if k is None:
+        return with_rank(values, "rank", [F.desc(value), F.col(ids)])
+    return values.orderBy(F.desc(value), ids).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), ids)))
 
 
 def unordered_pairs(nodes: DataFrame) -> DataFrame:

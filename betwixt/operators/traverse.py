@@ -12,6 +12,7 @@ Sources are distributed, so all-pairs work is spread over the cluster and summed
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ from ..functions.lineage import written
 
 #: 16 bytes an edge on each executor: 128 MB.
 MOST_BROADCAST_EDGES = 8_000_000
-MOST_LEVELS = 10_000
+MOST_REACHED = 4_000_000_000  # rows of (source, node) that the joins plan writes at once
+MOST_LEVELS = 10_000  # of the joins plan; a deeper graph raises
 
 
 class Adjacency:
@@ -142,7 +144,7 @@ def _bfs_joins(edges: DataFrame, sources: DataFrame) -> DataFrame:
     )
     now = written(now, "level")
     levels = [now]
-    for d in range(1, MOST_LEVELS):
+    for d in range(1, MOST_LEVELS + 1):
         seen = now if d == 1 else now.select("source", "node").unionByName(levels[-2].select("source", "node"))
         step = (
             now.select("source", F.col("node").alias("src"), "sigma", "rank")
@@ -158,17 +160,23 @@ def _bfs_joins(edges: DataFrame, sources: DataFrame) -> DataFrame:
         if now.isEmpty():
             break
         levels.append(now)
+    else:
+        raise RuntimeError(f"more than {MOST_LEVELS} levels")
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
     return out.drop("rank")
 
 
-def dependencies(edges: DataFrame, sources: DataFrame, plan: str | None = None) -> DataFrame:
-    """(source, node, delta) of every reached node but the source."""
+def dependencies(edges: DataFrame, sources: DataFrame, plan: str | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(source, node, delta) of every reached node but the source; of ``targets`` (ids in the first column) only, if given."""
+    wanted = None if targets is None else targets.select(F.col(targets.columns[0]).cast("long").alias("node")).distinct()
     if plan == "joins" or plan is None and not fits_broadcast(edges):
-        return _dependencies_joins(edges, sources)
+        found = _dependencies_joins(edges, sources)
+        return found if wanted is None else found.join(wanted, "node", "left_semi").select("source", "node", "delta")
     graph = shipped(edges)
+    # targets are nodes, of which a graph that fits has at most twice as many as edges
+    only = None if wanted is None else edges.sparkSession.sparkContext.broadcast(wanted.toArrow().column(0).to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = graph.value
@@ -180,6 +188,8 @@ def dependencies(edges: DataFrame, sources: DataFrame, plan: str | None = None)
                 s = g.search(i)
                 delta = s.dependencies()
                 nodes = np.flatnonzero(s.dist > 0)
+                if only is not None:
+                    nodes = nodes[np.isin(g.ids[nodes], only.value)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), source)), pa.array(g.ids[nodes]), pa.array(delta[nodes])], ["source", "node", "delta"])
 
     return _spread(sources).mapInArrow(run, "source long, node long, delta double")
@@ -217,7 +227,14 @@ def betweenness(edges: DataFrame, plan: str | None = None, most_nodes: int | Non
     if most_nodes is not None and nodes.limit(most_nodes + 1).count() > most_nodes:
         raise ValueError(f"more than {most_nodes} nodes: use an estimate")
     if plan == "joins" or plan is None and not fits_broadcast(edges):
-        part = _dependencies_joins(edges, nodes).select("node", "delta")
+        # a block of sources at a time, added up before the next: what is written at once is a row for each node and source of a block
+        part = None
+        total = nodes.count()
+        blocks = max(1, math.ceil(total * total / MOST_REACHED))
+        for block in range(blocks):
+            mine = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block)
+            sums = written(_dependencies_joins(edges, mine).groupBy("node").agg(F.sum("delta").alias("delta")), "block")
+            part = sums if part is None else part.unionByName(sums)
     else:
         graph = shipped(edges)
 
@@ -272,7 +289,6 @@ def eccentricity_estimate(edges: DataFrame, k: int = 5) -> DataFrame:
 def optimal_pivots(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, node, p): each source's share of the target's dependencies, the variance-free distribution."""
     nodes = edges.select("src").distinct()
-    wanted = targets.select(F.col(targets.columns[0]).alias("node")).distinct()
-    dep = dependencies(edges, nodes).join(wanted, "node")
+    dep = dependencies(edges, nodes, targets=targets)
     share = F.col("delta") / F.sum("delta").over(Window.partitionBy("node"))
     return dep.filter(F.col("delta") > 0).select(F.col("node").alias("target"), F.col("source").alias("node"), share.alias("p"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import written
 from ..operators import datasets, estimate, features, generators, harness, metrics, models, pivots, scalars, traverse
 from .graphs import basket_graph, session_graph, trade_graph
-from .oracle import TARGETS, contributions, draws, query
+from .oracle import PAIRS, TARGETS, contributions, draws, query
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -83,7 +83,7 @@ def _(s, d):
     return scalars.degree_histogram(trade_graph(s, d))
 
 
-BASKET_SQL = "SELECT DISTINCT o_custkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50"
+BASKET_SQL = PAIRS["basket"]
 
 
 def _spread_labels(k: int) -> str:
@@ -96,14 +96,14 @@ def _spread_labels(k: int) -> str:
     return "WITH " + ",\n".join(ctes)
 
 
-@register("components", _spread_labels(24) + "\nSELECT node::BIGINT AS node, component::BIGINT AS component FROM c")
+@register("components", _spread_labels(8) + "\nSELECT node::BIGINT AS node, component::BIGINT AS component FROM c")
 def _(s, d):
     return scalars.connected_components(basket_graph(s, d))
 
 
 @register(
     "lcc",
-    _spread_labels(24)
+    _spread_labels(8)
     + "\nSELECT src::BIGINT AS src, dst::BIGINT AS dst FROM e WHERE src < dst AND src IN (SELECT node FROM c WHERE component = (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))",
 )
 def _(s, d):

@@ -12,20 +12,23 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trade_graph(spark: SparkSession, sf_dir: str, least_quantity: float = 50.0) -> DataFrame:
-    """Customers (2k) and suppliers (2k + 1), joined by a line of at least ``least_quantity`` pieces."""
-    lines = _read(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= least_quantity).select("l_orderkey", "l_suppkey")
+def _lines(spark: SparkSession, sf_dir: str, other: str) -> DataFrame:
+    """(a, b) of every line of an order: its customer (2k), and its supplier or part (2k + 1)."""
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", other)
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return symmetric(canonical(pairs.select((F.col("o_custkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))))
+    return pairs.select((F.col("o_custkey") * 2).alias("a"), (F.col(other) * 2 + 1).alias("b"))
 
 
-def basket_graph(spark: SparkSession, sf_dir: str, least_quantity: float = 50.0) -> DataFrame:
-    """Customers (2k) and parts (2k + 1), joined likewise: sparse, with many components."""
-    lines = _read(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= least_quantity).select("l_orderkey", "l_partkey")
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return symmetric(canonical(pairs.select((F.col("o_custkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))))
+def trade_graph(spark: SparkSession, sf_dir: str, least_lines: int = 2) -> DataFrame:
+    """Customers and suppliers, joined by at least ``least_lines`` of all order lines."""
+    counted = _lines(spark, sf_dir, "l_suppkey").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return symmetric(canonical(counted.filter(F.col("n") >= least_lines).select("a", "b")))
+
+
+def basket_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and parts, joined by any order line."""
+    return symmetric(canonical(_lines(spark, sf_dir, "l_partkey")))
 
 
 def session_graph(spark: SparkSession, sf_dir: str, least_times: int = 2) -> DataFrame:

@@ -11,8 +11,8 @@ LEVELS = 16
 TARGETS = 20
 
 PAIRS = {
-    "trade": "SELECT DISTINCT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50",
-    "basket": "SELECT DISTINCT o_custkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50",
+    "trade": "SELECT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(*) >= 2",
+    "basket": "SELECT DISTINCT o_custkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "session": (
         "SELECT least(user_id, nxt) AS a, greatest(user_id, nxt) AS b FROM "
         "(SELECT user_id, lead(user_id) OVER (ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt <> user_id GROUP BY 1, 2 HAVING count(*) >= 2"
@@ -45,9 +45,9 @@ def dependency(name: str, of: str) -> list[tuple[str, str]]:
     for k in range(LEVELS - 2, 0, -1):
         out.append((
             f"{name}{k}",
-            f"SELECT v.source, v.node, v.sigma, coalesce(sum(v.sigma / x.sw * (1 + x.delta)), 0) AS delta FROM {of}{k} v LEFT JOIN "
-            f"(SELECT w.source, e.src AS node, w.sigma AS sw, w.delta FROM {name}{k + 1} w JOIN e ON e.dst = w.node) x "
-            "ON x.source = v.source AND x.node = v.node GROUP BY 1, 2, 3",
+            f"SELECT v.source, v.node, v.sigma, v.sigma * coalesce(x.share, 0) AS delta FROM {of}{k} v LEFT JOIN "
+            f"(SELECT w.source, e.src AS node, sum((1 + w.delta) / w.sigma) AS share FROM {name}{k + 1} w JOIN e ON e.dst = w.node GROUP BY 1, 2) x "
+            "ON x.source = v.source AND x.node = v.node",
         ))
     return [*out, (name, " UNION ALL ".join(f"SELECT source, node, delta FROM {name}{k}" for k in range(1, LEVELS)))]
 
