@@ -1,0 +1,182 @@
+"""Gradient boosted trees on binned columns, in numpy.
+
+Trees of a fixed depth, by second-order gains over histograms. Training runs in one task on a bounded number of rows;
+a fitted model is a few arrays, which go out to the tasks that predict.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MOST_ROWS = 400_000  # of a training set
+
+
+@dataclass
+class Boosted:
+    trees: int = 250
+    depth: int = 5
+    rate: float = 0.05
+    rows: float = 1.0  # share of the rows that a tree sees
+    columns: float = 1.0  # share of the columns that a tree may split
+    logistic: bool = False
+    bins: int = 64
+    ridge: float = 1.0
+    least_weight: float = 1.0  # of a leaf, in second derivatives
+    seed: int = 42
+    base: float = 0.0
+    edges: list[np.ndarray] = field(default_factory=list)
+    column: np.ndarray | None = None  # (trees, inner nodes)
+    cut: np.ndarray | None = None  # go right where the bin is above
+    leaf: np.ndarray | None = None  # (trees, leaves)
+
+    def binned(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1).astype(np.int16)
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+        rng = np.random.default_rng(self.seed)
+        n, f = x.shape
+        self.edges = [np.unique(np.quantile(x[:, j], np.arange(1, self.bins) / self.bins, method="lower")) for j in range(f)]
+        codes = self.binned(x)
+        inner = 2**self.depth - 1
+        self.column, self.cut = np.zeros((self.trees, inner), np.int16), np.full((self.trees, inner), self.bins, np.int16)
+        self.leaf = np.zeros((self.trees, inner + 1))
+        mean = float(np.mean(y))
+        self.base = float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6))) if self.logistic else mean
+        score = np.full(n, self.base)
+        for t in range(self.trees):
+            if self.logistic:
+                p = 1 / (1 + np.exp(-score))
+                g, h = p - y, p * (1 - p)
+            else:
+                g, h = score - y, np.ones(n)
+            seen = np.sort(rng.permutation(n)[: max(1, int(round(n * self.rows)))]) if self.rows < 1 else np.arange(n)
+            allowed = np.sort(rng.permutation(f)[: max(1, int(round(f * self.columns)))])
+            self._grow(t, codes[seen], g[seen], h[seen], allowed)
+            score += self.leaf[t][self._place(t, codes)]
+        return self
+
+    def _grow(self, t: int, codes: np.ndarray, g: np.ndarray, h: np.ndarray, allowed: np.ndarray) -> None:
+        at, first = np.zeros(len(codes), np.int64), 0
+        for level in range(self.depth):
+            wide = 2**level
+            best, where, cut = np.full(wide, 1e-9), np.zeros(wide, np.int64), np.full(wide, self.bins)
+            for j in allowed:
+                cell = at * self.bins + codes[:, j]
+                left = [np.bincount(cell, w, wide * self.bins).reshape(wide, self.bins).cumsum(1) for w in (g, h)]
+                (gl, hl), (ga, ha) = left, [x[:, -1:] for x in left]
+                gr, hr = ga - gl, ha - hl
+                gain = gl**2 / (hl + self.ridge) + gr**2 / (hr + self.ridge) - ga**2 / (ha + self.ridge)
+                gain[(hl < self.least_weight) | (hr < self.least_weight)] = 0
+                top = gain.argmax(1)
+                more = gain[np.arange(wide), top] > best
+                best[more], where[more], cut[more] = gain[more, top[more]], j, top[more]
+            self.column[t, first : first + wide], self.cut[t, first : first + wide] = where, cut
+            at = at * 2 + (codes[np.arange(len(codes)), where[at]] > cut[at])
+            first += wide
+        sums = [np.bincount(at, w, 2**self.depth) for w in (g, h)]
+        self.leaf[t] = -self.rate * sums[0] / (sums[1] + self.ridge)
+
+    def _place(self, t: int, codes: np.ndarray) -> np.ndarray:
+        at, first, row = np.zeros(len(codes), np.int64), 0, np.arange(len(codes))
+        for level in range(self.depth):
+            node = first + at
+            at = at * 2 + (codes[row, self.column[t, node]] > self.cut[t, node])
+            first += 2**level
+        return at
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Fitted values, or probabilities."""
+        codes = self.binned(x)
+        score = np.full(len(x), self.base)
+        for t in range(self.trees):
+            score += self.leaf[t][self._place(t, codes)]
+        return 1 / (1 + np.exp(-score)) if self.logistic else score
+
+
+@dataclass
+class Perceptron:
+    """A regression perceptron with rectified hidden layers on standardised columns, trained with Adam on the squared error."""
+
+    hidden: tuple[int, ...] = (64, 32)
+    epochs: int = 60
+    batch: int = 256
+    rate: float = 1e-3
+    decay: float = 1e-4
+    seed: int = 42
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Perceptron:
+        rng = np.random.default_rng(self.seed)
+        self.shift, self.scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+        x = (x - self.shift) / self.scale
+        sizes = (x.shape[1], *self.hidden, 1)
+        self.w = [rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
+        self.b = [np.zeros(b) for b in sizes[1:]]
+        self.b[-1] += y.mean()
+        state, step = [[np.zeros_like(p), np.zeros_like(p)] for p in (*self.w, *self.b)], 0
+        for _ in range(self.epochs):
+            order = rng.permutation(len(x))
+            for lo in range(0, len(x), self.batch):
+                part, step = order[lo : lo + self.batch], step + 1
+                for p, s, g in zip((*self.w, *self.b), state, self.gradients(x[part], y[part]), strict=True):
+                    s[0] = 0.9 * s[0] + 0.1 * g
+                    s[1] = 0.999 * s[1] + 0.001 * g**2
+                    p -= self.rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.999**step)) + 1e-8)
+        return self
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean of half the squared error, with the weights' decay."""
+        layers = [x]
+        for k, (w, b) in enumerate(zip(self.w, self.b, strict=True)):
+            z = layers[-1] @ w + b
+            layers.append(z if k == len(self.w) - 1 else np.maximum(z, 0))
+        d = (layers[-1] - y[:, None]) / len(y)
+        gw, gb = [], []
+        for k in reversed(range(len(self.w))):
+            gw.append(layers[k].T @ d + self.decay * self.w[k])
+            gb.append(d.sum(0))
+            d = (d @ self.w[k].T) * (layers[k] > 0)
+        return [*gw[::-1], *gb[::-1]]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        h = (x - self.shift) / self.scale
+        for k, (w, b) in enumerate(zip(self.w, self.b, strict=True)):
+            h = h @ w + b
+            if k < len(self.w) - 1:
+                h = np.maximum(h, 0)
+        return h[:, 0]
+
+
+def fit_rows(rows: DataFrame, columns: list[str], label: str, model: Boosted | Perceptron, most: int = MOST_ROWS) -> Boosted | Perceptron:
+    """The model fitted in one task on at most ``most`` rows, the first by a hash of their values."""
+    x = rows.select(*[F.col(c).cast("double") for c in columns], F.col(label).cast("double").alias("y"))
+    x = x.orderBy(F.xxhash64(*x.columns), *x.columns).limit(most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = np.concatenate([np.stack([c.to_numpy() for c in b.columns], 1) for b in batches if b.num_rows] or [np.zeros((0, len(columns) + 1))])
+        data = data[np.lexsort(data.T)]
+        if len(data):
+            model.fit(data[:, :-1], data[:, -1])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return pickle.loads(bytes(x.repartition(1).mapInArrow(run, "model binary").first()[0]))
+
+
+def predictions(rows: DataFrame, columns: list[str], model: Boosted | Perceptron, name: str = "prediction") -> DataFrame:
+    """``rows`` with the fitted model's values."""
+    shipped = rows.sparkSession.sparkContext.broadcast(model)
+    at = [rows.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in at], 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shipped.value.predict(x))], [*b.schema.names, name])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{name}` double"
+    return rows.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from betwixt.plans import catalog
 from .util import DATA, same
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
-SLOW = {"multirun_overall", "improvement", "model_pivot_gbt", "model_pair_gbt"}  # as their neighbours, or run by the bench
+SLOW = {"study_xi"}  # its stages are in test_study, the whole in the bench
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
