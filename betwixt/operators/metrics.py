@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running_total
+
 
 def efficiency(ordered: DataFrame, by: list[str], ties: str = "skip") -> DataFrame:
     """Share of pairs (bc_u, bc_v, est_u, est_v) that the estimate orders as the exact values do.
@@ -26,33 +28,42 @@ def average_error(values: DataFrame, by: list[str]) -> DataFrame:
     return values.filter(F.col("bc") != 0).groupBy(*by).agg(F.avg(F.abs(F.col("bc") - F.col("est")) / F.col("bc") * 100).alias("avg_error"))
 
 
-def concordance(x: np.ndarray, y: np.ndarray, block: int = 1024) -> tuple[int, int, int, int, int]:
-    """Concordant, discordant, tied in x only, in y only, and in both, over all pairs."""
-    con = dis = tx = ty = both = 0
-    for lo in range(0, len(x), block):
-        a, b = x[lo : lo + block, None], y[lo : lo + block, None]
-        later = np.arange(len(x)) > np.arange(lo, min(len(x), lo + block))[:, None]
-        s, t = np.sign(a - x[None, :]), np.sign(b - y[None, :])
-        p = s * t
-        con += int(((p > 0) & later).sum())
-        dis += int(((p < 0) & later).sum())
-        tx += int(((s == 0) & (t != 0) & later).sum())
-        ty += int(((s != 0) & (t == 0) & later).sum())
-        both += int(((s == 0) & (t == 0) & later).sum())
-    return con, dis, tx, ty, both
+def ascents(a: np.ndarray) -> int:
+    """Pairs i < j with a[i] < a[j], counted bit by bit of the ranks: n log n work."""
+    rank = np.unique(a, return_inverse=True)[1]
+    total = 0
+    for bit in reversed(range(int(len(a)).bit_length())):
+        one = rank >> bit & 1
+        zeros = np.cumsum(1 - one)  # so far, the element itself included
+        group = rank >> (bit + 1)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(a) else np.zeros(0, int)
+        before = np.repeat(zeros[first] - (1 - one[first]), np.diff(np.append(first, len(a))))
+        total += int(((zeros - before) * one).sum())
+        rank = rank[np.argsort(rank >> bit, kind="stable")]
+    return total
+
+
+def concordance(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int, int]:
+    """Pairs ordered alike, ordered differently, tied in x only, in y only, in both."""
+
+    def tied(*keys: np.ndarray) -> int:
+        n = np.unique(np.stack(keys), axis=1, return_counts=True)[1].astype(object)
+        return int((n * (n - 1) // 2).sum())
+
+    up, down = np.lexsort((-y, x)), np.lexsort((y, x))
+    tx, ty, both = tied(x), tied(y), tied(x, y)
+    return ascents(y[up]), ascents(-y[down]), tx - both, ty - both, both
 
 
-def rank_agreement(values: DataFrame, by: list[str], score: str = "score", least: int = 10, most: int = 50_000) -> DataFrame:
+def rank_agreement(values: DataFrame, by: list[str], score: str = "score", least: int = 10) -> DataFrame:
     """xi (over pairs of different exact value), Spearman's rho and Kendall's tau-b over nodes with bc > 0.
 
-    Fewer than ``least`` nodes give correlations of 0; no differing pair gives xi = 1. A group is a graph whose exact
-    values are known; more than ``most`` nodes raise, as they do for exact betweenness.
+    Fewer than ``least`` nodes give correlations of 0; no differing pair gives xi = 1. A group, the nodes of a graph
+    whose exact values are known, is one task's; pairs are counted by sorting.
     """
     names = [*by, "nodes", "pairs", "xi", "spearman", "kendall"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"more than {most} nodes in a group")
         x, y = pdf["bc"].to_numpy(), pdf["__s"].to_numpy()
         con, dis, tx, ty, _ = concordance(x, y)
         pairs = con + dis + ty
@@ -77,22 +88,19 @@ def _ties_right(pdf: pd.DataFrame) -> int:
     right = 0
     for _, g in pdf.groupby("__s"):
         if len(g) > 1:
-            x = g.sort_values("node")["bc"].to_numpy()
-            for lo in range(0, len(x), 1024):
-                later = np.arange(len(x)) > np.arange(lo, min(len(x), lo + 1024))[:, None]
-                right += int(((x[None, :] > x[lo : lo + 1024, None]) & later).sum())
+            right += ascents(g.sort_values("node")["bc"].to_numpy())
     return right
 
 
 def spearman(values: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho) with average ranks of ties."""
 
-    def rank(c: str):
-        w = Window.orderBy(c)
-        return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
+    def ranks(c: str) -> DataFrame:
+        counted = running_total(values.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("k")), "upto", [F.col("v")], F.col("k"))
+        return counted.select(F.col("v").alias(c), (F.col("upto") - F.col("k") + (F.col("k") + 1) / 2).alias(f"r_{c}"))
 
-    ranked = values.select(rank(x).alias("rx"), rank(y).alias("ry"))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nanvl(F.corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
+    ranked = values.select(x, y).join(ranks(x), x).join(ranks(y), y)
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nanvl(F.corr(f"r_{x}", f"r_{y}"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
 
 
 def confidence(predictions: DataFrame) -> DataFrame:
@@ -120,11 +128,11 @@ def divergence(true: DataFrame, pred: DataFrame, epsilon: float = 1e-12) -> Data
 def auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row (auc, positives, negatives) by rank sums; equal scores share their mean rank.
 
-    Scores are counted first, so the ranks' window runs over distinct scores.
+    Scores are counted first, so the ranks run over distinct scores.
     """
     by_score = rows.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
-    below = F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("q")
-    parts = by_score.select("p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("won"))
+    counted = running_total(by_score, "upto", [F.col(score)], F.col("q"))
+    parts = counted.select("p", "q", (F.col("p") * (F.col("upto") - F.col("q") / 2)).alias("won"))
     p, q = F.sum("p"), F.sum("q")
     return parts.agg(F.when((p > 0) & (q > 0), F.sum("won") / (p * q)).otherwise(F.lit(0.5)).alias("auc"), p.alias("positives"), q.alias("negatives"))
 

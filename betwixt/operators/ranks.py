@@ -1,4 +1,4 @@
-"""Row numbers over a whole table, without a task that holds it."""
+"""Running totals and row numbers over a whole table, without a task that holds it."""
 
 from __future__ import annotations
 
@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.lineage import written
 
 
-def with_rank(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
-    """``rows`` with their number from 1 in a total order.
+def running_total(rows: DataFrame, name: str, order: list[Column], amount: Column) -> DataFrame:
+    """``rows`` with the sum of ``amount`` over them and all before them in a total order.
 
-    Rows are sorted over partitions by ranges and numbered in each; the partitions' sizes (a row for each) are added up.
+    Rows are sorted over partitions by ranges and added up in each; the partitions' totals (a row for each) go on top.
     """
-    part, inner = f"{name}__part", f"{name}__inner"
-    ranged = written(rows.orderBy(*order).withColumn(part, F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    part, own = f"{name}__part", f"{name}__own"
+    ranged = written(rows.withColumn(own, amount).orderBy(*order).withColumn(part, F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(part).agg(F.sum(own).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(part, before.alias("__before"))
-    numbered = ranged.withColumn(inner, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
-    return numbered.join(F.broadcast(offsets), part).withColumn(name, F.col(inner) + F.col("__before")).drop(part, inner, "__before")
+    offsets = totals.select(part, before.alias("__before"))
+    inner = F.sum(own).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn(name, inner).join(F.broadcast(offsets), part).withColumn(name, F.col(name) + F.col("__before")).drop(part, own, "__before")
+
+
+def with_rank(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """``rows`` with their number from 1 in a total order."""
+    return running_total(rows, name, order, F.lit(1).cast("long"))

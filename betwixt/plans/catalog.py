@@ -559,7 +559,7 @@ def _(s, d):
     return metrics.regression_errors(both).select(r6(F.col("mse") * 1e6, "mse_e6"), r6("mae"), r6("r2"))
 
 
-@register("auc", query("trade", ["bc", "wd"], f"SELECT {r6s('(sum(r) FILTER (WHERE y = 1) - p * (p + 1) / 2) / (p * q)', 'auc')}, p::BIGINT AS positives, q::BIGINT AS negatives FROM (SELECT y, ({RANKED.format('score')})::DOUBLE AS r, sum(y) OVER ()::DOUBLE AS p, sum(1 - y) OVER ()::DOUBLE AS q FROM (SELECT score, (bc > 0)::INT AS y FROM sn)) GROUP BY p, q", [SCORED]))
+@register("auc", query("trade", ["bc", "wd"], f"SELECT {r6s('CASE WHEN p > 0 AND q > 0 THEN (sum(r) FILTER (WHERE y = 1) - p * (p + 1) / 2) / (p * q) ELSE 0.5 END', 'auc')}, p::BIGINT AS positives, q::BIGINT AS negatives FROM (SELECT y, ({RANKED.format('score')})::DOUBLE AS r, sum(y) OVER ()::DOUBLE AS p, sum(1 - y) OVER ()::DOUBLE AS q FROM (SELECT score, (bc > 0)::INT AS y FROM sn)) GROUP BY p, q", [SCORED]))
 def _(s, d):
     rows = scored_nodes(trade_graph(s, d)).withColumn("label", (F.col("bc") > 0).cast("int"))
     return metrics.auc(rows).select(r6("auc"), big("positives"), big("negatives"))

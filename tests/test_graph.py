@@ -163,6 +163,25 @@ def test_rank_agreement_by_brute_force(spark):
     assert got.kendall == pytest.approx(s / np.sqrt(tx * ty))
 
 
+def test_pairs_are_counted_as_by_all_pairs():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 7, 64, 150):
+        x, y = rng.integers(0, 9, n).astype(float), rng.integers(0, 12, n).astype(float)
+        i, j = np.triu_indices(n, 1)
+        s = np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])
+        tx, ty = x[i] == x[j], y[i] == y[j]
+        want = ((s > 0).sum(), (s < 0).sum(), (tx & ~ty).sum(), (ty & ~tx).sum(), (tx & ty).sum())
+        assert metrics.concordance(x, y) == want
+        assert metrics.ascents(y) == (y[i] < y[j]).sum()
+
+
+def test_graphs_deeper_than_the_bound_raise(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "MOST_LEVELS", 3)
+    e = graph(spark, [(i, i + 1) for i in range(8)])
+    with pytest.raises(RuntimeError):
+        traverse.bfs(e, spark.createDataFrame([(0,)], "s long"), "joins")
+
+
 def test_all_zero_values_give_full_agreement(spark):
     df = spark.createDataFrame([("g", 0, 0.0, 1.0), ("h", 0, 1.0, 1.0)], "graph string, node long, bc double, score double")
     assert [(r.graph, r.xi) for r in metrics.rank_agreement(df, ["graph"]).collect()] == [("h", 1.0)]
