@@ -681,8 +681,11 @@ def media_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def rgb_tensors(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """(key, height, width, rgb) of a column of progressive files: full-resolution tensors, row-major, 3 bytes a pixel."""
+def rgb_tensors(media: DataFrame, key: str = "doc_id", column: str = "media", damaged: str = "flag") -> DataFrame:
+    """(key, height, width, rgb, damaged) of a column of progressive files: full-resolution tensors, row-major, 3 bytes a pixel.
+
+    A file that cannot be decoded has null for a tensor and is flagged, or ends the job with ``damaged='raise'``.
+    """
     bounded_batches(media.sparkSession)
     source = media.select(key, column)
 
@@ -690,11 +693,17 @@ def rgb_tensors(media: DataFrame, key: str = "doc_id", column: str = "media") ->
         for b in batches:
             for i in range(b.num_rows):
                 raw = b.column(1)[i].as_py()
-                t = None if raw is None else decode_rgb(raw)
+                t, bad = None, False
+                try:
+                    t = None if raw is None else decode_rgb(raw)
+                except Exception:
+                    if damaged == "raise":
+                        raise
+                    bad = True
                 shape = (None, None) if t is None else t.shape[:2]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 1), pa.array([shape[0]], pa.int32()), pa.array([shape[1]], pa.int32()), pa.array([None if t is None else t.tobytes()], pa.binary())],
-                    [key, "height", "width", "rgb"],
+                    [b.column(0).slice(i, 1), pa.array([shape[0]], pa.int32()), pa.array([shape[1]], pa.int32()), pa.array([None if t is None else t.tobytes()], pa.binary()), pa.array([bad])],
+                    [key, "height", "width", "rgb", "damaged"],
                 )
 
-    return source.mapInArrow(run, f"`{key}` {source.dtypes[0][1]}, height int, width int, rgb binary")
+    return source.mapInArrow(run, f"`{key}` {source.dtypes[0][1]}, height int, width int, rgb binary, damaged boolean")

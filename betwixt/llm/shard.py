@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import duckdb_crc32
+from .common import duckdb_crc32, fresh, named
 
 M32 = 0xFFFFFFFF
 #: Jumps made at most per key. The count is near ln(shards); beyond 128 the row raises an error.
@@ -77,12 +77,16 @@ def jump_shards(key: Column, n_shards: int) -> Column:
 
 
 def with_jump_shard(df: DataFrame, key: str, n_shards: int, shard: str = "shard", grown: str | None = None) -> DataFrame:
-    """``df`` with its shard (and, if named, the shard after one more is appended)."""
-    both = df.withColumn("__jump", jump_shards(F.col(key), n_shards))
-    both = both.withColumn(shard, F.col("__jump.shard"))
+    """``df`` with its shard (and, if named, the shard after one more is appended); columns of these names are refused."""
+    taken = {c.lower() for c in df.columns} & {c.lower() for c in (shard, grown) if c}
+    if taken:
+        raise ValueError(f"the table has columns {sorted(taken)}")
+    (jump,) = fresh(df.columns, "jump")
+    both = df.withColumn(jump, jump_shards(named(key), n_shards))
+    both = both.withColumn(shard, F.col(jump)["shard"])
     if grown:
-        both = both.withColumn(grown, F.col("__jump.grown"))
-    return both.drop("__jump")
+        both = both.withColumn(grown, F.col(jump)["grown"])
+    return both.drop(jump)
 
 
 def with_slots(df: DataFrame, shard: str, spread: str, order: list[str], buckets: int, slot: str = "slot") -> DataFrame:

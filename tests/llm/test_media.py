@@ -267,6 +267,14 @@ def test_tensor_column(spark):
     assert media.read_payloads([raw])[1] == ["16x16:" + ",".join(f"{x:.3f}" for x in mean)]
 
 
+def test_damaged_files_are_flagged(spark):
+    flat, offs, _ = media.padded(pa.array(["tensor"]))
+    raw = media.store_payloads(flat, offs)[0]
+    df = spark.createDataFrame([(1, bytearray(raw)), (2, bytearray(raw[:40])), (3, bytearray(b""))], "doc_id long, media binary")
+    got = {r.doc_id: (r.damaged, r.rgb is None) for r in media.rgb_tensors(df).collect()}
+    assert got == {1: (False, False), 2: (True, True), 3: (True, True)}
+
+
 def test_damage_is_found():
     flat, offs, _ = media.padded(pa.array(["some text " * 100]))
     raw = media.store_payloads(flat, offs)[0]

@@ -54,3 +54,12 @@ def test_only_the_new_shard_takes_rows(spark):
 
 def test_empty(spark):
     assert shard.shard_table(empty(spark)).count() == 0
+
+
+def test_columns_are_not_overwritten(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, 2, 3)], "k long, shard long, `a.b` long")
+    with pytest.raises(ValueError):
+        shard.with_jump_shard(df, "k", 4)
+    assert shard.with_jump_shard(df, "a.b", 4, "mine").first().mine == jump(3, 4)
