@@ -68,8 +68,24 @@ def read_node_table(spark: SparkSession, csv: str, edges: str, least_nodes: int
     return nodes, symmetric(pairs.select("a", "b"))
 
 
-def read_node_tables(spark: SparkSession, folder: str, least_nodes: int = 20, most_graphs: int | None = None) -> DataFrame:
-    """All graph_<k>.csv and real_*.csv of a folder with graph_id from the file's name; small graphs are left out."""
+def read_edge_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(graph_id, src, dst), both ways, of all <graph_id>_edges.txt of a folder; loops and repeated edges are left out."""
+    words = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.option("pathGlobFilter", "*_edges.txt").text(folder)
+    rows = lines.select(
+        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_edges\.txt$", 1).alias("graph_id"),
+        F.get(words, F.lit(0)).try_cast("long").alias("a"),
+        F.get(words, F.lit(1)).try_cast("long").alias("b"),
+    ).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    pairs = rows.select("graph_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    return pairs.unionByName(pairs.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def read_node_tables(spark: SparkSession, folder: str, least_nodes: int = 20, most_graphs: int | None = None, with_edges: bool = False) -> DataFrame:
+    """All graph_<k>.csv and real_*.csv of a folder with graph_id from the file's name; small graphs are left out.
+
+    ``with_edges`` also leaves out graphs that have no file of edges.
+    """
     rows = (
         spark.read.schema(NODE_SCHEMA)
         .option("pathGlobFilter", "{graph_*[0-9],real_*}.csv")
@@ -77,6 +93,8 @@ def read_node_tables(spark: SparkSession, folder: str, least_nodes: int = 20, mo
         .withColumn("graph_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1))
     )
     sizes = rows.groupBy("graph_id").count().filter(F.col("count") >= least_nodes).select("graph_id")
+    if with_edges:
+        sizes = sizes.join(read_edge_files(spark, folder).select("graph_id").distinct(), "graph_id", "left_semi")
     if most_graphs is not None:
         sizes = sizes.orderBy("graph_id").limit(most_graphs)
     return rows.join(sizes, "graph_id", "left_semi")

@@ -9,7 +9,7 @@ ROOT = Path(__file__).resolve().parents[1]
 
 def test_entry_runs(spark):
     out = entry.entry(spark)
-    assert out.columns == ["node", "bc"] and out.count() == 95
+    assert out.columns == ["node", "bc"] and out.count() == 160
 
 
 def test_every_oracle_has_a_query():
