@@ -637,16 +637,33 @@ def _(s, d):
     return datasets.sampled_targets(exact(trade_graph(s, d)), 25)
 
 
-@register("ds_pivot")
+PIVOT_Y = "LEFT JOIN da ON da.source = p13.node AND da.node = p13.target, sc"
+
+
+@register(
+    "ds_pivot",
+    query("session", ["bt", "tri", "core", "sc", "da"], "SELECT target, p13.node, " + ", ".join(r6s(x, f"g{i}") for i, x in enumerate(x.replace("(d =", "(p13.d =") for x in G13)) + f", {r6s('ln(1 + coalesce(delta, 0))', 'y')} FROM p13 {PIVOT_Y}", P13_CTES, [BC6, _sampled(6)]),
+)
 def _(s, d):
-    e = trade_graph(s, d)
+    e = written(session_graph(s, d), "edges")
     out = datasets.pivot_dataset(e, exact(e))
     return out.select("target", "node", *[r6(c) for c in out.columns if c not in ("target", "node")])
 
 
-@register("ds_share")
+def _share_ctes() -> list[tuple[str, str]]:
+    from ..functions.draws import key_sql, uniform_sql
+
+    u = uniform_sql(key_sql("target", "node", seed=0))
+    return [
+        P6_CTE,
+        ("drawn", f"SELECT * FROM p6 QUALIFY row_number() OVER (PARTITION BY target ORDER BY {u}, node) <= 120"),
+        ("shares", "SELECT p.*, coalesce(da.delta, 0) AS own, sum(coalesce(da.delta, 0)) OVER (PARTITION BY target) AS total FROM drawn p LEFT JOIN da ON da.source = p.node AND da.node = p.target"),
+    ]
+
+
+@register("ds_share", query("session", ["chat", "da"], P6.replace(" FROM p6", f", {r6s('own / total', 'y')} FROM shares WHERE total > 0"), _share_ctes(), [BC6, _sampled(25)]))
 def _(s, d):
-    e = trade_graph(s, d)
+    e = written(session_graph(s, d), "edges")
     out = datasets.share_dataset(e, exact(e))
     return out.select("target", "node", *[r6(c) for c in out.columns if c not in ("target", "node")])
 

@@ -166,14 +166,17 @@ NEEDS = {
 }
 
 
-def query(graph: str, needs: list[str], final: str, more: list[tuple[str, str]] | None = None) -> str:
-    """``final`` over the named sets of CTEs of a graph and all that these need, then ``more``."""
+def query(graph: str, needs: list[str], final: str, more: list[tuple[str, str]] | None = None, targets: list[tuple[str, str]] | None = None) -> str:
+    """``final`` over the named sets of CTEs of a graph and all that these need, then ``more``; ``targets``, made from bc, in place of the top nodes."""
     sets, done, ctes = parts(graph), set(), []
+    wanted = NEEDS
+    if targets is not None:
+        sets["tg"], wanted = targets, NEEDS | {"tg": ["bc"]}
 
     def add(name: str) -> None:
         if name not in done:
             done.add(name)
-            for n in NEEDS[name]:
+            for n in wanted[name]:
                 add(n)
             ctes.extend(sets[name])
 
