@@ -22,6 +22,7 @@ toxic, other values than 0 and 1 are ignored; repeated rows are scored alike; ot
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 from collections.abc import Iterator
@@ -213,7 +214,7 @@ def toxic_marks(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """Sorted features whose tokens count as toxic: 20 times as frequent among toxic documents as among clean ones."""
     seen, dfs = [], []
     for label in (0, 1):
-        docs = {own.tobytes(): own for t, own in rows if t == label and own.shape[1]}.values()  # copies count once
+        docs = {hashlib.blake2b(own).digest(): own for t, own in rows if t == label and own.shape[1]}.values()  # copies count once
         seen.append(len(docs))
         parts = [np.unique(own) for own in docs]
         dfs.append(np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, U), np.zeros(0, int)))
@@ -246,7 +247,8 @@ def fit(
 
 
 def trained(rows: list[tuple[int, np.ndarray]], totals: dict[int, int], epochs: int, trained_clean: int) -> Model:
-    rows.sort(key=lambda r: (r[0], r[1].shape[1], r[1].tobytes()))
+    """Of the sample's rows (toxic, features), which are given up on the way: their memory is needed."""
+    rows.sort(key=lambda r: (r[0], r[1].shape[1], hashlib.blake2b(r[1]).digest()))
     model = Model()
     n = {c: sum(t == c for t, _ in rows) for c in (0, 1)}
     if not n[0] or not n[1]:
@@ -255,15 +257,20 @@ def trained(rows: list[tuple[int, np.ndarray]], totals: dict[int, int], epochs:
         return model
     marks = toxic_marks(rows)
     clean = [r for r in rows if r[0] == 0]
-    rows = clean[:: -(-len(clean) // trained_clean)] + [r for r in rows if r[0] == 1]
-    n[0] = len(rows) - n[1]
-    first = np.concatenate([[0], np.cumsum([own.shape[1] for _, own in rows])]).astype(np.int64)
-    doc_label = np.array([t for t, _ in rows])
-    token_doc = np.repeat(np.arange(len(rows)), np.diff(first))
-    own = np.concatenate([own for _, own in rows], 1)
-    rows.clear()
+    chosen = clean[:: -(-len(clean) // trained_clean)] + [r for r in rows if r[0] == 1]
+    n[0] = len(chosen) - n[1]
+    first = np.concatenate([[0], np.cumsum([own.shape[1] for _, own in chosen])]).astype(np.int64)
+    doc_label = np.array([t for t, _ in chosen])
+    token_doc = np.repeat(np.arange(len(chosen)), np.diff(first))
+    own = np.concatenate([own for _, own in chosen], 1)
+    for held in (rows, clean, chosen):
+        held.clear()
     features = all_features(own, first)
-    y = np.isin(features[:OWN], marks).any(0) & (doc_label[token_doc] == 1)
+    del own
+    y = np.zeros(features.shape[1], bool)
+    for f in features[:OWN]:
+        y |= np.isin(f, marks)
+    y &= doc_label[token_doc] == 1
     # features that occur three times; the rest weigh nothing
     # family by family, which keeps the working arrays small
     keys, counts, which = [], [], np.empty(features.shape, np.int32)
@@ -272,6 +279,7 @@ def trained(rows: list[tuple[int, np.ndarray]], totals: dict[int, int], epochs:
         which[f] = inverse + sum(map(len, keys))
         keys.append(k)
         counts.append(n_f)
+    del features
     key, count = np.concatenate(keys), np.concatenate(counts)
     usable = (count >= 3) & (key != 0)
     w, at = np.zeros(len(key)), np.nonzero(usable)[0]
@@ -317,7 +325,11 @@ def trained(rows: list[tuple[int, np.ndarray]], totals: dict[int, int], epochs:
     keep = np.flatnonzero(np.abs(w) > 0.2)
     keep = keep[np.argsort(key[keep])]
     model.keys, model.weights, model.bias, model.step, model.start = key[keep], w[keep], bias, step, start
-    x = model.evidence(model.marginals(model.emissions(features), first), first)
+    kept = np.where(np.abs(w) > 0.2, w, 0.0)
+    emission = np.full(len(y), bias)
+    for f in which:
+        emission += kept[f]
+    x = model.evidence(model.marginals(emission, first), first)
     weight = np.where(doc_label == 1, totals[1] / n[1], totals[0] / n[0])
     model.curve = calibrated(x, doc_label, weight / weight.mean())
     return model
