@@ -95,7 +95,10 @@ def compose(size: int, first: np.ndarray, psi: np.ndarray, step: np.ndarray, sta
         x = np.concatenate([x[::-1] if back else x, np.full(pad, fill)])
         return np.ascontiguousarray(x.reshape(lanes, STEPS).T)
 
-    a, b, c, d = laid(a, 1), laid(b, 0), laid(c, 0), laid(d, 1)
+    a = laid(a, 1)
+    b = laid(b, 0)
+    c = laid(c, 0)
+    d = laid(d, 1)
     p, q, r, s = np.ones(lanes), np.zeros(lanes), np.zeros(lanes), np.ones(lanes)
     for k in range(STEPS):
         p, q, r, s = a[k] * p + b[k] * r, a[k] * q + b[k] * s, c[k] * p + d[k] * r, c[k] * q + d[k] * s
@@ -212,13 +215,18 @@ def analysed(low: pa.Array) -> tuple[Words, np.ndarray]:
 
 def toxic_marks(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """Sorted features whose tokens count as toxic: 20 times as frequent among toxic documents as among clean ones."""
-    seen, dfs = [], []
-    for label in (0, 1):
-        docs = {hashlib.blake2b(own).digest(): own for t, own in rows if t == label and own.shape[1]}.values()  # copies count once
-        seen.append(len(docs))
-        parts = [np.unique(own) for own in docs]
+    docs = [list({hashlib.blake2b(own).digest(): own for t, own in rows if t == label and own.shape[1]}.values()) for label in (0, 1)]  # copies count once
+    # a family at a time, which keeps the working arrays small
+    return np.sort(np.concatenate([_family_marks([[own[f] for own in x] for x in docs]) for f in range(OWN)]))
+
+
+def _family_marks(docs: list[list[np.ndarray]]) -> np.ndarray:
+    dfs = []
+    for features in docs:
+        parts = [np.unique(x) for x in features]
         dfs.append(np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, U), np.zeros(0, int)))
     (clean, n_clean), (toxic, n_toxic) = dfs
+    seen = [len(x) for x in docs]
     at = np.minimum(np.searchsorted(clean, toxic), max(0, len(clean) - 1))
     in_clean = np.where(clean[at] == toxic, n_clean[at], 0) if len(clean) else np.zeros(len(toxic), int)
     rate, base = n_toxic / max(1, seen[1]), in_clean / max(1, seen[0])
@@ -304,9 +312,10 @@ def trained(rows: list[tuple[int, np.ndarray]], totals: dict[int, int], epochs:
         off = y - p
         # pair marginals: alpha(i) step(i, j) psi(j) beta(j), normalised
         q = psi[nxt] * bwd[nxt]
-        pair = np.stack([np.full(len(prev), a[0, 0]), a[0, 1] * q, fwd[prev] * a[1, 0], fwd[prev] * a[1, 1] * q])
-        pair /= pair.sum(0)
-        g_step = seen_step - pair.sum(1).reshape(2, 2) - 0.1 * step
+        before = fwd[prev]
+        share = 1 / (a[0, 0] + a[0, 1] * q + before * (a[1, 0] + a[1, 1] * q))
+        pair = np.array([[a[0, 0] * share.sum(), a[0, 1] * (q @ share)], [a[1, 0] * (before @ share), a[1, 1] * ((before * q) @ share)]])
+        g_step = seen_step - pair - 0.1 * step
         g = np.zeros(len(key))
         for f in which:
             g += np.bincount(f, weights=off, minlength=len(key))
