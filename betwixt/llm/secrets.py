@@ -114,12 +114,17 @@ def marked_spans(text: Column, pattern: str, kind: int, least_group: int = 0) ->
     return in_parts(text, pattern, emit)
 
 
+def constant(values: list, kind: str) -> Column:
+    """An array of constants as one folded expression: an expression for each would weigh on every copy of the plan."""
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast(f"array<{kind}>")
+
+
 def token_classes(token: Column) -> Column:
     """The alphabet index of each character (others count as '-')."""
     table = [START - 1] * 128
     for i, c in enumerate(ALPHABET):
         table[ord(c)] = i
-    codes = F.array(*[F.lit(x) for x in table])
+    codes = constant(table, "int")
     chars = F.filter(F.split(token, ""), lambda c: c != "")
     return F.transform(chars, lambda c: F.get(codes, F.least(F.ascii(c), F.lit(127))))
 
@@ -141,7 +146,7 @@ def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
         .when(i % 4 == 1, F.upper(F.regexp_replace(F.substring(base64, 1, 60), "[^A-Za-z0-9]", "")))
         .otherwise(base64)
     )
-    words = F.array(*[F.lit(w) for w in WORDS])
+    words = constant(WORDS, "string")
     w = [F.get(words, draw(k, len(WORDS))) for k in range(1, 5)]
     ordinary = (
         F.when(i % 10 == 0, F.concat_ws("_", *w))
@@ -191,7 +196,7 @@ def train_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 
 def ratio(token: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of a token, random against ordinary."""
-    table = F.array(*[F.lit(x) for x in model])
+    table = constant(model, "double")
     zero = F.struct(F.lit(START).alias("last"), F.lit(0.0).alias("sum"))
     return F.aggregate(
         token_classes(token),
@@ -215,7 +220,7 @@ def segments(token: Column, model: list[float], least: float) -> Column:
     The running sum starts anew at 0, and where it has fallen by ``least`` from a peak that counts, so that neither
     ordinary text before a secret nor text between two of them hides one.
     """
-    table = F.array(*[F.lit(x) for x in model])
+    table = constant(model, "double")
     none = F.array().cast("array<struct<start:int,end:int,best:double>>")
     zero = F.struct(
         F.lit(START).alias("last"), F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).alias("since"),
@@ -278,7 +283,7 @@ def markov_spans(text: Column, base: Spans, model: list[float], least: float = L
 
 def digest_text(spans: Spans) -> Column:
     """kind:start:end, comma-joined, in the array's order."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = constant(list(KINDS), "string")
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ","
     )
