@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.sql.types import StructType
 from ..functions.lineage import written
 
 FILTER_BITS = 26  # 8 MB, whatever it holds
+PART_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
+def packed(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df`` in no more partitions than about ``rows`` rows of ``row_bytes`` bytes are worth, but one for each core.
+
+    Where a session deals everything to hundreds of partitions, a small table would be as many files, and on a local file
+    system each file costs the JVM two processes that set its permissions.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows * row_bytes / PART_BYTES)))
+
+
 def named(column: str) -> Column:
     """The column of exactly this name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")
@@ -40,7 +52,20 @@ def fresh(taken: list[str], *stems: str) -> list[str]:
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """``mapInArrow`` of columns of any name: the function sees them numbered, in their order."""
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+    def returning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(returning, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks and would hold it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
 
 
 def key_filter(keys: DataFrame, hashed: Column) -> np.ndarray:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, packed
+
+EDGE_BYTES = 16
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -33,11 +35,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     driver, only counts and checksums do.
     """
     now = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = materialize(now, "edges"), None
+    now, before = materialize(packed(now, edges.count(), EDGE_BYTES), "edges"), None
     for _ in range(most_rounds):
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state[0] == 0 or state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
-        now = materialize(_small_star(_large_star(now)), "stars")
+        now = materialize(packed(_small_star(_large_star(now)), state[0], EDGE_BYTES), "stars")
     raise RuntimeError("components did not settle")

@@ -41,7 +41,7 @@ from .textnum import BASE, U, mix, powers, raw_bytes, slices, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64  # bytes
-CHUNK = 1 << 20  # a chunk costs about 300 bytes of working memory a byte of text
+CHUNK = 1 << 19  # a chunk costs about 200 bytes of working memory a byte of text
 SPACE, NEWLINE = 0x20, 0x0A
 SPREAD = U(0x9E3779B97F4A7C15)
 BITS = 18
@@ -162,10 +162,11 @@ def edges_of(buf: np.ndarray, seg_end: np.ndarray, v: Vocabulary) -> tuple[np.nd
     run = np.zeros(n + 1, U)
     np.cumsum((buf.astype(U) + U(1)) * up[:n], out=run[1:])
     starts, ends, pieces = [], [], []
+    narrow = np.int32 if n < 1 << 29 else np.int64  # edges are the bulk of the working memory
     whole_char = np.zeros(n, bool)
     char_end = char_ends(buf)
     # places whose text so far begins some longer piece, as long as the segment goes on
-    end, base, scale, places = seg_end, run[:-1], down[:n], np.arange(n)
+    end, base, scale, places = seg_end.astype(narrow), run[:-1], down[:n], np.arange(n, dtype=narrow)
     for length, (keys, which, seen) in v.tables.items():
         h = (run[places + length] - base) * scale
         found = seen[slot(h)]
@@ -182,7 +183,7 @@ def edges_of(buf: np.ndarray, seg_end: np.ndarray, v: Vocabulary) -> tuple[np.nd
         at, pos = at[good], pos[good]
         starts.append(at)
         ends.append(at + length)
-        pieces.append(which[pos])
+        pieces.append(which[pos].astype(narrow))
         whole_char[at[char_end[at] == at + length]] = True
     is_start = np.zeros(n, bool)
     cut = (buf & 0xC0) != 0x80
@@ -195,9 +196,9 @@ def edges_of(buf: np.ndarray, seg_end: np.ndarray, v: Vocabulary) -> tuple[np.nd
         inside[m + k] = 1
     is_start |= inside[:n] == 0
     own = np.flatnonzero(is_start & ~whole_char)
-    starts.append(own)
-    ends.append(np.minimum(char_end[own], seg_end[own]))
-    pieces.append(np.full(len(own), -1))
+    starts.append(own.astype(narrow))
+    ends.append(np.minimum(char_end[own], seg_end[own]).astype(narrow))
+    pieces.append(np.full(len(own), -1, narrow))
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
 
 
@@ -226,11 +227,13 @@ class Encoder:
         """
         size = np.diff(first)
         start, end, piece = edges
-        s = (np.searchsorted(first, start, "right") - 1).astype(np.int64)
-        order = np.argsort((end + s) * (self.v.longest + 5) + (end - start), kind="stable")
+        s = (np.searchsorted(first, start, "right") - 1).astype(start.dtype)
+        order = np.argsort((end.astype(np.int64) + s) * (self.v.longest + 5) + (end - start), kind="stable")
         start, end, piece, s = start[order], end[order], piece[order], s[order]
+        del order, edges
         node_from, node_to, length = start + s, end + s, end - start
         rel = (end - first[s]).astype(np.int32)
+        del end, s
         w = np.where(piece >= 0, self.weight[piece], self.weight[-1] ** length)
         total = np.zeros(len(buf) + len(size))
         total[first[:-1] + np.arange(len(size))] = 1

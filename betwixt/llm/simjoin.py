@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import bounded_batches, fresh, key_filter, map_batches, materialize, named, passes
+from .common import bounded_batches, fresh, key_filter, map_batches, materialize, named, packed, passes
 from .graphs import components
 from .textnum import U, lowered, mix, shingles, slices, words
 
@@ -331,8 +331,8 @@ def sketch_table(docs: DataFrame) -> DataFrame:
                     ["doc_id", "key", "shingles", "sk32", "sk8"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, key long, shingles int, sk32 binary, sk8 binary"
+    return map_batches(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, key long, shingles int, sk32 binary, sk8 binary"
     )
 
 
@@ -350,11 +350,11 @@ def set_table(docs: DataFrame, shipped: Broadcast) -> DataFrame:
 
     ids = F.col("doc_id").cast("long")
     rows = docs.filter(F.col("text").isNotNull()).select(ids.alias("doc_id"), "text", F.xxhash64(ids).alias("h"))
-    return rows.mapInArrow(run, "doc_id long, key long, set binary")
+    return map_batches(rows, run, "doc_id long, key long, set binary")
 
 
 def candidate_edges(reps: DataFrame, similarity: float, recall: float, depth: int, block: int) -> DataFrame:
-    """Spanning forests (a, b) of all nodes of all runs, over reps (key, sk32, sk8)."""
+    """Spanning forests (a, b) of all nodes of all runs, over reps (key, sk32, sk8); an edge may repeat."""
     starts = min(T, max(runs_for(recall, depth), roots_for(recall, depth, similarity)))
     spread = 4 * math.sqrt(similarity * (1 - similarity) / T)
     least_equal = math.ceil(T * ((similarity - spread) * 255 / 256 + 1 / 256))
@@ -382,13 +382,15 @@ def candidate_edges(reps: DataFrame, similarity: float, recall: float, depth: in
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
         # a node may hold any share of the rows: they are spread over salts, and the sizes repeated
         sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        shared = materialize(rows.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(sizes, ["node", "salt"]).drop("salt"), "nodes")
+        shared = rows.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(sizes, ["node", "salt"]).drop("salt")
+        many = rows.count()
+        shared = materialize(packed(shared, many, 24), "nodes")
         last = level == depth
         small = shared if last else shared.filter(F.col("n") <= block)
         # joined on the set's key, which is unique in reps: no hot key
         with_sketch = small.join(reps.select("key", "sk8"), "key")
         edges = in_block_pairs(with_sketch, "node", "key", F.lit(max(block, SKETCH_BLOCK)), ["sk8"]).mapInArrow(_forest(least_equal), "a long, b long")
-        edges = materialize(edges.distinct(), "forest")
+        edges = materialize(packed(edges.distinct(), many, 16), "forest")
         found = edges if found is None else found.unionByName(edges)
         if last:
             break
@@ -397,7 +399,7 @@ def candidate_edges(reps: DataFrame, similarity: float, recall: float, depth: in
             break
         # a node's members stay together in few batches, so that its samples are drawn once
         rows = materialize(large.join(reps.select("key", "sk32"), "key").select("node", "key", "sk32").mapInArrow(next_level, schema), "paths")
-    return found.distinct()
+    return found
 
 
 def classes_of(docs: DataFrame, similarity: float, recall: float, depth: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -406,14 +408,15 @@ def classes_of(docs: DataFrame, similarity: float, recall: float, depth: int, bl
     reps = sketches.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("sk32", "sk8")).alias("sk"), F.min("shingles").alias("shingles")
     )
-    reps = materialize(reps.select("key", "first", "copies", "shingles", "sk.sk32", "sk.sk8"), "sets")
+    many = sketches.count()
+    reps = materialize(packed(reps.select("key", "first", "copies", "shingles", "sk.sk32", "sk.sk8"), many, 5 * T), "sets")
     groups = components(candidate_edges(reps, similarity, recall, depth, block))
     members = groups.select(F.col("node").alias("key"), F.col("root").alias("grp")).unionByName(
         groups.select(F.col("root").alias("key"), F.col("root").alias("grp")).distinct()
     )
     members = members.join(reps.select("key", "first", "copies", "shingles"), "key")
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("shingles").alias("mean"))
-    wanted = materialize(members.drop("shingles").join(sizes, "grp").withColumnRenamed("key", "want"), "members")
+    wanted = materialize(packed(members.drop("shingles").join(sizes, "grp").withColumnRenamed("key", "want"), many, 48), "members")
     shipped = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, F.xxhash64("first")))
     sets = set_table(docs, shipped).join(wanted.hint("merge"), (F.col("key") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first")))
     per_block = F.least(F.lit(SET_BLOCK[1]), F.greatest(F.lit(min(block, SET_BLOCK[0])), F.floor(F.lit(SET_BYTES) / (8 * F.col("mean"))))) if block == BLOCK else F.lit(block)
@@ -466,7 +469,8 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999,
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("key").eqNullSafe(F.col("class_key"))
     rows = with_classes(sketches, special, salts).filter(F.col("copies").isNotNull() & F.col("doc_id").isNotNull())
     verdicts = rows.select("doc_id", "key", stays.alias("stays")).groupBy("doc_id", "key").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
-    verdicts = materialize(verdicts.filter(~F.col("stays") | (F.col("n") > 1)).select("doc_id", "key", "stays"), "verdicts")
+    verdicts = verdicts.filter(~F.col("stays") | (F.col("n") > 1)).select("doc_id", "key", "stays")
+    verdicts = materialize(packed(verdicts, sketches.count(), 24), "verdicts")
     shipped = docs.sparkSession.sparkContext.broadcast(key_filter(verdicts, F.xxhash64("doc_id")))
     columns = docs.columns
     at, (hashed, key, verdict_id, verdict_key, verdict, turn) = columns.index("text"), fresh(columns, "h", "key", "vid", "vkey", "stays", "turn")

@@ -250,7 +250,7 @@ def fit(
         rows = [(t.as_py(), np.frombuffer(own.as_buffer(), U).reshape(OWN, -1)) for b in batches for t, own in zip(*b.columns, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(rows, totals, epochs, trained_clean))], pa.binary())], ["model"])
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    found = map_batches(sample.repartition(1), run, "model binary").collect()
     return pickle.loads(bytes(found[0][0])) if found else trained([], totals, epochs, trained_clean)
 
 

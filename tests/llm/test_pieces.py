@@ -141,3 +141,18 @@ def test_query(spark):
     for r in out:
         if len(texts[r.doc_id]) < 4000:
             assert list(r.ids) == plain(texts[r.doc_id], r.doc_id, 0.5), r.doc_id
+
+
+def test_memory_of_a_chunk():
+    """Two workers of an executor hold a chunk each: its working arrays stay below 60 MB."""
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"etaoinshrdlucmfwypvbgk", np.uint8)
+    words = [bytes(rng.choice(letters, n)).decode() for n in rng.integers(2, 10, 30_000)]
+    texts = pa.array([" ".join(words[i] for i in rng.integers(0, len(words), 500)) for _ in range(500)])
+    ENCODER.encode(texts.slice(0, 1), np.zeros(1, np.uint64))  # tables that all chunks share
+    tracemalloc.start()
+    for lo, hi in pieces.slices(texts, pieces.CHUNK):
+        ENCODER.encode(texts.slice(lo, hi - lo), np.arange(lo, hi).astype(np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20, peak >> 20
