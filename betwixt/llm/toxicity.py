@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, crc_of_id, map_batches, named
+from .common import bounded_batches, crc_of_id, give_back, map_batches, named
 from .textnum import U, Words, mix, raw_bytes, lowered, slices, span_hashes, words
 
 SAMPLE = {0: 4800, 1: 800}
@@ -264,6 +264,7 @@ def trained(rows: list[tuple[int, np.ndarray]], totals: dict[int, int], epochs:
         model.curve = (math.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0)
         return model
     marks = toxic_marks(rows)
+    give_back()
     clean = [r for r in rows if r[0] == 0]
     chosen = clean[:: -(-len(clean) // trained_clean)] + [r for r in rows if r[0] == 1]
     n[0] = len(chosen) - n[1]
@@ -273,32 +274,35 @@ def trained(rows: list[tuple[int, np.ndarray]], totals: dict[int, int], epochs:
     own = np.concatenate([own for _, own in chosen], 1)
     for held in (rows, clean, chosen):
         held.clear()
+    give_back()
     features = all_features(own, first)
     del own
     y = np.zeros(features.shape[1], bool)
     for f in features[:OWN]:
         y |= np.isin(f, marks)
     y &= doc_label[token_doc] == 1
-    # features that occur three times; the rest weigh nothing
+    # features that occur three times; the rest weigh nothing and are all number 0
     # family by family, which keeps the working arrays small
-    keys, counts, which = [], [], np.empty(features.shape, np.int32)
+    keys, which = [np.zeros(1, U)], np.empty(features.shape, np.int32)
     for f in range(FAMILIES):
         k, inverse, n_f = np.unique(features[f], return_inverse=True, return_counts=True)
-        which[f] = inverse + sum(map(len, keys))
-        keys.append(k)
-        counts.append(n_f)
-    del features
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    usable = (count >= 3) & (key != 0)
-    w, at = np.zeros(len(key)), np.nonzero(usable)[0]
+        usable = (n_f >= 3) & (k != 0)
+        number = np.where(usable, np.cumsum(usable) + sum(map(len, keys)) - 1, 0).astype(np.int32)
+        which[f] = number[inverse]
+        keys.append(k[usable])
+    del features, k, inverse, n_f, usable, number
+    key = np.concatenate(keys)
+    del keys
+    give_back()
+    w = np.zeros(len(key))
     bias, step, start = -6.0, np.zeros((2, 2)), 0.0
     grad2 = np.full(len(key), 1e-3)
     small = {"bias": 1e-3, "start": 1e-3, "step": np.full((2, 2), 1e-3)}
     begins = first[:-1][first[:-1] < first[1:]]
     inner = np.ones(len(y), bool)
     inner[begins] = False
-    prev = np.flatnonzero(inner) - 1
-    nxt = prev + 1
+    nxt = np.flatnonzero(inner).astype(np.int32)  # at most SAMPLE_BYTES
+    prev = nxt - 1
     seen_step = np.array([[(~y[prev] & ~y[nxt]).sum(), (~y[prev] & y[nxt]).sum()], [(y[prev] & ~y[nxt]).sum(), (y[prev] & y[nxt]).sum()]])
     for _ in range(epochs):
         emission = np.full(len(y), bias)
@@ -308,20 +312,24 @@ def trained(rows: list[tuple[int, np.ndarray]], totals: dict[int, int], epochs:
         psi, a = np.exp(emission), np.exp(step)
         fwd = compose(len(y), first, psi, a, math.exp(start), False)
         bwd = compose(len(y), first, psi, a, math.exp(start), True)
-        p = fwd * bwd / (1 + fwd * bwd)
-        off = y - p
+        off = fwd * bwd
+        off /= 1 + off
+        np.subtract(y, off, out=off)
         # pair marginals: alpha(i) step(i, j) psi(j) beta(j), normalised
-        q = psi[nxt] * bwd[nxt]
-        before = fwd[prev]
+        psi *= bwd
+        q, before = psi[nxt], fwd[prev]
+        del emission, psi, fwd, bwd
         share = 1 / (a[0, 0] + a[0, 1] * q + before * (a[1, 0] + a[1, 1] * q))
         pair = np.array([[a[0, 0] * share.sum(), a[0, 1] * (q @ share)], [a[1, 0] * (before @ share), a[1, 1] * ((before * q) @ share)]])
+        del q, before, share
         g_step = seen_step - pair - 0.1 * step
         g = np.zeros(len(key))
         for f in which:
             g += np.bincount(f, weights=off, minlength=len(key))
-        g = np.where(usable, g - 0.02 * w, 0)
-        grad2[at] += g[at] ** 2
-        w[at] += 0.8 * g[at] / np.sqrt(grad2[at])
+        g -= 0.02 * w
+        g[0] = 0
+        grad2 += g**2
+        w += 0.8 * g / np.sqrt(grad2)
         for name, gradient in (("bias", off.sum()), ("start", off[begins].sum() - 0.1 * start), ("step", g_step)):
             small[name] = small[name] + gradient**2
             move = 0.3 * gradient / np.sqrt(small[name])

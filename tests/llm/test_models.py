@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -203,3 +204,16 @@ def test_a_giant_toxic_document_leaves_the_rest_in_the_sample(spark):
     model = toxicity.fit(documents(spark, good + bad), labels, most_bytes=most_bytes)
     out = toxicity.score_documents(documents(spark, good + bad).selectExpr("doc_id", "text", "1 AS `a.b`"), model, ["doc_id", "a.b"]).collect()
     assert all(r.predicted == int(r.doc_id >= 100) for r in out)
+
+
+def test_memory_of_training():
+    """One task trains while its executor's JVM and another worker hold their memory."""
+    rng = np.random.default_rng(3)
+    vocabulary = rng.integers(1, 1 << 63, (toxicity.OWN, 400_000)).astype(np.uint64)
+    rows = [(int(i < 300), np.ascontiguousarray(vocabulary[:, rng.integers(0, 400_000, 500)])) for i in range(1200)]
+    tokens = sum(own.shape[1] for _, own in rows)
+    tracemalloc.start()
+    toxicity.trained(rows, {0: 900, 1: 300}, 2, 900)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 180 * tokens, peak / tokens
