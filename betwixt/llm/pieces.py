@@ -41,7 +41,8 @@ from .textnum import BASE, U, mix, powers, raw_bytes, slices, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64  # bytes
-CHUNK = 1 << 19  # a chunk costs about 200 bytes of working memory a byte of text
+CHUNK = 1 << 16  # of text in a chunk, which costs some 500 bytes of working memory a byte
+BATCH = "1m"  # of an Arrow batch: workers hold one beside a chunk
 SPACE, NEWLINE = 0x20, 0x0A
 SPREAD = U(0x9E3779B97F4A7C15)
 BITS = 18
@@ -59,7 +60,12 @@ class Vocabulary:
     size: int
     tables: dict = field(default_factory=dict)
 
+    def __getstate__(self) -> dict:
+        """What tasks need: the tables, not the pieces they were made of."""
+        return self.__dict__ | {"pieces": [], "lookup": {}}
+
     def ready(self) -> Vocabulary:
+        """With its tables, which are built on the driver, once."""
         if self.tables:
             return self
         by_length: dict[int, list[int]] = {}
@@ -119,7 +125,7 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
             ranks.append(max(0.0, -sp.get_score(i)) if sp.get_score(i) > -1e6 else 0.0)
     weight = 1 / (np.array(ranks) + 2)
     logs = np.log(weight / weight.sum())
-    return Vocabulary(pieces, np.array(ids), logs, byte_ids, float(logs.min()), n)
+    return Vocabulary(pieces, np.array(ids), logs, byte_ids, float(logs.min()), n).ready()
 
 
 def uniform(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -386,7 +392,7 @@ def decode_texts(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> list[st
 def sample_encode(docs: DataFrame, keep: list[str], key: str = "doc_id", alpha: float = 0.5, model: str = MODEL) -> DataFrame:
     """``keep`` columns with n_bytes, n_pieces, ids, and lossless: the decoded ids are the text's bytes."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH)
     shipped = spark.sparkContext.broadcast(load_vocabulary(model))
     source = docs.select(*[named(c) for c in keep], named(key).cast("long"), "text")
     schema = StructType(source.schema.fields[: len(keep)]).add("n_bytes", "long").add("n_pieces", "long").add("ids", ArrayType(IntegerType())).add("lossless", "boolean")
@@ -418,7 +424,7 @@ def sample_encode(docs: DataFrame, keep: list[str], key: str = "doc_id", alpha:
 def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", model: str = MODEL) -> DataFrame:
     """``keep`` columns with the text of each row's ids (null for null)."""
     spark = encoded.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH)
     shipped = spark.sparkContext.broadcast(load_vocabulary(model))
     source = encoded.select(*[named(c) for c in keep], named(ids))
     schema = StructType(source.schema.fields[: len(keep)]).add("text", "string")

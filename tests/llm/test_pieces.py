@@ -144,7 +144,7 @@ def test_query(spark):
 
 
 def test_memory_of_a_chunk():
-    """Two workers of an executor hold a chunk each: its working arrays stay below 60 MB."""
+    """Two workers of an executor hold a chunk each: its working arrays stay below 30 MB."""
     rng = np.random.default_rng(5)
     letters = np.frombuffer(b"etaoinshrdlucmfwypvbgk", np.uint8)
     words = [bytes(rng.choice(letters, n)).decode() for n in rng.integers(2, 10, 30_000)]
@@ -155,4 +155,4 @@ def test_memory_of_a_chunk():
         ENCODER.encode(texts.slice(lo, hi - lo), np.arange(lo, hi).astype(np.uint64))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 60 << 20, peak >> 20
+    assert peak < 30 << 20, peak >> 20
