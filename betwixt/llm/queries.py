@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, divergence, langid, lmscore, media, pieces, secrets, shard, simjoin, toxicity, warc
+from . import decontam, divergence, langid, lmscore, media, phrases, pieces, secrets, shard, simjoin, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(table(spark, sf_dir, "documents"))
 
 
+def op11_contiguous_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_baseline_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op8_crf_toxicity": op8_crf_toxicity,
         "op9_markov_secrets": op9_markov_secrets,
         "op10_zstd_warc": op10_zstd_warc,
+        "op11_contiguous_phrases": op11_contiguous_phrases,
         "op13_baseline_divergence": op13_baseline_divergence,
     }
 
@@ -76,5 +81,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_jump_hash": shard.oracle(16),
         "op10_zstd_warc": warc.ORACLE,
+        "op11_contiguous_phrases": phrases.ORACLE,
         "op13_baseline_divergence": divergence.ORACLE,
     }
