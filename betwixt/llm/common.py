@@ -27,13 +27,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
-def packed(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+def packed(df: DataFrame, rows: int, row_bytes: int, costly: bool = False) -> DataFrame:
     """``df`` in no more partitions than about ``rows`` rows of ``row_bytes`` bytes are worth, but one for each core.
 
     Where a session deals everything to hundreds of partitions, a small table would be as many files, and on a local file
-    system each file costs the JVM two processes that set its permissions.
+    system each file costs the JVM two processes that set its permissions. What is ``costly`` to compute keeps its tasks;
+    its rows are dealt anew.
     """
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows * row_bytes / PART_BYTES)))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows * row_bytes / PART_BYTES))
+    return df.repartition(parts) if costly else df.coalesce(parts)
 
 
 def named(column: str) -> Column:

@@ -398,7 +398,8 @@ def candidate_edges(reps: DataFrame, similarity: float, recall: float, depth: in
         if large.isEmpty():
             break
         # a node's members stay together in few batches, so that its samples are drawn once
-        rows = materialize(large.join(reps.select("key", "sk32"), "key").select("node", "key", "sk32").mapInArrow(next_level, schema), "paths")
+        rows = large.join(reps.select("key", "sk32"), "key").select("node", "key", "sk32").mapInArrow(next_level, schema)
+        rows = materialize(packed(rows, many, 24), "paths")
     return found
 
 
@@ -420,9 +421,8 @@ def classes_of(docs: DataFrame, similarity: float, recall: float, depth: int, bl
     shipped = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, F.xxhash64("first")))
     sets = set_table(docs, shipped).join(wanted.hint("merge"), (F.col("key") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first")))
     per_block = F.least(F.lit(SET_BLOCK[1]), F.greatest(F.lit(min(block, SET_BLOCK[0])), F.floor(F.lit(SET_BYTES) / (8 * F.col("mean"))))) if block == BLOCK else F.lit(block)
-    verified = materialize(
-        in_block_pairs(sets, "grp", "key", per_block, ["copies", "set"]).mapInArrow(_verified(similarity), "key long, links long, root long"), "links"
-    )
+    verified = in_block_pairs(sets, "grp", "key", per_block, ["copies", "set"]).mapInArrow(_verified(similarity), "key long, links long, root long")
+    verified = materialize(packed(verified, many, 24, costly=True), "links")
     classes = components(verified.select(F.col("key").alias("a"), F.col("root").alias("b")))
     # all other documents are classes of their own
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
