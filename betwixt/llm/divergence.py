@@ -39,7 +39,7 @@ LEAST_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
 PART = 1 << 20  # bytes of a text that are split into terms at a time
-ENTRIES = 1 << 18  # counts that a task holds
+ENTRIES = 1 << 19  # terms of groups that a task holds, some 250 bytes each
 MOST_BROADCAST = 100_000  # groups
 SALTS = 32
 TERMS = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
@@ -73,11 +73,10 @@ def long_counts(text: bytes) -> Iterator[Counter]:
 
 
 class Tables:
-    """Occurrences by group and documents by language, given up as rows when they are large."""
+    """Occurrences and documents of the terms of each group, given up as rows when they are large."""
 
     def __init__(self) -> None:
-        self.n: dict[tuple[str, str], Counter] = {}
-        self.docs: dict[str, Counter] = {}
+        self.held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         self.size = 0
 
     def add(self, lang: str, source: str, text: bytes) -> Iterator[pa.RecordBatch]:
@@ -86,31 +85,23 @@ class Tables:
         else:
             found = ((seen, seen.keys()) for seen in long_counts(text))
         for terms, distinct in found:
-            n, docs = self.n.setdefault((lang, source), Counter()), self.docs.setdefault(lang, Counter())
-            before = len(n) + len(docs)
+            n, docs = self.held.setdefault((lang, source), (Counter(), Counter()))
+            before = len(n)
             n.update(terms)
             docs.update(distinct)
-            self.size += len(n) + len(docs) - before
+            self.size += len(n) - before
             if self.size > ENTRIES:
                 yield from self.rows()
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in self.n.items():
-            yield from self._rows(lang, source, counts, True)
-        for lang, counts in self.docs.items():
-            yield from self._rows(lang, None, counts, False)
-        self.n.clear()
-        self.docs.clear()
+        for group, (n, docs) in self.held.items():
+            columns = [*(pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in group), pa.array(list(n), pa.binary())]
+            counts = [pa.array(list(x), pa.int64()) for x in (n.values(), map(docs.__getitem__, n))]
+            whole = pa.RecordBatch.from_arrays([*columns, *counts], ["lang", "source", "term", "n", "docs"])
+            yield from (whole.slice(at, 1 << 15) for at in range(0, len(n), 1 << 15))
+        self.held.clear()
         self.size = 0
 
-    def _rows(self, lang: str, source: str | None, counts: Counter, occurrences: bool) -> Iterator[pa.RecordBatch]:
-        size, none = len(counts), pa.repeat(pa.scalar(0, pa.int64()), len(counts))
-        many = pa.array(list(counts.values()), pa.int64())
-        columns = [pa.repeat(pa.scalar(lang, pa.string()), size), pa.repeat(pa.scalar(source, pa.string()), size), pa.array(list(counts), pa.binary())]
-        whole = pa.RecordBatch.from_arrays([*columns, many if occurrences else none, none if occurrences else many], ["lang", "source", "term", "n", "docs"])
-        for at in range(0, size, 1 << 15):
-            yield whole.slice(at, 1 << 15)
-
 
 def postings(docs: DataFrame) -> DataFrame:
     """(lang, term, source, n, lang_n, head) for each kept term and source that has it; head marks one row of each term."""
@@ -130,9 +121,9 @@ def postings(docs: DataFrame) -> DataFrame:
     return (
         each.withColumn("lang_n", F.sum("n").over(of_term))
         .withColumn("in_docs", F.sum("docs").over(of_term))
-        .withColumn("place", F.row_number().over(of_term.orderBy(F.col("source").asc_nulls_first())))  # of the row without a source 1
-        .filter(F.col("source").isNotNull() & (F.col("in_docs") >= LEAST_DOCS))
-        .select("lang", F.col("term").cast("string").alias("term"), "source", "n", "lang_n", (F.col("place") == 2).alias("head"))
+        .withColumn("place", F.row_number().over(of_term.orderBy("source")))
+        .filter(F.col("in_docs") >= LEAST_DOCS)
+        .select("lang", F.col("term").cast("string").alias("term"), "source", "n", "lang_n", (F.col("place") == 1).alias("head"))
     )
 
 
