@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, divergence, langid, lmscore, media, phrases, pieces, secrets, shard, simjoin, toxicity, warc
+from . import decontam, divergence, langid, lmscore, media, phrases, pieces, quality, secrets, shard, simjoin, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op11_contiguous_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_baseline_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op9_markov_secrets": op9_markov_secrets,
         "op10_zstd_warc": op10_zstd_warc,
         "op11_contiguous_phrases": op11_contiguous_phrases,
+        "op12_random_indexing_quality": op12_random_indexing_quality,
         "op13_baseline_divergence": op13_baseline_divergence,
     }
 
