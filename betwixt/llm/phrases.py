@@ -5,16 +5,17 @@ a phrase of 2 to ``LONGEST`` words that occurs a >= ``LEAST`` times within piece
 words, with l and r the occurrences of both parts, it scores floor(2 * 10^6 a / (l + r)); its lowest cut counts.
 Candidates inside a longer candidate that has four fifths of their occurrences are dropped.
 
-Words are counted first. A frequent word's projected table holds, for each of its occurrences, the words that follow it
-in the piece, as far as they are frequent (other patterns cannot be) and a pattern may reach: equal ones are one row
-with a count. Each prefix of one word is dealt to one task. There the rows are sorted, so that the occurrences of any
+Words are counted first, then their extensions to the right by one word, pairs of frequent words. The projected table of
+a frequent pair holds, for each of its occurrences, the words that follow it in the piece, as far as each pair of
+neighbours is frequent (other patterns cannot be) and a pattern may reach: equal ones are one row with a count. Each
+prefix of two words is dealt to one task. There the rows are sorted, so that the occurrences of any
 longer prefix are one run of rows: a prefix's pointers are its run's bounds, its extensions to the right are the runs
 inside it, and the order of the rows visits them depth first. A task therefore keeps one open run for each length,
-whatever the size of the projected tables; Spark sorts and spills them. The table of a word that has more than a
-``HOT``-th of all occurrences is dealt by its prefixes of three words instead; prefixes of two words then come out of
-several tasks in parts that are added up. At most ``HOT`` words can be that frequent, so their list is bounded.
+whatever the size of the projected tables; Spark sorts and spills them. The table of a pair that has more than a
+``HOT``-th of all occurrences is dealt by its prefixes of three words instead. At most ``HOT`` pairs can be that
+frequent, so their list is bounded.
 
-Which words are frequent is told by a bitmap of fixed size; other words that pass it cost rows, not results, since
+Which words and pairs are frequent is told by bitmaps of fixed size; others that pass them cost rows, not results, since
 every count is tested. Parts of candidates are looked up by joins; the best ones of a language are picked among the best of
 hashed parts, so no task ranks a language.
 
@@ -106,22 +107,44 @@ def lang_keys(langs: list[str]) -> np.ndarray:
     return span_hashes(np.frombuffer(buf, np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
 
 
-def word_hashes(words: DataFrame) -> DataFrame:
-    """``n`` and ``key``, by which tasks know (lang, word)."""
+def then(code: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The code of a prefix with one more word."""
+    return mix(code * U(0x9E3779B97F4A7C15) + key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, word = b.column(0).dictionary_encode(), b.column(1).cast(pa.large_binary())
-            offs = np.frombuffer(word.buffers()[1], np.int64)[word.offset : word.offset + len(word) + 1]
-            h = span_hashes(np.frombuffer(word.buffers()[2] or b"", np.uint8), offs[:-1], offs[1:])
-            h = mix(h ^ lang_keys(langs.dictionary.to_pylist())[langs.indices.to_numpy()]) if len(h) else h
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(h.view(np.int64))], ["n", "key"])
-
-    return map_batches(words, run, "n long, key long")
 
+def codes(phrases: DataFrame) -> DataFrame:
+    """``n`` and ``key``, by which tasks know a phrase, of (lang, phrase, n)."""
 
-def windows(texts: list[tuple[str, bytes, int]], frequent: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-    """A chunk's rows of projected tables: lang, the words in a row from a frequent one on, each with a blank behind it, their count, and the key to deal by."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                known, buf, offs = laid_out(b.column(0), b.column(1))
+                blank = np.flatnonzero(buf == BLANK)
+                start, end = np.sort(np.append(offs[:-1], blank + 1)), np.sort(np.append(blank, offs[1:]))
+                row = np.searchsorted(offs, start, "right") - 1
+                key, first = mix(span_hashes(buf, start, end) ^ known[row]), np.searchsorted(row, np.arange(b.num_rows))
+                code, many = key[first], np.diff(np.append(first, len(row)))
+                for k in range(1, int(many.max())):
+                    more = np.flatnonzero(many > k)
+                    code[more] = then(code[more], key[first[more] + k])
+                yield pa.RecordBatch.from_arrays([b.column(2), pa.array(code.view(np.int64))], ["n", "key"])
+
+    return map_batches(phrases, run, "n long, key long")
+
+
+def laid_out(langs: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's key of its language; the bytes of all rows and their offsets."""
+    langs, words = langs.dictionary_encode(), words.cast(pa.large_binary())
+    offs = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    buf = np.frombuffer(words.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+    return lang_keys(langs.dictionary.to_pylist())[langs.indices.to_numpy()], buf, offs - offs[0]
+
+
+def windows(texts: list[tuple[str, bytes, int]], frequent: np.ndarray, hot: np.ndarray, least: int) -> pa.RecordBatch:
+    """A chunk's rows of projected tables: lang, words in a row that may be frequent, each with a blank behind it, their count, and the key to deal by.
+
+    ``least`` 2: pairs, of words that pass the bitmap. 3: three words and more, in pairs that pass it.
+    """
     langs = sorted({lang for lang, _, _ in texts})
     buf = np.frombuffer(b"\n".join(t for _, t, _ in texts), np.uint8)
     begin = np.cumsum([0] + [len(t) + 1 for _, t, _ in texts])
@@ -130,26 +153,30 @@ def windows(texts: list[tuple[str, bytes, int]], frequent: np.ndarray, hot: np.n
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     text = np.searchsorted(begin, start, "right") - 1
     piece = np.cumsum(buf == LINE)[start] if len(start) else start
-    known = lang_keys(langs)
-    of_lang = np.array([langs.index(lang) for lang, _, _ in texts])[text] if len(texts) else text
-    key = mix(span_hashes(buf, start, end) ^ known[of_lang]) if len(start) else np.zeros(0, U)
-    good = passes(frequent, key.view(np.int64)) if len(key) else np.zeros(0, bool)
-    # how many frequent words of the piece stand in a row from each on
-    many = good.astype(np.int64)
-    for k in range(1, LONGEST):
-        more = np.zeros(len(start), bool)
-        more[:-k] = good[k:] & (piece[k:] == piece[:-k])
-        many += more & (many == k)
+    of_lang = np.array([langs.index(lang) for lang, _, _ in texts])[text]
+    key = mix(span_hashes(buf, start, end) ^ lang_keys(langs)[of_lang])
+    # whether a word and the next one may be in a pattern
+    tied = np.zeros(len(start), bool)
+    if len(start):
+        tied[:-1] = piece[1:] == piece[:-1]
+        good = passes(frequent, (key if least == 2 else then(key, np.roll(key, -1))).view(np.int64))
+        tied &= good
+        if least == 2:
+            tied[:-1] &= good[1:]
+    many, going = np.ones(len(start), np.int64), tied
+    for k in range(1, 2 if least == 2 else LONGEST):
+        many += going
+        going = going & np.append(tied[k:], np.zeros(min(k, len(tied)), bool))
     limit = begin[:-1] + np.array([n for _, _, n in texts], np.int64)
-    first = np.flatnonzero((many >= 2) & (start < limit[text])) if len(start) else start
+    first = np.flatnonzero((many >= least) & (start < limit[text]))
     many = many[first]
-    code = key[first]
-    deal = np.where(np.isin(key[first], hot), U(0), key[first])
-    for k in range(1, LONGEST):
+    code = then(key[first], key[first + 1])
+    deal = code.copy()
+    split = np.isin(code, hot)
+    for k in range(2, LONGEST):
         here = np.flatnonzero(many > k)
-        code[here] = mix(code[here] * U(0x9E3779B97F4A7C15) + key[first[here] + k])
-        if k <= 2:
-            split = here[np.isin(key[first[here]], hot)]
+        code[here] = then(code[here], key[first[here] + k])
+        if k == 2:
             deal[split] = code[split]
     _, sample, count = np.unique(code, return_index=True, return_counts=True)
     one, many = first[sample], many[sample]
@@ -164,12 +191,10 @@ def windows(texts: list[tuple[str, bytes, int]], frequent: np.ndarray, hot: np.n
     offs = np.concatenate([[0], ends[np.cumsum(many) - 1]]).astype(np.int32) if len(many) else np.zeros(1, np.int32)
     rows = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offs), pa.py_buffer(flat)])
     lang = pa.DictionaryArray.from_arrays(pa.array(of_lang[one].astype(np.int32)), pa.array(langs, pa.string())).cast(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [lang, rows, pa.array(count.astype(np.int64)), pa.array(deal[sample].view(np.int64)), pa.array(np.isin(key[one], hot))], ["lang", "words", "n", "deal", "split"]
-    )
+    return pa.RecordBatch.from_arrays([lang, rows, pa.array(count.astype(np.int64)), pa.array(deal[sample].view(np.int64))], ["lang", "words", "n", "deal"])
 
 
-def projected(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray) -> DataFrame:
+def projected(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, least: int) -> DataFrame:
     """The rows of all projected tables."""
     shipped = docs.sparkSession.sparkContext.broadcast((frequent, hot))
 
@@ -182,37 +207,31 @@ def projected(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray) -> DataFra
                     held.append((lang, part, end))
                     size += len(part)
                     if size >= CHUNK:
-                        yield windows(held, *shipped.value)
+                        yield windows(held, *shipped.value, least)
                         held, size = [], 0
         if held:
-            yield windows(held, *shipped.value)
+            yield windows(held, *shipped.value, least)
 
-    return map_batches(docs, run, "lang string, words binary, n long, deal long, split boolean")
+    return map_batches(docs, run, "lang string, words binary, n long, deal long")
 
 
 class Runs:
-    """The open run of each length; rows come sorted, so a run is over when the next one begins."""
+    """The open run of each length from three words on; rows come sorted, so a run is over when the next one begins."""
 
     def __init__(self) -> None:
-        self.open: dict[int, tuple[str, bytes, int, bool]] = {}
+        self.open: dict[int, tuple[str, bytes, int]] = {}
 
-    def over(self, length: int, lang: str, words: bytes, n: int, split: bool) -> list[tuple]:
-        part = split and length == 2
-        return [(lang, words[:-1], length, n, part)] if part or n >= LEAST else []
+    def over(self, length: int) -> list[tuple]:
+        lang, words, n = self.open.pop(length)
+        return [(lang, words[:-1], length, n)] if n >= LEAST else []
 
     def rows(self, b: pa.RecordBatch) -> list[tuple]:
-        """(lang, phrase, words, n, part) of the runs that end in a batch of (lang, words, n, split)."""
+        """(lang, phrase, words, n) of the frequent runs that end in a batch of (lang, words, n)."""
         out: list[tuple] = []
-        langs, words = b.column(0).dictionary_encode(), b.column(1).cast(pa.large_binary())
-        offs = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-        buf = np.frombuffer(words.buffers()[2], np.uint8)[offs[0] : offs[-1]]
-        offs = offs - offs[0]
-        n, split = b.column(2).to_numpy(), np.asarray(b.column(3).to_numpy(zero_copy_only=False))
-        known = lang_keys(langs.dictionary.to_pylist())[langs.indices.to_numpy()]
-        name = langs.indices.to_numpy()
-        blank = np.flatnonzero(buf == BLANK)
+        known, buf, offs = laid_out(b.column(0), b.column(1))
+        n, blank = b.column(2).to_numpy(), np.flatnonzero(buf == BLANK)
         before = np.searchsorted(blank, offs)  # blanks before each row
-        for length in range(2, LONGEST + 1):
+        for length in range(3, LONGEST + 1):
             has = np.flatnonzero(np.diff(before) >= length)
             if not len(has):
                 continue
@@ -220,38 +239,35 @@ class Runs:
             h = mix(span_hashes(buf, offs[has], end) ^ known[has])
             begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             sums = np.add.reduceat(n[has], begins)
+
+            def run(i: int) -> tuple[str, bytes]:
+                at = begins[i]
+                return b.column(0)[has[at]].as_py(), buf[offs[has[at]] : end[at]].tobytes()
+
             # the first run may go on with the open one; the last one stays open
-            row = has[begins[0]]
             if length in self.open:
-                lang, prefix, total, part = self.open.pop(length)
-                if (lang, prefix) == (langs.dictionary[name[row]].as_py(), buf[offs[row] : end[0]].tobytes()):
-                    sums[0] += total
+                if run(0) == self.open[length][:2]:
+                    sums[0] += self.open[length][2]
                 else:
-                    out += self.over(length, lang, prefix, total, part)
-            kept = np.flatnonzero((sums >= LEAST) | (split[has[begins]] & (length == 2)))
+                    out += self.over(length)
             last = len(begins) - 1
-            for i in [*kept[kept < last].tolist(), last]:
-                at = begins[i]
-                run = (langs.dictionary[name[has[at]]].as_py(), buf[offs[has[at]] : end[at]].tobytes(), int(sums[i]), bool(split[has[at]]))
-                if i < last:
-                    out += self.over(length, *run)
-                else:
-                    self.open[length] = run
+            out += [(lang, words[:-1], length, int(sums[i])) for i in np.flatnonzero(sums[:last] >= LEAST).tolist() for lang, words in [run(i)]]
+            self.open[length] = (*run(last), int(sums[last]))
         return out
 
     def rest(self) -> list[tuple]:
-        return [x for length, run in self.open.items() for x in self.over(length, *run)]
+        return [x for length in list(self.open) for x in self.over(length)]
 
 
 def grown(rows: DataFrame) -> DataFrame:
-    """(lang, phrase, words, n) of all frequent phrases of two words and more."""
+    """(lang, phrase, words, n) of all frequent phrases of three words and more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs()
 
         def made(found: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds, strict=True)], ["lang", "phrase", "words", "n", "part"])
+            kinds = [pa.string(), pa.binary(), pa.int32(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds, strict=True)], ["lang", "phrase", "words", "n"])
 
         for b in batches:
             if b.num_rows and (found := runs.rows(b)):
@@ -259,11 +275,8 @@ def grown(rows: DataFrame) -> DataFrame:
         if found := runs.rest():
             yield made(found)
 
-    dealt = rows.repartition("deal").sortWithinPartitions("lang", "words").select("lang", "words", "n", "split")
-    found = materialize(map_batches(dealt, run, "lang string, phrase binary, words int, n long, part boolean"), "phrases")
-    whole = found.filter("NOT part").select("lang", "phrase", "words", "n")
-    added = found.filter("part").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
-    return whole.unionByName(added)
+    dealt = rows.repartition("deal").sortWithinPartitions("lang", "words").select("lang", "words", "n")
+    return map_batches(dealt, run, "lang string, phrase binary, words int, n long")
 
 
 def collocations(docs: DataFrame) -> DataFrame:
@@ -274,11 +287,15 @@ def collocations(docs: DataFrame) -> DataFrame:
     words = materialize(word_counts(texts), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("all_n"))
     frequent = words.filter(F.col("n") >= LEAST)
-    keys = word_hashes(frequent)
+    rows = projected(texts, key_filter(codes(frequent), F.col("key")), np.zeros(0, U), 2)
+    pairs = rows.groupBy("lang", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    pairs = materialize(pairs.selectExpr("lang", "substring(words, 1, octet_length(words) - 1) AS phrase", "n"), "pairs")
+    keys = codes(pairs)
     every = words.agg(F.sum("n")).first()[0] or 0
     hot = keys.filter(F.col("n") * HOT > every).select("key").toArrow().column(0).to_numpy()  # fewer than HOT
-    rows = projected(texts, key_filter(keys, F.col("key")), hot.view(U))
-    found = materialize(grown(rows).withColumn("phrase", F.col("phrase").cast("string")), "candidates")
+    rows = projected(texts, key_filter(keys, F.col("key")), hot.view(U), 3)
+    found = grown(rows).unionByName(pairs.select("lang", "phrase", F.lit(2).alias("words"), "n"))
+    found = materialize(found.withColumn("phrase", F.col("phrase").cast("string")), "candidates")
 
     # the lowest cut of each candidate
     known = found.select("lang", "phrase", "n").unionByName(frequent.select("lang", F.col("word").cast("string").alias("phrase"), "n"))

@@ -53,7 +53,7 @@ def made(seed=5):
 
 @pytest.mark.parametrize("hot", [4096, 10**9])
 def test_by_brute_force(spark, monkeypatch, hot):
-    """Also where every word is so frequent that its table is dealt by longer prefixes."""
+    """Also where every pair is so frequent that its table is dealt by longer prefixes."""
     monkeypatch.setattr(phrases, "HOT", hot)
     rows = made()
     docs = spark.createDataFrame([(*r, "extra") for r in rows], "lang string, text string, words string").repartition(5)
@@ -67,17 +67,24 @@ def test_awkward_rows(spark):
     assert phrases.collocations(empty(spark)).count() == 0
 
 
-def runs(rows, chunk, batch, hot=np.zeros(0, np.uint64)):
-    """Frequent phrases by parts of ``chunk`` bytes and sorted batches of ``batch`` rows."""
-    every, held = np.full(1 << 20, -1, np.int64), []
-    for lang, text in rows:
-        held += [phrases.windows([(lang or "und", part, end)], every, hot) for part, end in phrases.parts((text or "").encode().translate(phrases.PLAIN), 3)]
-    table = pa.Table.from_batches(held).sort_by([("lang", "ascending"), ("words", "ascending")]).select(["lang", "words", "n", "split"])
-    open_runs, out = phrases.Runs(), []
+def runs(rows, batch):
+    """Frequent phrases of pairs, and of longer ones by sorted batches of ``batch`` rows."""
+    every, none, held = np.full(1 << 20, -1, np.int64), np.zeros(0, np.uint64), {2: [], 3: []}
+    for least in held:
+        for lang, text in rows:
+            held[least] += [phrases.windows([(lang or "und", part, end)], every, none, least) for part, end in phrases.parts((text or "").encode().translate(phrases.PLAIN), 3)]
+    pairs = collections.Counter()
+    for b in held[2]:
+        for lang, words, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+            pairs[lang, words] += n
+    out = [(lang, w[:-1], 2, n) for (lang, w), n in pairs.items() if n >= 30]
+    table = pa.Table.from_batches(held[3]).sort_by([("lang", "ascending"), ("words", "ascending")]).select(["lang", "words", "n"])
+    open_runs = phrases.Runs()
     for at in range(0, len(table), batch):
         out += open_runs.rows(table.slice(at, batch).combine_chunks().to_batches()[0])
     out += open_runs.rest()
-    return {(lang, tuple(p.decode().split(" "))): n for lang, p, _, n, _ in out}, len(out), max(map(len, [t for b in held for t in b.column(1).to_pylist()]))
+    assert all(len(p.split(b" ")) == m for _, p, m, _ in out)
+    return {(lang, tuple(p.decode().split(" "))): n for lang, p, _, n in out}, len(out)
 
 
 @pytest.mark.parametrize("chunk", [1 << 20, 64, 7])
@@ -87,7 +94,7 @@ def test_long_texts_and_batches(monkeypatch, chunk, batch):
     monkeypatch.setattr(phrases, "CHUNK", chunk)
     rows = made(9)[: 60 if batch == 1 else 200] + [("en", "long" * 50 + " word " + "a b c d " * 100)]
     want = {k: c for k, c in counts(rows).items() if len(k[1]) > 1 and c >= 30}
-    got, many, _ = runs(rows, chunk, batch)
+    got, many = runs(rows, batch)
     assert got == want and many == len(want)
 
 
