@@ -10,18 +10,22 @@ from ..functions.lineage import written
 from . import traverse
 from .features import pivot6, pivot13
 from .ranks import with_rank
-from .scalars import degrees
+from .scalars import GraphOf, degrees
 
 
-def sampled_targets(bc: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k nodes with bc > 0 by a draw on their ids."""
+def sampled_targets(bc: DataFrame, k: int, seed: int = 0, graph: GraphOf = None) -> DataFrame:
+    """k nodes with bc > 0 (of each graph) by a draw on their ids."""
+    if graph is not None:
+        order = Window.partitionBy("graph").orderBy("u", "node")  # filtered to k, which Spark does before it shuffles
+        drawn = bc.filter(F.col("bc") > 0).select("node", graph(F.col("node")).alias("graph"), uniform(key(F.col("node"), seed=seed)).alias("u"))
+        return drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(F.col("node").alias("target"))
     return bc.filter(F.col("bc") > 0).orderBy(uniform(key(F.col("node"), seed=seed)), "node").limit(k).select(F.col("node").alias("target"))
 
 
-def pivot_dataset(edges: DataFrame, bc: DataFrame, k: int = 6, seed: int = 0) -> DataFrame:
-    """(target, node, g0 .. g12, y): y = log1p of the node's dependency on the target."""
-    targets = sampled_targets(bc, k, seed)
-    rows = pivot13(edges, targets)
+def pivot_dataset(edges: DataFrame, bc: DataFrame, k: int = 6, seed: int = 0, graph: GraphOf = None, feats: DataFrame | None = None) -> DataFrame:
+    """(target, node, g0 .. g12, y): y = log1p of the node's dependency on the target, for k targets (of each graph)."""
+    targets = sampled_targets(bc, k, seed, graph)
+    rows = pivot13(edges, targets, graph=graph, feats=feats)
     dep = traverse.dependencies(edges, degrees(edges).select("node"), targets=targets).select(F.col("source").alias("node"), F.col("node").alias("target"), "delta")
     return rows.join(dep, ["target", "node"], "left").withColumn("y", F.log1p(F.coalesce("delta", F.lit(0.0)))).drop("delta")
 

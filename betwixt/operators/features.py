@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import written
 from . import pivots, traverse
-from .scalars import common_neighbours, degrees, summary
+from .scalars import GraphOf, beside, common_neighbours, degrees, summary
 
 
 def neighbour_statistics(edges: DataFrame) -> DataFrame:
@@ -87,17 +87,18 @@ def graph_record(edges: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     )
 
 
-def node8a(edges: DataFrame, anchors: int = 5) -> DataFrame:
-    """Eight features: degree, clustering, core, neighbour degree, log degree, leaf, degree ratio, eccentricity."""
+def node8a(edges: DataFrame, anchors: int = 5, graph: GraphOf = None) -> DataFrame:
+    """Eight features: degree, clustering, core, neighbour degree, log degree, leaf, degree ratio, eccentricity; relative to the node's graph."""
     nb = neighbour_statistics(edges)
     rows = (
         nb.join(clustering(edges).select("node", "clustering"), "node")
         .join(core_numbers(edges), "node")
-        .join(traverse.eccentricity_estimate(edges, anchors), "node")
+        .join(traverse.eccentricity_estimate(edges, anchors, graph), "node")
     )
-    top = rows.agg(F.max("deg").alias("max_deg"), F.avg("deg").alias("avg_deg"), F.max("core").alias("max_core"), F.max("nb_avg").alias("max_nb"), F.count(F.lit(1)).alias("n"))
+    rows = written(rows, "node8-parts")  # read twice
+    top = (F.max("deg").alias("max_deg"), F.avg("deg").alias("avg_deg"), F.max("core").alias("max_core"), F.max("nb_avg").alias("max_nb"), F.count(F.lit(1)).alias("n"))
     d = F.col("deg")
-    return rows.join(F.broadcast(top)).select(
+    return beside(rows, rows, *top, graph=graph).select(
         "node",
         (d / F.col("max_deg")).alias("f0"),
         F.col("clustering").alias("f1"),
@@ -171,24 +172,28 @@ def pivot6(edges: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def pivot13(edges: DataFrame, targets: DataFrame, anchors: int = 5) -> DataFrame:
-    """(target, node, g0 .. g12) for every node but the target; an unreached node has distance 999."""
-    feats = written(node8a(edges, anchors).select("node", "f1", "f2"), "node8")
+def pivot13(edges: DataFrame, targets: DataFrame, anchors: int = 5, graph: GraphOf = None, feats: DataFrame | None = None) -> DataFrame:
+    """(target, node, g0 .. g12) for every node (of the target's graph) but the target; an unreached node has distance 999.
+
+    ``feats``: columns f1 and f2 of ``node8a``, if they are there already.
+    """
+    feats = feats if feats is not None else written(node8a(edges, anchors, graph).select("node", "f1", "f2"), "node8")
     reached = traverse.bfs(edges, targets).select(F.col("source").alias("target"), "node", "d")
     counts = reached.groupBy("target", "d").agg(F.count(F.lit(1)).alias("sibs"))
     deg = degrees(edges)
-    one = summary(edges).select("n", "avg_deg")
     wanted = targets.select(F.col(targets.columns[0]).alias("target")).distinct()
+    # every node of its graph for every target is the result itself
+    inside = F.lit(True) if graph is None else graph(F.col("node")) == graph(F.col("target"))
     rows = (
-        deg.join(wanted, F.col("node") != F.col("target"))
+        deg.join(wanted, inside & (F.col("node") != F.col("target")))
         .join(reached, ["target", "node"], "left")
         .withColumn("d", F.coalesce("d", F.lit(999)))
         .join(counts, ["target", "d"], "left")
         .join(deg.select(F.col("node").alias("target"), F.col("deg").alias("dv")), "target")
         .join(feats, "node")
         .join(feats.select(F.col("node").alias("target"), F.col("f1").alias("t1"), F.col("f2").alias("t2")), "target")
-        .join(F.broadcast(one))
     )
+    rows = beside(rows, deg, F.count(F.lit(1)).alias("n"), F.avg("deg").alias("avg_deg"), graph=graph)
     d = F.col("d")
     g = [
         d / (F.col("n") + 1), F.pow(F.greatest("avg_deg", F.lit(1.001)), -F.least(d, F.lit(20))), 1 / (F.col("deg") + 1e-9), 1 / (F.col("dv") + 1e-9),

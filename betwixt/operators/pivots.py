@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import traverse
-from .scalars import degrees, floored
+from .scalars import GraphOf, beside, degrees, floored
 
 EPS = 1e-9
 
@@ -19,12 +19,11 @@ def share(w: Column, *by: str) -> Column:
     return w / F.sum(w).over(Window.partitionBy(*by))
 
 
-def candidates(edges: DataFrame, targets: DataFrame, floor: str = "jump") -> DataFrame:
-    """(target, node, d, sigma, parent, deg, lam) of every reached node other than the target."""
+def candidates(edges: DataFrame, targets: DataFrame, floor: str = "jump", graph: GraphOf = None) -> DataFrame:
+    """(target, node, d, sigma, parent, deg, lam) of every reached node other than the target; lam is the graph's."""
     reached = traverse.bfs(edges, targets).withColumnRenamed("source", "target").filter("d > 0")
     deg = degrees(edges)
-    lam = deg.agg(floored(F.avg("deg"), floor).alias("lam"))  # one row
-    return reached.join(deg, "node").join(F.broadcast(lam))
+    return beside(reached.join(deg, "node"), deg, floored(F.avg("deg"), floor).alias("lam"), graph=graph)
 
 
 def _finish(rows: DataFrame, weight: Column) -> DataFrame:
@@ -35,11 +34,11 @@ def decay(base: str = "lam") -> Column:
     return F.pow(F.col(base), -F.col("d"))
 
 
-def eddbm(edges: DataFrame, targets: DataFrame, variant: str = "level") -> DataFrame:
+def eddbm(edges: DataFrame, targets: DataFrame, variant: str = "level", graph: GraphOf = None) -> DataFrame:
     """Distance and degree. Variants: flat, level (default), paper (times the level's size), level_sq (its square)."""
     if variant == "flat":
-        return _finish(candidates(edges, targets), decay() / F.greatest(F.lit(1), F.col("deg")))
-    rows = candidates(edges, targets, "level" if variant == "level_sq" else "jump")
+        return _finish(candidates(edges, targets, graph=graph), decay() / F.greatest(F.lit(1), F.col("deg")))
+    rows = candidates(edges, targets, "level" if variant == "level_sq" else "jump", graph)
     inverse = 1 / (F.col("deg") + EPS) if variant == "level_sq" else 1 / F.col("deg").cast("double")
     weight = decay() * share(inverse, "target", "d")
     size = F.count(F.lit(1)).over(Window.partitionBy("target", "d"))

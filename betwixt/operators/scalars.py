@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
 
 
+#: Of a column of node ids, the graph that each node is in (see ``forest``); None where there is one graph.
+GraphOf = Callable[[Column], Column] | None
+
+
+def beside(rows: DataFrame, totals_of: DataFrame, *aggregates: Column, graph: GraphOf = None, node: str = "node") -> DataFrame:
+    """``rows`` with the aggregates of ``totals_of`` (with a column node), over all of it or over the row's graph."""
+    if graph is None:
+        return rows.join(F.broadcast(totals_of.agg(*aggregates)))  # one row
+    totals = totals_of.groupBy(graph(F.col("node")).alias("__graph")).agg(*aggregates)
+    return rows.withColumn("__graph", graph(F.col(node))).join(totals, "__graph").drop("__graph")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, deg). On a multigraph parallel edges count, and a loop (stored twice) counts two."""
     return edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
+from .scalars import GraphOf
 
 #: 16 bytes an edge on each executor: 128 MB.
 MOST_BROADCAST_EDGES = 8_000_000
@@ -274,9 +275,17 @@ def diameter_estimate(edges: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     return bfs(edges, chosen).agg(F.greatest(F.coalesce(F.max("d"), F.lit(1)), F.lit(1)).alias("diameter"))
 
 
-def eccentricity_estimate(edges: DataFrame, k: int = 5) -> DataFrame:
-    """(node, ecc): the greatest distance to the ``k`` nodes of lowest id; n if one is out of reach."""
+def eccentricity_estimate(edges: DataFrame, k: int = 5, graph: GraphOf = None) -> DataFrame:
+    """(node, ecc): the greatest distance to the ``k`` nodes of lowest id (of the graph); n if one is out of reach."""
     nodes = edges.select(F.col("src").alias("node")).distinct()
+    if graph is not None:
+        order = Window.partitionBy("graph").orderBy("node")  # filtered to k, which Spark does before it shuffles
+        anchors = nodes.withColumn("graph", graph(F.col("node"))).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("node", "graph")
+        far = bfs(edges, anchors.select("node")).groupBy("node").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("met"))
+        of = nodes.withColumn("graph", graph(F.col("node")))
+        n = of.groupBy("graph").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        n = n.withColumn("k", F.least(F.col("n"), F.lit(k)))
+        return of.join(n, "graph").join(far, "node", "left").select("node", F.when(F.col("met") == F.col("k"), F.col("far")).otherwise(F.col("n")).alias("ecc"))
     anchors = nodes.orderBy("node").limit(k)
     reached = bfs(edges, anchors)
     n = nodes.agg(F.count(F.lit(1)).cast("int").alias("n"))

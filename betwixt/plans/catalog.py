@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
-from ..operators import boosting, datasets, estimate, features, generators, harness, metrics, models, pivots, scalars, study, traverse
-from .graphs import basket_graph, session_graph, trade_graph
-from .oracle import PAIRS, TARGETS, contributions, draws, query
+from ..operators import boosting, datasets, estimate, features, forest, generators, harness, metrics, models, pivots, scalars, study, traverse
+from . import graphs
+from .oracle import PAIRS, TARGETS, bfs, contributions, draws, model, query
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -51,6 +51,19 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
+def trade_graph(s: SparkSession, d: str) -> DataFrame:
+    """Written, as most operators read their edges several times."""
+    return written(graphs.trade_graph(s, d), "edges")
+
+
+def basket_graph(s: SparkSession, d: str) -> DataFrame:
+    return written(graphs.basket_graph(s, d), "edges")
+
+
+def session_graph(s: SparkSession, d: str) -> DataFrame:
+    return written(graphs.session_graph(s, d), "edges")
+
+
 def targets_of(edges: DataFrame) -> DataFrame:
     return scalars.top_degree(edges, TARGETS).select(F.col("node").alias("target"))
 
@@ -60,27 +73,27 @@ def targets_of(edges: DataFrame) -> DataFrame:
 
 @register("edges_canonical", query("trade", ["e"], "SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM e WHERE src < dst"))
 def _(s, d):
-    return trade_graph(s, d).filter("src < dst")
+    return graphs.trade_graph(s, d).filter("src < dst")
 
 
 @register("degree", query("trade", ["nd"], "SELECT node::BIGINT AS node, deg FROM nd"))
 def _(s, d):
-    return scalars.degrees(trade_graph(s, d))
+    return scalars.degrees(graphs.trade_graph(s, d))
 
 
 @register("graph_summary", query("trade", ["sc"], f"SELECT n, m, {r6s('avg_deg')}, max_deg FROM sc"))
 def _(s, d):
-    return scalars.summary(trade_graph(s, d)).select("n", "m", r6("avg_deg"), "max_deg")
+    return scalars.summary(graphs.trade_graph(s, d)).select("n", "m", r6("avg_deg"), "max_deg")
 
 
 @register("max_degree_node", query("trade", ["nd"], "SELECT node::BIGINT AS node, deg FROM nd ORDER BY deg DESC, node LIMIT 1"))
 def _(s, d):
-    return scalars.top_degree(trade_graph(s, d))
+    return scalars.top_degree(graphs.trade_graph(s, d))
 
 
 @register("degree_hist", query("trade", ["nd"], "SELECT deg, count(*) AS nodes FROM nd GROUP BY 1"))
 def _(s, d):
-    return scalars.degree_histogram(trade_graph(s, d))
+    return scalars.degree_histogram(graphs.trade_graph(s, d))
 
 
 BASKET_SQL = PAIRS["basket"]
@@ -491,7 +504,7 @@ def _(s, d):
 def scored_nodes(e: DataFrame) -> DataFrame:
     """(node, bc, score): exact values, and the neighbours' degree sum as a ranker."""
     bc = traverse.betweenness(e).withColumn("bc", F.round("bc", 6))
-    return bc.join(pivots.neighbour_degree_sums(e), "node").withColumn("score", F.log1p("wdeg"))
+    return written(bc.join(pivots.neighbour_degree_sums(e), "node").withColumn("score", F.log1p("wdeg")), "scored")
 
 
 SCORED = ("sn", "SELECT bc.node, round(bc, 6) AS bc, ln(1 + wdeg) AS score FROM bc JOIN wd ON wd.node = bc.node")
@@ -536,7 +549,7 @@ def _(s, d):
 @register("loss_margin", query("trade", ["bc", "wd", "tg"], f"SELECT {r6s('avg(greatest(0, 0.5 - sign(ln(1 + a.bc) - ln(1 + b.bc)) * (a.score - b.score)))', 'margin_loss')} FROM pr JOIN sn a ON a.node = u JOIN sn b ON b.node = v", [TOP_PAIRS, SCORED]))
 def _(s, d):
     e = trade_graph(s, d)
-    n = written(scored_nodes(e).select("node", "bc", "score"), "scored")
+    n = scored_nodes(e)
     pairs = estimate.pair_order(n, estimate.pair_order(n, top_pairs(e), "bc").drop("greater"), "score")
     return models.margin_loss(pairs).select(r6("margin_loss"))
 
@@ -571,7 +584,7 @@ CONF = "1 / (1 + exp(-(a.score - b.score)))"
 @register("confidence", query("trade", ["bc", "wd", "tg"], f"SELECT count(*) AS pairs, {r6s('avg(((q > 0.5) = (y = 1))::INT)', 'efficiency')}, {r6s('avg(CASE WHEN y = 1 THEN q ELSE 1 - q END)', 'avg_confidence')} FROM (SELECT {CONF} AS q, (a.bc > b.bc)::INT AS y FROM pr JOIN sn a ON a.node = u JOIN sn b ON b.node = v WHERE a.bc <> b.bc)", [TOP_PAIRS, SCORED]))
 def _(s, d):
     e = trade_graph(s, d)
-    n = written(scored_nodes(e).select("node", "bc", "score"), "scored")
+    n = scored_nodes(e)
     pairs = estimate.pair_order(n, estimate.pair_order(n, top_pairs(e), "bc").drop("greater"), "score").filter("bc_u <> bc_v")
     pred = pairs.select((1 / (1 + F.exp(-(F.col("score_u") - F.col("score_v"))))).alias("prob"), (F.col("bc_u") > F.col("bc_v")).cast("int").alias("label"))
     return metrics.confidence(pred).select("pairs", r6("efficiency"), r6("avg_confidence"))
@@ -645,7 +658,7 @@ PIVOT_Y = "LEFT JOIN da ON da.source = p13.node AND da.node = p13.target, sc"
     query("session", ["bt", "tri", "core", "sc", "da"], "SELECT target, p13.node, " + ", ".join(r6s(x, f"g{i}") for i, x in enumerate(x.replace("(d =", "(p13.d =") for x in G13)) + f", {r6s('ln(1 + coalesce(delta, 0))', 'y')} FROM p13 {PIVOT_Y}", P13_CTES, [BC6, _sampled(6)]),
 )
 def _(s, d):
-    e = written(session_graph(s, d), "edges")
+    e = session_graph(s, d)
     out = datasets.pivot_dataset(e, exact(e))
     return out.select("target", "node", *[r6(c) for c in out.columns if c not in ("target", "node")])
 
@@ -663,7 +676,7 @@ def _share_ctes() -> list[tuple[str, str]]:
 
 @register("ds_share", query("session", ["chat", "da"], P6.replace(" FROM p6", f", {r6s('own / total', 'y')} FROM shares WHERE total > 0"), _share_ctes(), [BC6, _sampled(25)]))
 def _(s, d):
-    e = written(session_graph(s, d), "edges")
+    e = session_graph(s, d)
     out = datasets.share_dataset(e, exact(e))
     return out.select("target", "node", *[r6(c) for c in out.columns if c not in ("target", "node")])
 
@@ -685,12 +698,87 @@ def _(s, d):
     return out.select("node", r6("deg"), r6("nb_avg"), r6("nb_sum"))
 
 
+# ---------------------------------------------------------------- many graphs at once
+
+
+GRAPH = "(node // 1099511627776)"
+FOREST_PAIRS, FOREST_T = 60, 25
+
+
+def month_edges(s: SparkSession, d: str) -> DataFrame:
+    return written(forest.merged(graphs.month_graphs(s, d)), "edges")
+
+
+def with_graph(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("graph_id", forest.graph_of(F.col("node"))).withColumn("node", forest.node_of(F.col("node")))
+
+
+@register("forest_bc", query("months", ["bc"], f"SELECT {GRAPH} AS graph_id, node % 1099511627776 AS node, {r6s('bc')} FROM bc"))
+def _(s, d):
+    """Exact values of every month's trade graph."""
+    return with_graph(traverse.betweenness(month_edges(s, d))).select("graph_id", "node", r6("bc"))
+
+
+FOREST8A = f"""SELECT {GRAPH} AS graph_id, node % 1099511627776 AS node, {{}} FROM (SELECT nb.node, nb.deg / max(nb.deg) OVER g::DOUBLE AS f0, clustering AS f1, core / max(core) OVER g::DOUBLE AS f2,
+nb_avg / (max(nb_avg) OVER g + 1e-9::DOUBLE) AS f3, ln(1 + nb.deg) / ln(2 + max(nb.deg) OVER g) AS f4, (nb.deg = 1)::INT AS f5, nb.deg / (avg(nb.deg) OVER g + 1e-9::DOUBLE) AS f6, gecc / (count(*) OVER g + 1)::DOUBLE AS f7
+FROM nb JOIN cc USING (node) JOIN core USING (node) JOIN gecc USING (node) WINDOW g AS (PARTITION BY nb.node // 1099511627776))""".format(", ".join(r6s(f"f{i}") for i in range(8)))
+FOREST_ECC = [
+    ("ga", f"SELECT node AS s, {GRAPH} AS g FROM nd QUALIFY row_number() OVER (PARTITION BY {GRAPH} ORDER BY node) <= 5"),
+    *bfs("bg", "SELECT s FROM ga"),
+    ("gn", f"SELECT {GRAPH} AS g, count(*) AS n, avg(deg) AS avg_deg FROM nd GROUP BY 1"),
+    ("gecc", f"SELECT nd.node, CASE WHEN met = least(n, 5) THEN far ELSE n END AS gecc FROM nd JOIN gn ON gn.g = nd.node // 1099511627776 LEFT JOIN (SELECT node, max(d) AS far, count(*) AS met FROM bg GROUP BY 1) q ON q.node = nd.node"),
+]
+
+
+@register("forest_node8a", query("months", ["nb", "tri", "core"], FOREST8A, FOREST_ECC))
+def _(s, d):
+    """The eight node features of every month's trade graph, relative to the graph."""
+    return with_graph(features.node8a(month_edges(s, d), graph=forest.graph_of)).select("graph_id", "node", *[r6(f"f{i}") for i in range(8)])
+
+
+def _forest_pairs_sql(k: int, label: int) -> list[tuple[str, str]]:
+    from ..functions.draws import key_sql, uniform_sql
+
+    def pick(turn: int) -> str:
+        return f"floor({uniform_sql(key_sql('g', 'id', str(turn), str(label), seed=0))} * n)::BIGINT + 1"
+
+    return [
+        ("bc6", "SELECT node, round(bc, 6) AS bc FROM bc"),
+        ("frk", f"SELECT node, bc, {GRAPH} AS g, row_number() OVER (PARTITION BY {GRAPH} ORDER BY bc, node) AS r FROM bc6 WHERE bc > 0"),
+        ("fdr", f"SELECT g, id, {pick(1)} AS i, {pick(2)} AS j FROM (SELECT g, count(*) AS n FROM frk GROUP BY 1 HAVING count(*) > 1), (SELECT unnest(range(0, {k}))::INTEGER AS id)"),
+        ("fpr", "SELECT d.g, id, a.node AS u, b.node AS v, a.bc AS bc_u, b.bc AS bc_v FROM fdr d JOIN frk a ON a.g = d.g AND a.r = d.i JOIN frk b ON b.g = d.g AND b.r = d.j WHERE a.node <> b.node AND a.bc <> b.bc "
+                "QUALIFY row_number() OVER (PARTITION BY least(a.node, b.node), greatest(a.node, b.node) ORDER BY id) = 1"),
+    ]
+
+
+FOREST_XI = [
+    ("tg", "SELECT u AS target FROM fpr UNION SELECT v FROM fpr"),
+    *bfs("bt", "SELECT target AS s FROM tg"),
+    ("gn", f"SELECT {GRAPH} AS g, avg(deg) AS avg_deg FROM nd GROUP BY 1"),
+    ("cl", "SELECT b.source AS target, b.node, b.d, nd.deg, greatest(avg_deg, 1.001) AS lam FROM bt b JOIN nd ON nd.node = b.node JOIN gn ON gn.g = b.node // 1099511627776 WHERE b.d > 0"),
+    ("pf", model("level_sq")),
+    *draws("fd", "pf", FOREST_T, 0),
+    *contributions("fv", "fd"),
+    ("fe", f"SELECT target, sum(value) / {FOREST_T} * 0.5::DOUBLE AS est FROM fv GROUP BY 1"),
+]
+
+
+@register("forest_xi", query("months", ["bc"], f"SELECT g AS graph_id, 'baseline' AS method, count(*) AS pairs, {r6s('avg(((coalesce(a.est, 0) > coalesce(b.est, 0)) = (bc_u > bc_v))::INT)', 'xi')} FROM fpr LEFT JOIN fe a ON a.target = u LEFT JOIN fe b ON b.target = v GROUP BY g",
+                             [*_forest_pairs_sql(FOREST_PAIRS, 0), *FOREST_XI]))
+def _(s, d):
+    """The baseline's share of rightly ordered pairs in every month's trade graph: 25 pivots for each node of drawn pairs."""
+    e = month_edges(s, d)
+    pairs = written(forest.drawn_pairs(exact(e), FOREST_PAIRS), "pairs")
+    est = forest.sampled_estimates(e, pairs.select("u").union(pairs.select("v")), FOREST_T)
+    return forest.agreement(forest.ordered(pairs, est, "est"), "baseline").select("graph_id", "method", "pairs", r6("xi"))
+
+
 # ---------------------------------------------------------------- models (no SQL form)
 
 
 def _pivot_model(s: SparkSession, d: str, model: boosting.Boosted | boosting.Perceptron) -> DataFrame:
     """Fitted on four fifths of the nodes; scores of all as probabilities, with the part that each node is in."""
-    e = written(trade_graph(s, d), "edges")
+    e = trade_graph(s, d)
     rows = written(datasets.split(datasets.pivot_dataset(e, exact(e)), "node"), "pivot-rows")
     cols = [f"g{i}" for i in range(13)]
     fit = boosting.fit_rows(rows.filter("part = 'train'"), cols, "y", model)
@@ -714,7 +802,7 @@ def _(s, d):
 @register("model_pair_gbt")
 def _(s, d):
     """Model B on the trade graph, 300 trees of depth 6 on differences of the eight node features; 15 % of the pairs held out."""
-    e = written(trade_graph(s, d), "edges")
+    e = trade_graph(s, d)
     pairs = written(datasets.split(datasets.pair_dataset(exact(e)).withColumn("id", F.xxhash64("u", "v")), "id", 0.15).drop("id"), "pairs")
     rows = features.pair16(written(features.node8a(e), "node8"), pairs.select("u", "v")).join(pairs.select("u", "v", "y", "part"), ["u", "v"])
     rows = written(rows, "pair-rows")
@@ -763,7 +851,7 @@ RUN_MODELS = ("flat", "level", "paper")
 
 def raw_runs(s: SparkSession, d: str) -> DataFrame:
     """A row for each model, seed and data set (customers, suppliers): agreement of the estimate at T = 25 over targets."""
-    e = written(trade_graph(s, d), "edges")
+    e = trade_graph(s, d)
     bc = exact(e)
     alls = None
     for seed in SEEDS:
@@ -844,7 +932,7 @@ def _benchmark_sql() -> str:
 
 @register("benchmark_models", _benchmark_sql())
 def _(s, d):
-    e = written(trade_graph(s, d), "edges")
+    e = trade_graph(s, d)
     return harness.benchmark(e, exact(e), targets_of(e), BENCH_MODELS, 25, SEED).select("method", "t", r6("efficiency"), r6("avg_error"))
 
 

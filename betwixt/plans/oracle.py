@@ -13,6 +13,10 @@ TARGETS = 20
 PAIRS = {
     "trade": "SELECT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(*) >= 2",
     "basket": "SELECT DISTINCT o_custkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    # graph_id << 40 | node, as in ``forest.merged``
+    "months": (
+        "SELECT DISTINCT g * 1099511627776 + o_custkey * 2 AS a, g * 1099511627776 + l_suppkey * 2 + 1 AS b FROM lineitem JOIN (SELECT *, (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS g FROM orders) ON l_orderkey = o_orderkey"
+    ),
     "session": (
         "SELECT least(user_id, nxt) AS a, greatest(user_id, nxt) AS b FROM "
         "(SELECT user_id, lead(user_id) OVER (ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt <> user_id GROUP BY 1, 2 HAVING count(*) >= 2"
