@@ -9,8 +9,8 @@ word (a run of letters, digits and non-ASCII characters, in lower case) or one o
 A document is pooled as the mean of its tokens' vectors, each less the mean vector of all tokens, of length one, and weighted
 by a / (a + share of all tokens); with the logarithm of its length. The network, tanh units and one logistic
 unit, is fitted by Adam on the whole of a bounded sample of labelled documents: at most ``SAMPLE`` of each class, in
-order of a hash of doc_id. A fifth of them is held back to choose the temperature that divides the logits: the one of least
-cross-entropy. Vectors and counts are of all documents, and all documents are scored over their whole texts.
+order of a hash of doc_id. A fifth of them is held back to choose when to stop and the temperature that divides the
+logits: those of least cross-entropy. Vectors and counts are of all documents, and all documents are scored over their whole texts.
 
 Sums of vectors are integers: tasks add up what they read, blocks of slots meet in two steps, so that no task adds up
 what all tasks send, and one table of fixed size reaches the driver. Texts of more than ``PART`` bytes are taken in parts, cut at white space;
@@ -72,8 +72,8 @@ def text_parts(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def index_entries(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(SPARSE, tokens) places and signs of the tokens' index vectors; places may repeat."""
-    at = np.stack([mix(h + U(0x9E3779B97F4A7C15) * U(k + 1)) for k in range(SPARSE)])
-    return ((at >> U(32)) % U(DIM)).astype(np.int64), np.where(at & U(1), 1, -1)
+    at = np.stack([mix(h + U(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) for k in range(SPARSE)])
+    return ((at >> U(32)) % U(DIM)).astype(np.int64), np.where(at & U(1), np.int8(1), np.int8(-1))
 
 
 def slot(h: np.ndarray) -> np.ndarray:
@@ -86,14 +86,14 @@ def add_contexts(sums: np.ndarray, h: np.ndarray, n: np.ndarray) -> None:
         return
     own, text = slot(h) * (DIM + 1), np.repeat(np.arange(len(n)), n)
     place, sign = index_entries(h)
-    flat = sums.reshape(-1)
+    at, more = [own + DIM], [np.ones(len(h), np.int8)]
     for step in range(1, REACH + 1):
-        near = text[step:] == text[:-step]
-        left, right = np.flatnonzero(near), np.flatnonzero(near) + step
-        for a, b in ((left, right), (right, left)):
-            for k in range(SPARSE):
-                flat += np.bincount(own[a] + place[k][b], sign[k][b], len(flat)).astype(sums.dtype)
-    flat += np.bincount(own + DIM, minlength=len(flat)).astype(sums.dtype)
+        left = np.flatnonzero(text[step:] == text[:-step])
+        for a, b in ((left, left + step), (left + step, left)):
+            at += list(own[a] + place[:, b])
+            more += list(sign[:, b])
+    flat = sums.reshape(-1)
+    flat += np.bincount(np.concatenate(at), np.concatenate(more), len(flat)).astype(sums.dtype)
 
 
 def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +219,16 @@ def fitted(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Network:
     z, rng = (own - model.mean) / model.scale, np.random.default_rng(7)
     weights = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+    best, model.weights = np.inf, weights
     for t in range(1, EPOCHS + 1):
         for i, g in enumerate(gradient(weights, z, label)):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g**2
             step = first[i] / (1 - 0.9**t) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
             weights[i] = weights[i] - RATE * (step + (DECAY * weights[i] if weights[i].ndim == 2 else 0))
-    model.weights = weights
+        loss = cross_entropy(Network(model.mean, model.scale, weights).logits(x[held]), y[held]) if held.any() else 0.0
+        if loss <= best:
+            best, model.weights = loss, list(weights)
     if held.any():
         logits, label = model.logits(x[held]), y[held]
         grid = np.exp(np.linspace(np.log(0.25), np.log(8), 101))
