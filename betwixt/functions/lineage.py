@@ -24,12 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; deleted at the end."""
+    path = f"{shared_dir(spark)}/betwixt-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later steps neither recompute it nor depend on one executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/betwixt-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

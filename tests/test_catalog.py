@@ -7,7 +7,7 @@ from betwixt.plans import catalog
 from .util import DATA, same
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
-SLOW = {"study_xi"}  # its stages are in test_study, the whole in the bench
+SLOW = {"study_xi", "model_vote", "network_sage", "network_gcn", "network_epochs"}  # their parts are in test_study and test_networks, the whole in the bench
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
