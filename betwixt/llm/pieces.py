@@ -12,8 +12,9 @@ the last rank.
 No piece holds a space after another character, and none a newline, so a lattice falls apart at those places into
 independent segments: exactly, not as an approximation. Distinct segments of a chunk share one forward pass; each
 occurrence is sampled on its own. Segments of more than ``LONG`` bytes fall apart further, at places that no piece
-crosses, and so do texts of more than ``CHUNK`` bytes, which are encoded part by part; only a run that pieces cross
-everywhere is held whole. The random number of each step is a hash of the row key and the place in the text, so a row's
+crosses, and so do texts of more than ``CHUNK`` bytes, which are encoded part by part. A run of more than ``RUN`` bytes that
+pieces cross everywhere is filtered block by block: a place's sum needs those of the places a longest piece before it
+only, and its draw needs no more, so that what is kept of a run is each place's draw, five bytes. The random number of each step is a hash of the row key and the place in the text, so a row's
 result depends neither on batches, partitions and retries nor on where its lattice was cut. Sums that could leave the
 range of a double carry binary exponents, so any ``alpha`` works.
 
@@ -43,6 +44,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64  # bytes
 CHUNK = 1 << 16  # of text in a chunk, which costs some 500 bytes of working memory a byte
 BATCH = "1m"  # of an Arrow batch: workers hold one beside a chunk
+RUN, BLOCK = 1 << 13, 1 << 11
 SPACE, NEWLINE = 0x20, 0x0A
 SPREAD = U(0x9E3779B97F4A7C15)
 BITS = 18
@@ -292,33 +294,121 @@ class Encoder:
         boffs = offs + np.concatenate([[0], added])
         seeds = row_seeds(keys)
         if len(size) > 1 or len(buf) <= 2 * CHUNK:
-            return *self.sampled(buf, boffs, seeds, 0), buf, boffs
-        parts, at = [], 0
+            whole = self.sampled(buf, boffs, seeds, 0)
+            if whole is not None:
+                return *whole, buf, boffs
+        parts = [self.by_parts(buf[a:b], seeds[i]) for i, (a, b) in enumerate(zip(boffs[:-1], boffs[1:], strict=True))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), buf, boffs
+
+    def by_parts(self, buf: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """ids of one text, by parts that no edge crosses and by long runs."""
+        ids, at = [np.zeros(0, np.int32)], 0
         while at < len(buf):
             to = self.part_end(buf, at)
-            parts.append(self.sampled(buf[at:to], np.array([0, to - at]), seeds, at)[0])
+            if to:
+                ids.append(self.sampled(buf[at:to], np.array([0, to - at]), seed[None], at)[0])
+            else:
+                run, to = self.run(buf, at, seed)
+                ids.append(run)
             at = to
-        ids = np.concatenate(parts)
-        return ids, np.array([0, len(ids)]), buf, boffs
+        return np.concatenate(ids)
+
+    def uncrossed_after(self, buf: np.ndarray, at: int, to: int) -> np.ndarray:
+        """The places beyond ``at``, up to ``to``, that no edge crosses; none does ``at``."""
+        part = buf[at : to + self.v.longest + 4]
+        start, end, _ = edges_of(part, np.full(len(part), len(part)), self.v)
+        # an edge that the part's end cuts off is missing only if it starts after ``to``
+        return at + 1 + np.flatnonzero(uncrossed(len(part), start, end)[1 : to - at + 1])
 
     def part_end(self, buf: np.ndarray, at: int) -> int:
-        """The last place, about ``CHUNK`` bytes on, that no edge crosses."""
-        size = CHUNK
-        while at + size < len(buf):
-            found = np.flatnonzero(segment_begins(buf[at : at + size]))
-            if len(found) and found[-1] > 0:
-                return at + int(found[-1])
-            part = buf[at : at + size + self.v.longest + 4]
-            start, end, _ = edges_of(part, np.full(len(part), len(part)), self.v)
-            free = np.flatnonzero(uncrossed(len(part), start, end)[1 : size + 1])
-            # an edge that the part's end cuts off is missing only if it starts after ``size``
-            if len(free):
-                return at + int(free[-1]) + 1
-            size *= 2
-        return len(buf)
-
-    def sampled(self, buf: np.ndarray, boffs: np.ndarray, seeds: np.ndarray, origin: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids, and their offsets by row, of rows that lie one after another; the first starts ``origin`` bytes into its text."""
+        """The last place, at most ``CHUNK`` bytes on, that no edge crosses, with no long run before it; 0 where a long run begins here."""
+        to = min(at + CHUNK, len(buf))
+        free = self.uncrossed_after(buf, at, to)
+        if to == len(buf):
+            free = np.append(free[free < to], to)
+        far = np.flatnonzero(np.diff(np.concatenate([[at], free, [to]])) > RUN)
+        if len(far):
+            return int(free[far[0] - 1]) if far[0] else 0
+        return int(free[-1]) if len(free) else 0
+
+    def run(self, buf: np.ndarray, at: int, seed: np.ndarray) -> tuple[np.ndarray, int]:
+        """ids of the run that begins at ``at``, up to the first place that no edge crosses; and that place."""
+        wide, bits = self.v.longest, max(1.0, -float((self.exponent + np.log2(self.mantissa)).min()))
+        calm = int(900 / bits) - wide  # places in a row whose sums fit in doubles beside those of a longest piece
+        plain, calm = calm > 0, max(1, min(calm, 64))
+        logs = np.log(self.mantissa) + self.exponent * math.log(2)
+        window = np.zeros(wide) if plain else np.full(wide, -np.inf)
+        window[-1] = 1.0 if plain else 0.0
+        back, what, pos, end = [], [], at, None
+        while end is None:
+            to = min(pos + BLOCK, len(buf))
+            lo = max(at, pos - wide - 4)
+            while lo > at and pos - lo < wide + 8 and buf[lo] & 0xC0 == 0x80:
+                lo -= 1
+            part = buf[lo : to + wide + 4]
+            start, stop, piece = edges_of(part, np.full(len(part), len(part)), self.v)
+            start, stop = start.astype(np.int64) + lo, stop.astype(np.int64) + lo
+            inner = (start >= max(at, pos - wide)) & (start < to)
+            start, stop, piece = start[inner], stop[inner], piece[inner].astype(np.int64)
+            # places from pos + 1 to ``to`` that no edge crosses: the first one ends the run
+            depth = np.bincount(np.maximum(start, pos) - pos + 1, minlength=to - pos + wide + 6) - np.bincount(np.maximum(stop, pos) - pos, minlength=to - pos + wide + 6)
+            free = np.flatnonzero(np.cumsum(depth)[1 : to - pos + 1] == 0)
+            n = int(free[0]) + 1 if len(free) else to - pos
+            if len(free) or to == len(buf):
+                end = pos + n
+            here = (stop > pos) & (stop <= pos + n)
+            start, stop, piece = start[here], stop[here], piece[here]
+            row, col = stop - pos - 1, wide - (stop - start)
+            kind = np.full((n, wide), -1)
+            kind[row, col] = piece
+            weight = np.zeros((n, wide)) if plain else np.full((n, wide), -np.inf)
+            length = stop - start
+            weight[row, col] = np.where(piece >= 0, self.weight[piece], self.weight[-1] ** length) if plain else np.where(piece >= 0, logs[piece], logs[-1] * length)
+            share, sums = np.zeros((n, wide)), np.empty(wide + n)
+            sums[:wide] = window
+            for a in range(0, n, calm):
+                b = min(n, a + calm)
+                if plain:
+                    for j in range(a, b):
+                        sums[j + wide] = np.dot(sums[j : j + wide], weight[j])
+                    share[a:b] = np.lib.stride_tricks.sliding_window_view(sums[a : b + wide - 1], wide) * weight[a:b]
+                    sums[b : b + wide] /= sums[b : b + wide].max()
+                    continue
+                for j in range(a, b):
+                    x = sums[j : j + wide] + weight[j]
+                    top = x.max()
+                    if top > -np.inf:
+                        share[j] = np.exp(x - top)
+                    sums[j + wide] = top + math.log(share[j].sum()) if top > -np.inf else -np.inf
+            window = sums[n:]
+            window = window / window.max() if plain else window - window.max()
+            # shortest first; the last edge takes what rounding leaves
+            order = share[:, ::-1]
+            cum = np.cumsum(order, 1)
+            draw = uniform(np.full(n, seed), np.arange(pos + 1, pos + n + 1)) * cum[:, -1]
+            pick = np.minimum((cum <= draw[:, None]).sum(1), wide - 1 - np.argmax(order[:, ::-1] > 0, 1))
+            back.append((pick + 1).astype(np.uint8))
+            what.append(kind[np.arange(n), wide - 1 - pick].astype(np.int32))
+            pos += n
+        steps, place, ends = np.concatenate(back).tobytes(), end - at, []
+        while place:
+            ends.append(place)
+            place -= steps[place - 1]
+        ends = np.array(ends[::-1])
+        piece = np.concatenate(what)[ends - 1]
+        size = np.where(piece >= 0, 1, np.frombuffer(steps, np.uint8)[ends - 1])
+        ids = np.repeat(np.where(piece >= 0, self.v.ids[piece], -1), size)
+        # characters in bytes
+        first = np.cumsum(size) - size
+        for k in np.flatnonzero(piece < 0).tolist():
+            ids[first[k] : first[k] + size[k]] = self.v.byte_ids[buf[at + ends[k] - size[k] : at + ends[k]]]
+        return ids.astype(np.int32), end
+
+    def sampled(self, buf: np.ndarray, boffs: np.ndarray, seeds: np.ndarray, origin: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """ids, and their offsets by row, of rows that lie one after another; the first starts ``origin`` bytes into its text.
+
+        None if there is a long run among them.
+        """
         if not len(buf):
             return np.zeros(0, np.int32), np.zeros(len(boffs), np.int64)
         begins = segment_begins(buf)
@@ -337,6 +427,8 @@ class Encoder:
         if (length > LONG).any():
             cut[:-1] |= uncrossed(len(flat), *edges[:2])[:-1] & np.repeat(length > LONG, length)
         unit = np.flatnonzero(cut)
+        if len(unit) > 1 and np.diff(unit).max() > max(RUN, LONG):
+            return None
         of = np.searchsorted(unit, first)  # each segment's first unit
         node_from, node_to, piece, cum, start = self.lattice(flat, unit, edges)
         n_ids = np.where(piece >= 0, 1, node_to - node_from)

@@ -1,6 +1,7 @@
 import base64
 import collections
 import math
+import time
 import tracemalloc
 
 import numpy as np
@@ -84,14 +85,31 @@ def test_encoding_by_brute_force(alpha, monkeypatch):
     encoder = pieces.Encoder(VOCABULARY, alpha)
     keys = (np.arange(len(PLAIN)) * 12345).astype(np.uint64)
     want = [plain(t, int(k), alpha) for t, k in zip(PLAIN, keys)]
-    for long, chunk in ((64, 1 << 20), (3, 1 << 20), (10**9, 1 << 20), (64, 20)):
+    for long, chunk, run, block in ((64, 1 << 20, 1 << 20, 2048), (3, 1 << 20, 1 << 20, 2048), (10**9, 1 << 20, 1 << 20, 2048), (64, 20, 1 << 20, 2048), (64, 20, 5, 7), (64, 1 << 20, 12, 2048), (64, 90, 30, 64)):
         monkeypatch.setattr(pieces, "LONG", long)
         monkeypatch.setattr(pieces, "CHUNK", chunk)
+        monkeypatch.setattr(pieces, "RUN", run)
+        monkeypatch.setattr(pieces, "BLOCK", block)
         ids, offs, _, _ = encoder.encode(pa.array(PLAIN), keys)
         assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == want
         assert [encoder.encode(pa.array([t]), keys[i : i + 1])[0].tolist() for i, t in enumerate(PLAIN)] == want
 
 
+def test_runs_that_pieces_cross_everywhere():
+    """A MB of one letter: what is kept follows the run by a few bytes a byte, and each second takes a good part of a MB."""
+    texts = ["a" * 1_000_000, "ab" * 20_000 + " plain words " + "é" * 30_000]
+    began = time.time()
+    ids, offs, _, _ = ENCODER.encode(pa.array(texts[:1]), np.array([7], np.uint64))
+    assert pieces.decode_texts(ids, offs, VOCABULARY) == texts[:1] and time.time() - began < 40
+    tracemalloc.start()
+    ENCODER.encode(pa.array(["a" * 140_000]), np.array([7], np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    both, offs, _, _ = ENCODER.encode(pa.array([*texts, "short"]), np.array([7, 8, 9], np.uint64))
+    assert pieces.decode_texts(both, offs, VOCABULARY) == [*texts, "short"] and np.array_equal(both[: offs[1]], ids)
+
+
 def test_long_text_without_spaces():
     text = base64.b64encode(np.random.default_rng(0).bytes(3_000_000)).decode()
     tracemalloc.start()
@@ -99,7 +117,7 @@ def test_long_text_without_spaces():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert pieces.decode_texts(ids, offs, VOCABULARY) == [text]
-    assert peak < 700e6  # of one part, whatever the text's length
+    assert peak < 120e6  # of the text and its ids; a part costs little
 
 
 def test_decoding_is_lossless():
