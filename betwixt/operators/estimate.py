@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,26 +13,46 @@ from . import traverse
 from .ranks import with_rank
 
 SWEEP = [1, *range(5, 51, 5)]
+BLOCK = 1 << 19  # rows of distributions that are sorted together
 
 
-def draw_pivots(probs: DataFrame, t_most: int, seed: int = 0, by: tuple[str, ...] = ("target",)) -> DataFrame:
+def draw_pivots(probs: DataFrame, t_most: int, seed: int = 0, by: tuple[str, ...] = ("target",), block: int | None = None) -> DataFrame:
     """(*by, t, node, p) for t = 1 .. t_most: the node at which the running sum of p first reaches the draw.
 
-    Draws and running sums are merged in one sorted pass for each distribution (n + t rows), not joined. ``by`` names a
-    distribution (target, or method and target); draws depend on target and t only, so methods share them.
+    ``by`` names a distribution (target, or method and target); draws depend on target and t only, so methods share them.
+    Sums are in two levels: rows are cut into ranges of (by, node) of about ``block`` rows, a draw finds its range among
+    the ranges' totals and then its node among the range's rows, in one sorted pass over both (linear work). So no task
+    holds a distribution, however many nodes it has.
     """
-    run = Window.partitionBy(*by).orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    cum = probs.select(*by, "node", "p", F.round(F.sum("p").over(run), 12).alias("x"))
-    draws = probs.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(1), F.lit(t_most))).alias("t"))
-    draws = draws.withColumn("x", uniform(key(F.col("target"), F.col("t"), seed=seed)))
-    both = cum.withColumn("t", F.lit(None).cast("int")).unionByName(draws.withColumn("node", F.lit(None).cast("long")).withColumn("p", F.lit(None).cast("double")))
+    rows = written(probs.select(*by, "node", "p"), "distributions")
+    parts = max(1, math.ceil(rows.count() / (block or BLOCK)))
+    ranged = written(rows.repartitionByRange(parts, *by, "node").withColumn("range", F.spark_partition_id()), "ranges")
+    order = Window.partitionBy(*by).orderBy("range")  # a row for each range
+    totals = ranged.groupBy(*by, "range").agg(F.sum("p").alias("own"))
+    totals = totals.select(
+        *by, "range", F.coalesce(F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+        F.lag("range").over(order).isNull().alias("first"), F.lead("range").over(order).isNull().alias("last"),
+    )
+    totals = written(totals, "range-totals")
+    draws = probs_keys(rows, by, t_most, seed).join(totals, list(by))
+    above, upto = F.col("first") | (F.col("x") > F.round("before", 12)), F.col("last") | (F.col("x") <= F.round("upto", 12))
+    draws = draws.filter(above & upto).select(*by, "range", "x", "t", F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("p"))
+    keys = [*by, "range"]
+    inner = F.sum("p").over(Window.partitionBy(*keys).orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    cum = ranged.join(totals.select(*keys, "before"), keys).select(*keys, F.round(F.col("before") + inner, 12).alias("x"), F.lit(None).cast("int").alias("t"), "node", "p")
     # from the greatest x down, the last node seen is the first whose running sum reaches the draw; the frame only
     # grows, so the pass is linear. A draw beyond the last running sum takes the last node.
-    down = Window.partitionBy(*by).orderBy(F.desc("x"), F.col("t").asc_nulls_first(), F.desc("node"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("x"), F.col("t").asc_nulls_first(), F.desc("node"))
     hit = F.when(F.col("node").isNotNull(), F.struct("node", "p"))
     last = F.first(hit, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     pick = F.coalesce(F.last(hit, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)), last)
-    return both.withColumn("pick", pick).filter(F.col("t").isNotNull()).select(*by, "t", "pick.node", "pick.p")
+    return cum.unionByName(draws).withColumn("pick", pick).filter(F.col("t").isNotNull()).select(*by, "t", "pick.node", "pick.p")
+
+
+def probs_keys(rows: DataFrame, by: tuple[str, ...], t_most: int, seed: int) -> DataFrame:
+    """(*by, t, x): the draws of each distribution."""
+    draws = rows.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(1), F.lit(t_most))).alias("t"))
+    return draws.withColumn("x", uniform(key(F.col("target"), F.col("t"), seed=seed)))
 
 
 def contributions(edges: DataFrame, draws: DataFrame) -> DataFrame:

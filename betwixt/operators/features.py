@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import written
 from . import pivots, traverse
-from .scalars import GraphOf, beside, common_neighbours, degrees, summary
+from .ranks import with_rank
+from .scalars import GraphOf, beside, common_neighbours, connected_components, degrees, summary
 
 
 def neighbour_statistics(edges: DataFrame) -> DataFrame:
@@ -49,10 +50,34 @@ def clustering(edges: DataFrame) -> DataFrame:
     return t.withColumn("clustering", F.when(d >= 2, 2 * F.col("triangles") / (d * (d - 1))).otherwise(F.lit(0.0)))
 
 
-def core_numbers(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(node, core): exact, as the fixpoint of each node's h-index of its neighbours' values, from the degrees down."""
+def without_trees(edges: DataFrame) -> DataFrame:
+    """The edges between nodes of core 2 and more: hanging trees are taken off.
+
+    A round takes off whole chains: nodes of degree 2 and less form paths and rings, and a path with an end of degree 1
+    goes at once, however long it is. Each round at least halves the ends, so rounds grow with the logarithm of the nodes.
+    """
+    while True:
+        deg = written(degrees(edges), "degrees")
+        if deg.filter("deg = 1").isEmpty():
+            return edges
+        low = deg.filter("deg <= 2")
+        ends = low.select(F.col("node").alias("src"), F.col("deg").alias("ds"))
+        between = edges.join(ends, "src").join(low.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+        labels = connected_components(written(between, "chains")).withColumnRenamed("component", "chain")
+        chains = low.join(labels, "node", "left").withColumn("chain", F.coalesce("chain", "node"))
+        gone = chains.filter("deg = 1").select("chain").distinct()
+        gone = written(chains.join(gone, "chain", "left_semi").select("node"), "hanging")
+        for end in ("src", "dst"):
+            edges = edges.join(gone.withColumnRenamed("node", end), end, "left_anti")
+        edges = written(edges.select("src", "dst"), "edges")
+
+
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """(node, core): exact. Hanging trees have 1; of the rest, the fixpoint of each node's h-index of its neighbours' values, from the degrees down."""
+    nodes = degrees(edges).select("node")
+    edges = without_trees(edges)
     core = written(degrees(edges).select("node", F.col("deg").alias("core")), "core")
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(core.select(F.col("node").alias("dst"), F.col("core").alias("c")), "dst")
         # counts of equal values first: a hub's neighbours have few distinct ones
         n = near.groupBy("src", "c").agg(F.count(F.lit(1)).alias("n"))
@@ -60,20 +85,28 @@ def core_numbers(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
         h = n.select("src", F.least("c", above).alias("h")).groupBy(F.col("src").alias("node")).agg(F.max("h").alias("h"))
         step = written(core.join(h, "node").select("node", F.col("core").alias("old"), F.least("core", "h").alias("core")), "core")
         if step.filter(F.col("old") != F.col("core")).isEmpty():
-            return step.select("node", "core")
+            return nodes.join(step.select("node", "core"), "node", "left").select("node", F.coalesce("core", F.lit(1).cast("long")).alias("core"))
         core = step.select("node", "core")
-    raise RuntimeError("core numbers did not settle")
 
 
 def two_hops(edges: DataFrame) -> DataFrame:
-    """(node, reach2_paths, reach2_nodes): neighbours plus two-paths out of the neighbourhood, or their distinct ends."""
-    a = edges.select(F.col("src").alias("node"), F.col("dst").alias("mid"))
-    b = edges.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
-    paths = a.join(b, "mid").filter(F.col("far") != F.col("node")).groupBy("node", "far").agg(F.count(F.lit(1)).alias("n"))
-    out = paths.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("far")), ["node", "far"], "left_anti")
-    far = out.groupBy("node").agg(F.sum("n").alias("paths"), F.count(F.lit(1)).alias("ends"))
-    return degrees(edges).join(far, "node", "left").select(
-        "node", (F.col("deg") + F.coalesce("paths", F.lit(0))).alias("reach2_paths"), (F.col("deg") + F.coalesce("ends", F.lit(0))).alias("reach2_nodes")
+    """(node, reach2_paths, reach2_nodes): neighbours plus two-paths out of the neighbourhood, or their distinct ends.
+
+    Paths are not listed: a node has as many as its neighbours' other edges, less two for each of its triangles. Distinct
+    ends are sets of bits: nodes are numbered by falling degree, a neighbourhood is its words of 64 numbers, and a node's
+    ends are the union of its neighbours' words, so hubs, which share words, cost little.
+    """
+    deg = written(degrees(edges), "degrees")
+    near = edges.join(deg.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("deg").alias("steps"))
+    number = written(with_rank(deg, "number", [F.desc("deg"), F.col("node")]).select("node", "number"), "numbers")
+    bit = F.expr("shiftleft(1L, CAST(number & 63 AS INT))")
+    words = edges.join(number.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), F.shiftright("number", 6).alias("word"), bit.alias("bit"))
+    words = written(words.groupBy("node", "word").agg(F.bit_or("bit").alias("bits")), "words")
+    ends = edges.join(words.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+    own = words.withColumnRenamed("bits", "own").unionByName(number.select("node", F.shiftright("number", 6).alias("word"), bit.alias("own"))).groupBy("node", "word").agg(F.bit_or("own").alias("own"))
+    far = ends.join(own, ["node", "word"], "left").groupBy("node").agg(F.sum(F.bit_count(F.expr("bits & ~coalesce(own, 0L)"))).alias("ends"))
+    return deg.join(near, "node").join(triangles(edges), "node", "left").join(far, "node").select(
+        "node", (F.col("steps") - 2 * F.coalesce("triangles", F.lit(0))).alias("reach2_paths"), (F.col("deg") + F.col("ends")).alias("reach2_nodes")
     )
 
 

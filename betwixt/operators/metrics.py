@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
+from .concordance import concordant, tied
 from .ranks import running_total
 
 
@@ -28,79 +27,49 @@ def average_error(values: DataFrame, by: list[str]) -> DataFrame:
     return values.filter(F.col("bc") != 0).groupBy(*by).agg(F.avg(F.abs(F.col("bc") - F.col("est")) / F.col("bc") * 100).alias("avg_error"))
 
 
-def ascents(a: np.ndarray) -> int:
-    """Pairs i < j with a[i] < a[j], counted bit by bit of the ranks: n log n work."""
-    rank = np.unique(a, return_inverse=True)[1]
-    total = 0
-    for bit in reversed(range(int(len(a)).bit_length())):
-        one = rank >> bit & 1
-        zeros = np.cumsum(1 - one)  # so far, the element itself included
-        group = rank >> (bit + 1)
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(a) else np.zeros(0, int)
-        before = np.repeat(zeros[first] - (1 - one[first]), np.diff(np.append(first, len(a))))
-        total += int(((zeros - before) * one).sum())
-        rank = rank[np.argsort(rank >> bit, kind="stable")]
-    return total
-
-
-def concordance(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Pairs ordered alike, ordered differently, tied in x only, in y only, in both."""
-
-    def tied(*keys: np.ndarray) -> int:
-        n = np.unique(np.stack(keys), axis=1, return_counts=True)[1].astype(object)
-        return int((n * (n - 1) // 2).sum())
-
-    up, down = np.lexsort((-y, x)), np.lexsort((y, x))
-    tx, ty, both = tied(x), tied(y), tied(x, y)
-    return ascents(y[up]), ascents(-y[down]), tx - both, ty - both, both
-
-
 def rank_agreement(values: DataFrame, by: list[str], score: str = "score", least: int = 10) -> DataFrame:
-    """xi (over pairs of different exact value), Spearman's rho and Kendall's tau-b over nodes with bc > 0.
+    """(by, nodes, pairs, xi, spearman, kendall): xi (over pairs of different exact value), Spearman's rho and Kendall's tau-b, over nodes with bc > 0.
 
-    Fewer than ``least`` nodes give correlations of 0; no differing pair gives xi = 1. A group, the nodes of a graph
-    whose exact values are known, is one task's; pairs are counted by sorting.
+    Fewer than ``least`` nodes give correlations of 0; no differing pair gives xi = 1. A tie of the score counts as "the lower
+    id is not greater". Pairs are counted by sorting, over ranges of rows (see ``concordance``).
     """
-    names = [*by, "nodes", "pairs", "xi", "spearman", "kendall"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["bc"].to_numpy(), pdf["__s"].to_numpy()
-        con, dis, tx, ty, _ = concordance(x, y)
-        pairs = con + dis + ty
-        # a tie of the score is "not greater": right for one of the two orders of the pair, counted as the pair (lower id first)
-        xi = (con + _ties_right(pdf)) / pairs if pairs else 1.0
-        rho = tau = 0.0
-        if len(pdf) >= least:
-            rx, ry = pd.Series(x).rank().to_numpy(), pd.Series(y).rank().to_numpy()
-            if rx.std() > 0 and ry.std() > 0:
-                rho = float(np.corrcoef(rx, ry)[0, 1])
-            low = np.sqrt(float(con + dis + tx) * float(con + dis + ty))
-            tau = (con - dis) / low if low > 0 else 0.0
-        return pd.DataFrame([[*pdf[by].iloc[0].tolist(), len(pdf), pairs, xi, rho, tau]], columns=names)
-
-    rows = values.filter(F.col("bc") > 0).withColumn("__s", F.col(score).cast("double")).withColumn("bc", F.col("bc").cast("double"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*by).dtypes) + ", nodes long, pairs long, xi double, spearman double, kendall double"
-    return rows.select(*by, "node", "bc", "__s").groupBy(*by).applyInPandas(one, schema)
-
-
-def _ties_right(pdf: pd.DataFrame) -> int:
-    """Pairs (u, v), u < v, of equal score where v's exact value is greater: 'u is not greater' is right."""
-    right = 0
-    for _, g in pdf.groupby("__s"):
-        if len(g) > 1:
-            right += ascents(g.sort_values("node")["bc"].to_numpy())
-    return right
-
-
-def spearman(values: DataFrame, x: str, y: str) -> DataFrame:
-    """One row (n, rho) with average ranks of ties."""
+    rows = values.filter(F.col("bc") > 0).select(*by, "node", F.col("bc").cast("double").alias("bc"), F.col(score).cast("double").alias("s"))
+    rows = written(rows, "agreement-rows")
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("nodes"))
+    # right where scores are tied: the higher id has the greater value
+    lucky = concordant(rows, [*by, "s"], "node", "bc").groupBy(*by).agg(F.sum("ascents").alias("lucky"))
+    parts = (
+        concordant(rows, by, "bc", "s").withColumnRenamed("ascents", "con"), lucky, tied(rows, by, ["bc"], "tx"), tied(rows, by, ["s"], "ty"), tied(rows, by, ["bc", "s"], "txy"),
+        spearman(rows, "bc", "s", by).select(*by, "rho"),
+    )
+    for x in parts:
+        out = out.join(x, by)
+    out = out.withColumn("all", F.expr("nodes * (nodes - 1) div 2")).withColumn("pairs", F.col("all") - F.col("tx"))
+    dis = F.col("pairs") - F.col("con") - (F.col("ty") - F.col("txy"))
+    low = F.sqrt(F.col("pairs").cast("double") * (F.col("all") - F.col("ty")).cast("double"))
+    many = F.col("nodes") >= least
+    return out.select(
+        *by, "nodes", "pairs", F.when(F.col("pairs") > 0, (F.col("con") + F.col("lucky")) / F.col("pairs")).otherwise(F.lit(1.0)).alias("xi"),
+        F.when(many, F.col("rho")).otherwise(F.lit(0.0)).alias("spearman"), F.when(many & (low > 0), (F.col("con") - dis) / low).otherwise(F.lit(0.0)).alias("kendall"),
+    )
+
+
+def spearman(values: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """(by, n, rho) with average ranks of ties; ranks run over distinct values of all groups, less what is before the group."""
+    by = by or []
 
     def ranks(c: str) -> DataFrame:
-        counted = running_total(values.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("k")), "upto", [F.col("v")], F.col("k"))
-        return counted.select(F.col("v").alias(c), (F.col("upto") - F.col("k") + (F.col("k") + 1) / 2).alias(f"r_{c}"))
-
-    ranked = values.select(x, y).join(ranks(x), x).join(ranks(y), y)
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nanvl(F.corr(f"r_{x}", f"r_{y}"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
+        counted = values.groupBy(*by, c).agg(F.count(F.lit(1)).alias("k"))
+        counted = running_total(counted, "upto", [*(F.col(b) for b in by), F.col(c)], F.col("k"))
+        return counted.select(*by, c, (F.col("upto") - F.col("k") + (F.col("k") + 1) / 2).alias(f"r_{c}"))
+
+    # a constant for each group, which correlation does not see
+    ranked = values.select(*by, x, y).join(ranks(x), [*by, x]).join(ranks(y), [*by, y])
+    if by:
+        low = ranked.groupBy(*by).agg(F.min(f"r_{x}").alias("low_x"), F.min(f"r_{y}").alias("low_y"))
+        ranked = ranked.join(low, by).withColumn(f"r_{x}", F.col(f"r_{x}") - F.col("low_x")).withColumn(f"r_{y}", F.col(f"r_{y}") - F.col("low_y"))
+    rho = F.coalesce(F.nanvl(F.corr(f"r_{x}", f"r_{y}"), F.lit(0.0)), F.lit(0.0))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
 
 
 def confidence(predictions: DataFrame) -> DataFrame:

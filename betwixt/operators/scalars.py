@@ -75,14 +75,14 @@ def common_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.withColumn("common", n).withColumn("jaccard", F.when(union > 0, n / union).otherwise(F.lit(0.0))).drop("du", "dv")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest id of the node's component.
 
     Labels spread to neighbours and then to the label's own label, so rounds grow with the logarithm of a
     component's diameter in practice. Each round is written out; only a count of changes reaches the driver.
     """
     labels = written(edges.groupBy(F.col("src").alias("node")).agg(F.least(F.col("src"), F.min("dst")).alias("component")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = (
             edges.join(labels.withColumnRenamed("node", "dst"), "dst")
             .groupBy(F.col("src").alias("node"))
@@ -94,7 +94,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         if step.filter(F.col("old") != F.col("component")).isEmpty():
             return step.select("node", "component")
         labels = step.select("node", "component")
-    raise RuntimeError("components did not settle")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:

@@ -38,6 +38,10 @@ class Adjacency:
         order = np.lexsort((d, s))
         self.to = d[order]
         self.at = np.searchsorted(s[order], np.arange(len(self.ids) + 1))
+        # where no edge goes from lower to higher ids: the graphs of a forest lie between such places
+        n = len(self.ids)
+        open_edges = np.cumsum(np.bincount(np.minimum(s, d), minlength=n) - np.bincount(np.maximum(s, d), minlength=n)) if n else np.zeros(0, np.int64)
+        self.cuts = np.append(0, np.flatnonzero(open_edges == 0) + 1)
 
     def dense(self, node: int) -> int:
         i = int(np.searchsorted(self.ids, node))
@@ -54,16 +58,21 @@ class Adjacency:
 
 
 class Search:
-    """Levels in queue order, path counts and first discoverers from one source."""
+    """Levels in queue order, path counts and first discoverers from one source.
+
+    Arrays cover the source's part of the ids only, from ``base`` on; nodes are numbered from there.
+    """
 
     def __init__(self, g: Adjacency, source: int):
-        n = len(g.ids)
+        k = int(np.searchsorted(g.cuts, source, "right"))
+        self.base, n = int(g.cuts[k - 1]), int(g.cuts[k] - g.cuts[k - 1])
+        source -= self.base
         self.g, self.levels = g, [np.array([source])]
         self.dist, self.sigma, self.parent = np.full(n, -1), np.zeros(n), np.full(n, -1)
         self.dist[source], self.sigma[source] = 0, 1
         while True:
             front = self.levels[-1]
-            who, to = g.expand(front)
+            who, to = self.expand(front)
             fresh = self.dist[to] < 0
             who, to = who[fresh], to[fresh]
             if not len(to):
@@ -75,12 +84,19 @@ class Search:
             self.levels.append(found[order])
             self.dist[found] = len(self.levels) - 1
 
+    def expand(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        who, to = self.g.expand(nodes + self.base)
+        return who, to - self.base
+
+    def ids(self, nodes: np.ndarray) -> np.ndarray:
+        return self.g.ids[nodes + self.base]
+
     def dependencies(self) -> np.ndarray:
         """The source's dependency on every node, 0 on itself."""
         delta = np.zeros(len(self.dist))
         for level in range(len(self.levels) - 1, 0, -1):
             nodes = self.levels[level]
-            who, to = self.g.expand(nodes)
+            who, to = self.expand(nodes)
             up = self.dist[to] == level - 1
             w, v = nodes[who[up]], to[up]
             np.add.at(delta, v, self.sigma[v] / self.sigma[w] * (1 + delta[w]))
@@ -88,6 +104,11 @@ class Search:
         return delta
 
 
+def placed(among: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids are among sorted ones."""
+    return among[np.minimum(np.searchsorted(among, ids), len(among) - 1)] == ids if len(among) else np.zeros(len(ids), bool)
+
+
 def fits_broadcast(edges: DataFrame, most: int = MOST_BROADCAST_EDGES) -> bool:
     return edges.limit(most + 1).count() <= most
 
@@ -127,10 +148,10 @@ def bfs(edges: DataFrame, sources: DataFrame, plan: str | None = None) -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(nodes), source)),
-                        pa.array(g.ids[nodes]),
+                        pa.array(s.ids(nodes)),
                         pa.array(s.dist[nodes].astype(np.int32)),
                         pa.array(s.sigma[nodes]),
-                        pa.array(g.ids[parent], mask=parent < 0),
+                        pa.array(s.ids(np.maximum(parent, 0)), mask=parent < 0),
                     ],
                     ["source", "node", "d", "sigma", "parent"],
                 )
@@ -177,7 +198,7 @@ def dependencies(edges: DataFrame, sources: DataFrame, plan: str | None = None,
         return found if wanted is None else found.join(wanted, "node", "left_semi").select("source", "node", "delta")
     graph = shipped(edges)
     # targets are nodes, of which a graph that fits has at most twice as many as edges
-    only = None if wanted is None else edges.sparkSession.sparkContext.broadcast(wanted.toArrow().column(0).to_numpy())
+    only = None if wanted is None else edges.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = graph.value
@@ -189,9 +210,11 @@ def dependencies(edges: DataFrame, sources: DataFrame, plan: str | None = None,
                 s = g.search(i)
                 delta = s.dependencies()
                 nodes = np.flatnonzero(s.dist > 0)
+                ids = s.ids(nodes)
                 if only is not None:
-                    nodes = nodes[np.isin(g.ids[nodes], only.value)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), source)), pa.array(g.ids[nodes]), pa.array(delta[nodes])], ["source", "node", "delta"])
+                    nodes = nodes[placed(only.value, ids)]
+                    ids = s.ids(nodes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), source)), pa.array(ids), pa.array(delta[nodes])], ["source", "node", "delta"])
 
     return _spread(sources).mapInArrow(run, "source long, node long, delta double")
 
@@ -245,7 +268,9 @@ def betweenness(edges: DataFrame, plan: str | None = None, most_nodes: int | Non
             for b in batches:
                 for source in b.column(0).to_pylist():
                     any_source = True
-                    total += g.search(g.dense(source)).dependencies()
+                    s = g.search(g.dense(source))
+                    delta = s.dependencies()
+                    total[s.base : s.base + len(delta)] += delta
             if any_source:
                 yield pa.RecordBatch.from_arrays([pa.array(g.ids), pa.array(total)], ["node", "delta"])
 

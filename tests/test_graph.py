@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from betwixt.operators import datasets, estimate, features, generators, metrics, models, pivots, scalars, traverse
+from betwixt.operators import concordance, datasets, estimate, features, generators, metrics, models, pivots, scalars, traverse
 from betwixt.sources import edges as io
 
 HAND = {
@@ -122,6 +123,54 @@ def test_core_numbers_of_a_clique_with_a_tail(spark):
     assert got == {0: 3, 1: 3, 2: 3, 3: 3, 4: 1, 5: 1}
 
 
+def test_core_numbers_by_peeling(spark):
+    """Trees on rings on cliques, against peeling a node at a time."""
+    rng = random.Random(3)
+    pairs = [(i, rng.randrange(i)) for i in range(1, 60)] + list(itertools.combinations(range(60, 66), 2)) + [(60, 5), (70, 71), (71, 72), (72, 70), (72, 73), (80, 81)] + [(rng.randrange(30), rng.randrange(30)) for _ in range(25)]
+    e = graph(spark, pairs)
+    near = {}
+    for r in e.collect():
+        near.setdefault(r.src, set()).add(r.dst)
+    want, left, k = {}, {v: len(n) for v, n in near.items()}, 0
+    while left:
+        v = min(left, key=left.get)
+        k = max(k, left.pop(v))
+        want[v] = k
+        for w in near[v] & left.keys():
+            left[w] -= 1
+    assert {r.node: r.core for r in features.core_numbers(e).collect()} == want
+
+
+def test_core_numbers_of_a_long_path(spark):
+    n = 100_000
+    scattered = ((F.col("id") * 48271) % 2147483647).alias("a"), (((F.col("id") + 1) * 48271) % 2147483647).alias("b")
+    e = io.symmetric(io.canonical(spark.range(n - 1).select(*scattered)))
+    out = features.core_numbers(e)
+    assert out.count() == n and out.filter("core <> 1").isEmpty()
+
+
+def test_two_hops_by_listing(spark):
+    rng = random.Random(6)
+    pairs = [(0, i) for i in range(1, 90)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(300)]
+    e = graph(spark, pairs)
+    near = {}
+    for r in e.collect():
+        near.setdefault(r.src, set()).add(r.dst)
+    for r in features.two_hops(e).collect():
+        far = [w for m in near[r.node] for w in near[m] if w != r.node and w not in near[r.node]]
+        assert (r.reach2_paths, r.reach2_nodes) == (len(near[r.node]) + len(far), len(near[r.node]) + len(set(far)))
+
+
+def test_draws_do_not_depend_on_ranges(spark):
+    rng = np.random.default_rng(0)
+    p = rng.random((3, 200)) * (rng.random((3, 200)) < 0.7)
+    rows = spark.createDataFrame([(t, n, float(x)) for t, r in enumerate(p / p.sum(1, keepdims=True)) for n, x in enumerate(r)], "target long, node long, p double").cache()
+    whole = sorted(map(tuple, estimate.draw_pivots(rows, 40, 5).collect()))
+    assert len(whole) == 120 and all(x[3] > 0 for x in whole)
+    for block in (50, 7):
+        assert sorted(map(tuple, estimate.draw_pivots(rows, 40, 5, block=block).collect())) == whole
+
+
 def test_generators(spark):
     rng = np.random.default_rng(0)
     e = generators.erdos_renyi(200, 0.05, rng)
@@ -166,13 +215,40 @@ def test_rank_agreement_by_brute_force(spark):
 def test_pairs_are_counted_as_by_all_pairs():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 7, 64, 150):
-        x, y = rng.integers(0, 9, n).astype(float), rng.integers(0, 12, n).astype(float)
-        i, j = np.triu_indices(n, 1)
-        s = np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])
-        tx, ty = x[i] == x[j], y[i] == y[j]
-        want = ((s > 0).sum(), (s < 0).sum(), (tx & ~ty).sum(), (ty & ~tx).sum(), (tx & ty).sum())
-        assert metrics.concordance(x, y) == want
-        assert metrics.ascents(y) == (y[i] < y[j]).sum()
+        y, w, g = rng.integers(0, 12, n).astype(float), rng.integers(1, 4, n), np.sort(rng.integers(0, 3, n))
+        want = [sum(int(w[i] * w[j]) for i in range(j) if y[i] < y[j] and g[i] == g[j]) for j in range(n)]
+        assert concordance.ascents(g, y, w).tolist() == want
+
+
+@pytest.mark.parametrize("block", [10**6, 60, 17])
+def test_concordant_pairs_over_ranges(spark, block):
+    """Groups of all sizes, one of most rows, ties, and a value that a third of the rows share."""
+    rng = random.Random(4)
+    data = [("large" if i % 3 else f"g{i % 30}", rng.choice([5.0, rng.randrange(30) / 2]), rng.choice([1, 1, rng.randrange(40)])) for i in range(500)] + [("one", 1.0, 1)]
+    rows = spark.createDataFrame(data, "grp string, a double, b int").repartition(4)
+    got = {r.grp: r.ascents for r in concordance.concordant(rows, ["grp"], "a", "b", block).collect()}
+    want = {}
+    for g in {d[0] for d in data}:
+        own = [d for d in data if d[0] == g]
+        want[g] = sum((x[1] - y[1]) * (x[2] - y[2]) > 0 for x, y in itertools.combinations(own, 2))
+    assert got == want
+    assert {r.grp: r.t for r in concordance.tied(rows, ["grp"], ["a", "b"], "t").collect()}["large"] == sum(x == y for x, y in itertools.combinations([d for d in data if d[0] == "large"], 2))
+
+
+def test_rank_agreement_of_groups_over_ranges(spark, monkeypatch):
+    """Groups by themselves and together, in one range and in many."""
+    rng = random.Random(8)
+    data = [(g, i, float(rng.randrange(9)), float(rng.randrange(7))) for g in "abc" for i in range(rng.randrange(15, 60))] + [("few", 0, 1.0, 2.0), ("few", 1, 2.0, 3.0)]
+    rows = spark.createDataFrame(data, "graph string, node long, bc double, score double").cache()
+    whole = {r.graph: tuple(r)[1:] for r in metrics.rank_agreement(rows, ["graph"]).collect()}
+    monkeypatch.setattr(concordance, "BLOCK", 20)
+    cut = {r.graph: tuple(r)[1:] for r in metrics.rank_agreement(rows, ["graph"]).collect()}
+    assert cut.keys() == whole.keys() == {"a", "b", "c", "few"} and all(cut[g] == pytest.approx(whole[g]) for g in cut)
+    for g in "abc":
+        alone = metrics.rank_agreement(rows.filter(F.col("graph") == g), ["graph"]).first()
+        assert tuple(alone)[1:] == pytest.approx(whole[g])
+        assert metrics.spearman(rows.filter((F.col("graph") == g) & (F.col("bc") > 0)), "bc", "score").first().rho == pytest.approx(whole[g][3])
+    assert whole["few"] == (2, 1, 1.0, 0.0, 0.0)
 
 
 def test_graphs_deeper_than_the_bound_raise(spark, monkeypatch):
