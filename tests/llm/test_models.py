@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from betwixt.llm import langid, lmscore, toxicity
-from betwixt.llm.queries import op6_rank_order_language, op7_cross_entropy_difference, op8_crf_toxicity
+from betwixt.llm.queries import op6_rank_order_language, op8_crf_toxicity
 
 from .util import corpus, documents, empty
 
