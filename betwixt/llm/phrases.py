@@ -103,8 +103,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def lang_keys(langs: list[str]) -> np.ndarray:
+    """Keys that no word's hash equals because it is spelt as the language: they are mixed once more, beside a salt."""
     buf, ends = "".join(langs).encode(), np.cumsum([len(x.encode()) for x in langs])
-    return span_hashes(np.frombuffer(buf, np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+    return mix(span_hashes(np.frombuffer(buf, np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) + U(0xD6E8FEB86659FD93))
 
 
 def then(code: np.ndarray, key: np.ndarray) -> np.ndarray:

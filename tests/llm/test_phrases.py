@@ -67,6 +67,14 @@ def test_awkward_rows(spark):
     assert phrases.collocations(empty(spark)).count() == 0
 
 
+def test_words_spelt_as_their_language(spark):
+    """Hashes of a word and of its language's name must not cancel out: phrases of such words met across languages and lengths."""
+    rows = [(lang, f"{lang} {lang} {lang} {lang} x. {lang} {lang} {lang} y. z {lang} {lang}") for lang, n in (("en", 40), ("de", 31), ("a b ", 33)) for _ in range(n)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = [tuple(r) for r in phrases.collocations(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) > 10
+
+
 def runs(rows, batch):
     """Frequent phrases of pairs, and of longer ones by sorted batches of ``batch`` rows."""
     every, none, held = np.full(1 << 20, -1, np.int64), np.zeros(0, np.uint64), {2: [], 3: []}
