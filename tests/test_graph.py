@@ -114,6 +114,27 @@ def test_components_and_sampling(spark):
     e = graph(spark, HAND["apart"][0])
     assert {r.node: r.component for r in scalars.connected_components(e).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
     assert scalars.largest_component(e).count() == 4
+
+
+def test_components_evaluate_the_edges_twice(spark):
+    """However many rounds a graph takes: rounds after the first see what is left of them only."""
+    pairs = [(i, i + 1) for i in range(40)] + [(100 + i, 139 - i) for i in range(20)] + [(100 + i, 140 + (i * 7) % 20) for i in range(40)] + [(300 + i % 9, 200 + i) for i in range(30)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    e = graph(spark, pairs)
+    n = e.count()
+    got = {r.node: r.component for r in scalars.connected_components(e.mapInArrow(counted, e.schema)).collect()}
+    assert seen.value <= 2 * n
+    left = {x: x for p in pairs for x in p}
+    for _ in range(len(left)):
+        for u, v in pairs:
+            left[u] = left[v] = min(left[u], left[v])
+    assert got == left
     assert scalars.downsampled(e, 2).select("src").distinct().count() <= 2
 
 
