@@ -116,6 +116,24 @@ def test_components_and_sampling(spark):
     assert scalars.largest_component(e).count() == 4
 
 
+@pytest.mark.parametrize("work, held", [(60, 10), (10**9, 10**6)])
+def test_parts_plan(spark, monkeypatch, work, held):
+    """Parts whose ids interleave, dealt in blocks of sources, or held together."""
+    monkeypatch.setattr(traverse, "WORK", work)
+    monkeypatch.setattr(traverse, "HELD", held)
+    rng = random.Random(4)
+    pairs = [(5 * rng.randrange(n) + c, 5 * rng.randrange(n) + c) for c, n, m in ((0, 4, 5), (1, 12, 25), (2, 9, 9), (3, 3, 2), (4, 20, 18)) for _ in range(m)]
+    e = graph(spark, [p for p in pairs if p[0] != p[1]])
+    nodes = e.select("src").distinct()
+    some, wanted = nodes.filter("src % 3 = 0").unionByName(spark.createDataFrame([(9999,)], "src long")), nodes.filter("src % 2 = 1")
+
+    def rows(df):
+        return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+
+    for f in (lambda p: traverse.betweenness(e, p), lambda p: traverse.dependencies(e, some, p, wanted), lambda p: traverse.bfs(e, some, p)):
+        assert rows(f("parts")) == rows(f("broadcast")) != []
+
+
 def test_components_evaluate_the_edges_twice(spark):
     """However many rounds a graph takes: rounds after the first see what is left of them only."""
     pairs = [(i, i + 1) for i in range(40)] + [(100 + i, 139 - i) for i in range(20)] + [(100 + i, 140 + (i * 7) % 20) for i in range(40)] + [(300 + i % 9, 200 + i) for i in range(30)]
