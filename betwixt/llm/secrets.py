@@ -194,9 +194,24 @@ def train_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     return [r - o for r, o in zip(logs(True), logs(False), strict=True)]
 
 
-def ratio(token: Column, model: list[float]) -> Column:
+Model = list[float] | Column
+
+
+def scores_of(model: Model) -> Column:
+    return model if isinstance(model, Column) else constant(model, "double")
+
+
+def beside_model(df: DataFrame, model: list[float], name: str) -> DataFrame:
+    """``df`` with the model as an array in each row: one broadcast row.
+
+    As a constant it would be spelt out at each of its places in every form of the plan that the driver keeps and reports.
+    """
+    return df.join(F.broadcast(df.sparkSession.createDataFrame([(model,)], f"{name} array<double>")))
+
+
+def ratio(token: Column, model: Model) -> Column:
     """Log-likelihood ratio of a token, random against ordinary."""
-    table = constant(model, "double")
+    table = scores_of(model)
     zero = F.struct(F.lit(START).alias("last"), F.lit(0.0).alias("sum"))
     return F.aggregate(
         token_classes(token),
@@ -208,19 +223,20 @@ def ratio(token: Column, model: list[float]) -> Column:
 
 def threshold(samples: DataFrame, model: list[float], false_rate: float = FALSE_RATE, least: float = LEAST_RATIO) -> float:
     """The ratio that the best segments of at most a share ``false_rate`` of the held-back identifiers reach, at least ``least``."""
-    own = samples.filter(F.col("token").isNotNull() & ~F.col("random") & held_back(F.col("token")))
-    best = F.array_max(F.transform(segments(F.col("token"), model, 0.001), lambda x: x["best"]))
+    own = samples.filter(F.col("token").isNotNull() & ~F.col("random") & held_back(F.col("token"))).select("token")
+    own = beside_model(own, model, "model")
+    best = F.array_max(F.transform(segments(F.col("token"), F.col("model"), 0.001), lambda x: x["best"]))
     found = own.select(F.coalesce(best, F.lit(0.0)).alias("best")).agg(F.percentile("best", F.lit(1 - false_rate))).first()[0]
     return max(least, (found or 0.0) + 0.001)
 
 
-def segments(token: Column, model: list[float], least: float) -> Column:
+def segments(token: Column, model: Model, least: float) -> Column:
     """Array of (start, end, best) of the segments of a token whose ratio reaches ``least``, in order.
 
     The running sum starts anew at 0, and where it has fallen by ``least`` from a peak that counts, so that neither
     ordinary text before a secret nor text between two of them hides one.
     """
-    table = constant(model, "double")
+    table = scores_of(model)
     none = F.array().cast("array<struct<start:int,end:int,best:double>>")
     zero = F.struct(
         F.lit(START).alias("last"), F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).alias("since"),
@@ -263,7 +279,7 @@ def blanked(text: Column, base: Spans) -> Column:
     return F.when(F.size(base) > 0, whole).otherwise(text)
 
 
-def markov_spans(text: Column, base: Spans, model: list[float], least: float = LEAST_RATIO) -> Spans:
+def markov_spans(text: Column, base: Spans, model: Model, least: float = LEAST_RATIO) -> Spans:
     """Spans of segments that the models call random, in candidates outside base spans."""
 
     def emit(at: Column, part: Column) -> Column:
@@ -308,7 +324,9 @@ def with_spans(docs: DataFrame, model: list[float], least: float, names: list[st
         marked_spans(F.col(clean), HEX, 2).alias(hexes),
     )
     found = found.withColumn(base, F.array_sort(F.concat(assign, access, hexes)))
-    return found.withColumn(every, F.array_sort(F.concat(F.col(base), markov_spans(F.col(clean), F.col(base), model, least))))
+    (table,) = fresh(found.columns, "model")
+    found = beside_model(found, model, table)
+    return found.withColumn(every, F.array_sort(F.concat(F.col(base), markov_spans(F.col(clean), F.col(base), F.col(table), least)))).drop(table)
 
 
 NAMES = ("clean", "assign", "access", "hexes", "base", "every")

@@ -207,3 +207,10 @@ def test_training_takes_awkward_samples(spark):
     model = secrets.train_markov(s)
     assert len(model) == secrets.WIDTH**2 and max(map(abs, model)) < 10
     assert secrets.train_markov(s.limit(0)) == pytest.approx([0.0] * secrets.WIDTH**2)
+
+
+@pytest.mark.parametrize("query", [secrets.redact, secrets.secret_table])
+def test_plan_does_not_spell_out_the_model(spark, query):
+    """The driver keeps each form of a plan: 1.5 million characters when the model was a constant of it."""
+    plan = query(spark.createDataFrame(CASES, "doc_id long, text string"))._jdf.queryExecution()
+    assert max(len(x.toString()) for x in (plan.analyzed(), plan.optimizedPlan(), plan.executedPlan())) < 100_000
