@@ -356,3 +356,50 @@ def test_checkpoint_choice_and_scraping(spark):
     assert metrics.best_checkpoint(e).first().epoch == 3
     lines = spark.createDataFrame([("T=25 efficiency 0.91",), ("noise",)], "value string")
     assert [tuple(r) for r in metrics.scraped(lines, r"T=(\d+) efficiency ([\d.]+)", ["t", "xi"]).collect()] == [("25", "0.91")]
+
+
+def shallow(kind, n=300):
+    """Edges both ways of a connected graph of few levels: of two sides with hubs, of no sides, a star, a clique with tails."""
+    rng = np.random.default_rng(3)
+    if kind == "sides":
+        pairs = [(2 * int(a), 2 * int(b) + 1) for a, b in zip(rng.integers(0, n, 4 * n), rng.integers(0, n // 2, 4 * n))] + [(0, 2 * b + 1) for b in range(n // 2)] + [(2 * a, 1) for a in range(n)]
+    elif kind == "none":
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (3 * n, 2)) if a != b] + [(i, (i + 1) % n) for i in range(n)]
+    elif kind == "star":
+        pairs = [(0, i) for i in range(1, 20 * n)]
+    else:
+        pairs = [(a, b) for a in range(n // 2) for b in range(a)] + [(a, a + n) for a in range(n // 2)]
+    return np.array(sorted({p for a, b in pairs for p in ((a, b), (b, a))}))
+
+
+@pytest.mark.parametrize("kind", ["sides", "none", "star", "clique"])
+def test_matrices_find_what_slots_find(kind):
+    """For all sources and for some; a part of few levels took a search of slots for each source."""
+    e = shallow(kind)
+    g = traverse.Adjacency(e[:, 0], e[:, 1], np.zeros(len(e), int))
+    for sources in (np.arange(len(g.ids)), np.random.default_rng(0).permutation(len(g.ids))[:37]):
+        made = traverse.DenseSearches.of(g, sources)
+        assert made is not None and (made.size[1] > 0) == (kind in ("sides", "star"))
+        want = np.zeros(len(g.ids))
+        for s in g.searches(sources):
+            np.add.at(want, s.place, s.dependencies())
+        assert np.allclose(g.totals(sources), want, rtol=1e-12, atol=1e-9)
+
+
+def test_a_shallow_part_is_searched_once_by_slots(monkeypatch):
+    """Small, deep and unconnected ones still are, for each source."""
+    seen = []
+
+    class Counted(traverse.Searches):
+        def __init__(self, g, sources):
+            seen.append(len(sources))
+            super().__init__(g, sources)
+
+    monkeypatch.setattr(traverse, "Searches", Counted)
+    n, flat = 300, shallow("none")
+    ring = np.array([p for i in range(n) for p in ((i, (i + 1) % n), ((i + 1) % n, i))]) + 1000
+    few = np.array([(2000, 2001), (2001, 2000)])
+    e = np.concatenate([flat, ring, few])
+    g = traverse.Adjacency(e[:, 0], e[:, 1], np.repeat([0, 1, 2], [len(flat), len(ring), len(few)]))
+    total = g.totals(np.arange(len(g.ids)))
+    assert sum(seen) == 1 + 1 + n + 2 and total[n : 2 * n] == pytest.approx(np.full(n, total[n])) and not total[2 * n :].any()
